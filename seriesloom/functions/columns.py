@@ -53,15 +53,31 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``.
+
+    A plain expression used inside a lambda is evaluated for every element of the array.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unit(v: Column) -> Column:
     """Scale to length one; a vector shorter than 1e-10 stays as it is."""
-    length = norm(v)
-    return F.when(length > EPS, F.transform(v, lambda x: x / length)).otherwise(v)
+    sized = lambda w: let(
+        F.struct(w.alias("v"), F.when(norm(w) > EPS, norm(w)).otherwise(F.lit(1.0)).alias("length")),
+        lambda s: F.transform(s["v"], lambda x: x / s["length"]),
+    )
+    return let(v, sized)
 
 
 def centred(v: Column) -> Column:
-    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
-    return F.transform(v, lambda x: x - mean)
+    mean = lambda w: F.aggregate(w, F.lit(0.0), lambda s, x: s + x) / F.size(w)
+    return let(
+        v,
+        lambda w: let(
+            F.struct(w.alias("v"), mean(w).alias("mean")), lambda s: F.transform(s["v"], lambda x: x - s["mean"])
+        ),
+    )
 
 
 def doubles(v: Column) -> Column:
@@ -70,8 +86,7 @@ def doubles(v: Column) -> Column:
 
 def circular_colour(chroma: Column) -> dict[str, Column]:
     """Hue (circular mean, 0..1) and saturation (concentration) of a pitch-class vector."""
-    size = F.size(chroma)
-    angle = lambda i: F.lit(2.0 * math.pi) * i / size
+    angle = lambda i: F.lit(2.0 * math.pi) * i / F.size(chroma)
     c = F.aggregate(F.transform(chroma, lambda x, i: x * F.cos(angle(i))), F.lit(0.0), lambda s, x: s + x)
     s = F.aggregate(F.transform(chroma, lambda x, i: x * F.sin(angle(i))), F.lit(0.0), lambda t, x: t + x)
     total = F.aggregate(chroma, F.lit(0.0), lambda t, x: t + x)

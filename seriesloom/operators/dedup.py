@@ -126,14 +126,14 @@ def greedy_pool(vectors: Series, threshold: Column | float, vector: str = "v") -
     """
     threshold = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     keys = list(vectors.keys)
-    rows = vectors.df.select(*vectors._cell, "n", F.col(vector).alias("v"), threshold.cast("double").alias("thr"))
+    rows = vectors.df.select(*vectors._cell, "n", F.col(vector).alias("v"), threshold.cast("double").alias("limit"))
     schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("n", T.LongType()), T.StructField("label", T.LongType())])
     none = [F.lit(-1.0).alias("best"), F.lit(-1).cast("long").alias("best_n")]
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n")
         units = _unit_rows(pdf["v"])
-        ns, thr = pdf["n"].to_numpy(), float(pdf["thr"].iloc[0])
+        ns, thr = pdf["n"].to_numpy(), float(pdf["limit"].iloc[0])
         best, label = pdf["best"].to_numpy().copy(), pdf["best_n"].to_numpy().copy()
         opened: list[int] = []
         for j in range(len(ns)):

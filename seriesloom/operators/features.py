@@ -232,6 +232,18 @@ def normalise_by_p98(series: Series, name: str, value: str) -> Series:
     return out.with_columns(**{name: level})
 
 
+def normalise_bands(series: Series, bands: list[str]) -> Series:
+    """The same for several level columns, with one selection over (series, band)."""
+    pairs = F.inline(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).alias("level")) for b in bands]))
+    long = series.df.select(*series.keys, pairs)
+    rank = F.least(F.floor(F.col("rows") * 0.98), F.col("rows") - 1)
+    p98 = pick_rank(long, [*series.keys, "band"], "level", rank, "p98")
+    tops = [F.max(F.when(F.col("band") == b, F.col("p98"))).alias(f"p98_{b}") for b in bands]
+    out = series.attach(p98.groupBy(*series.keys).agg(*tops))
+    capped = {b: F.least(F.col(b) / F.greatest(F.col(f"p98_{b}"), F.lit(1e-6)), F.lit(1.0)) for b in bands}
+    return out.with_columns(**capped)
+
+
 def lagged_mean(series: Series, name: str, value: Column, past: int, recent: int) -> Series:
     """Mean over rows [n - past, n - recent), 0 until ``past`` rows have gone by."""
     mean = lambda w: F.avg(value).over(w.rowsBetween(-past, -recent - 1))
@@ -246,7 +258,9 @@ def decaying_trigger(series: Series, name: str, fired: Column, decay: float) ->
     return out.with_columns(**{name: F.coalesce(F.pow(F.lit(decay), age), F.lit(0.0))})
 
 
-def bass_departure(series: Series, hop_s: float) -> Series:
+def bass_departure(
+    series: Series, hop_s: float, sustained: float = 0.45, gone: float = 0.16, alive: float = 0.18
+) -> Series:
     """Pulse when the lows were sustained, are gone now and the top is still alive.
 
     Needs the five held band levels as columns; row 0 never fires.
@@ -257,7 +271,7 @@ def bass_departure(series: Series, hop_s: float) -> Series:
     out = lagged_mean(series, "was_bass", bass, past, recent).with_columns(
         bass=bass, top=F.greatest(F.col("himid"), F.col("hi"))
     )
-    fired = (F.col("n") > 0) & (F.col("was_bass") > 0.45) & (F.col("bass") < 0.16) & (F.col("top") > 0.18)
+    fired = (F.col("n") > 0) & (F.col("was_bass") > sustained) & (F.col("bass") < gone) & (F.col("top") > alive)
     return decaying_trigger(out.with_columns(fired=fired), "drop", F.col("fired"), math.exp(-hop_s / 0.65))
 
 
@@ -359,8 +373,8 @@ def coarse_speed(spectra_long: DataFrame, keys: list[str], bin_hz: float, lo: in
     A bin b' supports candidate b as harmonic k when b' is k*b or next to it, so each spectrum row
     is sent to the few candidates it can support.
     """
-    offsets = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    near = spectra_long.withColumn("kb", F.col("bin") + F.explode(offsets)).filter(F.col("kb") + 1 < bins)
+    near = spectra_long.withColumn("kb", F.explode(F.array(*[F.col("bin") + d for d in (-1, 0, 1)])))
+    near = near.filter(F.col("kb") + 1 < bins)
     near = near.groupBy(*keys, "kb").agg(F.max("mag").alias("peak"))
     k = F.explode(F.array(*[F.lit(i) for i in range(1, 5)]))
     score = near.withColumn("k", k).filter((F.col("kb") % F.col("k") == 0))
@@ -417,7 +431,7 @@ def refine_speed(x: np.ndarray, sr: float, nominal: float, tolerance: float) ->
     return f, (late_f - early_f) / (late / sr) if late > 0 else 0.0
 
 
-def shaft_speed(bursts: DataFrame, tolerance: float = 0.03) -> DataFrame:
+def shaft_speed(bursts: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """Adds ``f_hz, drift`` to rows ``x array, sr, f_nominal``; bursts are independent of each other."""
     schema = T.StructType([*bursts.schema, T.StructField("f_hz", T.DoubleType()), T.StructField("drift", T.DoubleType())])
 

@@ -339,7 +339,7 @@ def _line(x: np.ndarray, sr: float, hz: float) -> float:
     return float(mags[lo : hi + 1].max() / max(rest[len(rest) // 2], 1e-12))
 
 
-def snapshot_metrics(bursts: DataFrame, watch_order: float, eps_fs: float = 0.001, tolerance: float = 0.03) -> DataFrame:
+def snapshot_metrics(bursts: DataFrame, watch_order: float, eps_fs: float = 0.001, tolerance: float = 0.05) -> DataFrame:
     """One metrics row per burst ``x array<int>, sr, f_nominal``, plus the bounded revolutions.
 
     Bursts are independent, so this is a plain map over the partitions Spark already has.

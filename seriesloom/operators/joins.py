@@ -70,7 +70,7 @@ def band_of(value: Column, edges: list[tuple[str, float, float]]) -> Column:
 
 
 def tempo_match(
-    pairs: DataFrame, mine: str = "a", other: str = "b", ranges: tuple[float, ...] = (0.08, 0.16, 1.0)
+    pairs: DataFrame, mine: str = "a", other: str = "b", ranges: tuple[float, ...] = (0.10, 0.16, 1.0)
 ) -> DataFrame:
     """Rate and phase shift that lock one recording to another.
 

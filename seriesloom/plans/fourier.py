@@ -40,10 +40,11 @@ def power_spectrum(series: Series, values: list[str]) -> DataFrame:
 
         return series.df.select(*keys, "n", *values).groupBy(*keys).applyInPandas(whole, out)
 
-    facts = series.totals(length=F.max("n") + 1)
+    slim = Series(series.df.select(*series._cell, "n", *values), series.keys, series.block)
+    facts = slim.totals(length=F.max("n") + 1)
     total = None
     for v in values:
-        rows = series.attach(facts).df.select(*keys, "n", "length", F.col(v).alias("re"), F.lit(0.0).alias("im"))
+        rows = slim.attach(facts).df.select(*keys, "n", "length", F.col(v).alias("re"), F.lit(0.0).alias("im"))
         spec = chirp_transform(rows, keys)
         part = spec.filter(F.col("n") <= F.floor(F.col("length") / 2)).select(
             *keys, F.col("n").alias("bin"), (F.col("re") ** 2 + F.col("im") ** 2).alias("power"), "length"
@@ -67,8 +68,8 @@ def peak_autocorrelation(series: Series, value: str) -> DataFrame:
 
         return series.df.select(*keys, "n", value).groupBy(*keys).applyInPandas(whole, out)
 
-    facts = series.totals(length=F.max("n") + 1)
-    rows = series.attach(facts).df
+    slim = Series(series.df.select(*series._cell, "n", value), series.keys, series.block)
+    rows = slim.attach(slim.totals(length=F.max("n") + 1)).df
     size = _padded(F.col("length") * 2)
     rows = rows.select(*keys, "n", "length", size.alias("size"), F.col(value).alias("re"), F.lit(0.0).alias("im"))
     spec = radix_transform(rows, keys)

@@ -101,7 +101,7 @@ class Series:
         return replace(self, df=self.df.withColumn(name, copies), keys=(*self.keys, name))
 
     # -- neighbours -------------------------------------------------------------------------
-    def around(self, before: int, after: int, **columns: Callable) -> Series:
+    def around(self, before: int, after: int, /, **columns: Callable) -> Series:
         """Columns computed from at most ``before``/``after`` neighbouring rows.
 
         Each value is a function of the ordered window. Needs a dense ``n``.
