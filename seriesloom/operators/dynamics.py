@@ -161,3 +161,17 @@ def climb_rates(series: Series, split: Column, t: str = "t_h") -> DataFrame:
         before=F.coalesce(F.avg(F.when(early, F.col("dh"))), F.lit(0.0)),
         after=F.coalesce(F.avg(F.when(~early, F.col("dh"))), F.lit(0.0)),
     )
+
+
+def beat_grid(position: Column, beat: Column, loop_beats: float, jump_beats: float) -> dict[str, Column]:
+    """Position snapped to the beat, end of a loop from there, and a jump that never goes below 0.
+
+    Without a beat the position stays as it is.
+    """
+    timed = beat > 0
+    snapped = F.when(timed, F.round(position / beat) * beat).otherwise(position)
+    return {
+        "snapped": snapped,
+        "loop_end": snapped + F.when(timed, F.lit(float(loop_beats)) * beat).otherwise(F.lit(0.0)),
+        "jumped": F.when(timed, F.greatest(position + F.lit(float(jump_beats)) * beat, F.lit(0.0))).otherwise(position),
+    }

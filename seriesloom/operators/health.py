@@ -425,10 +425,10 @@ def component_scores(spectra: DataFrame, mag: str, df: float, shaft_hz: Column,
     ).drop("ranked")
 
 
-def impact_angle(samples: DataFrame, keys: list[str], envelope: str = "env", frac: str = "frac") -> DataFrame:
+def impact_angle(samples: Series, envelope: str = "env", frac: str = "frac") -> DataFrame:
     """Angle (degrees from the load zone) of the impact energy above the mean, and its confidence."""
-    means = samples.groupBy(*keys).agg(F.avg(envelope).alias("floor"))
-    rows = samples.join(means, keys)
+    keys = list(samples.keys)
+    rows = samples.stats(floor=F.avg(envelope)).df
     wt = F.pow(F.greatest(F.col(envelope) - F.col("floor"), F.lit(0.0)), 2)
     turn = F.lit(2.0 * math.pi) * F.col(frac)
     sums = rows.groupBy(*keys).agg(

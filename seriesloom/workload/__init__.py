@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from seriesloom.workload import state_queries, tone_queries  # noqa: F401
+from seriesloom.workload import state_queries, tone_queries, wave_queries  # noqa: F401
 from seriesloom.workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

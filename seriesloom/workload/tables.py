@@ -65,7 +65,7 @@ def waves(spark: SparkSession, sf_dir: str) -> Series:
         "l_partkey",
         "l_linenumber",
         (F.col("l_quantity") - 25.5).alias("x"),
-        (F.col("l_quantity") * 100 + F.col("l_discount") * 100).cast("int").alias("pcm"),
+        (F.round(F.col("l_quantity") * 100 + F.col("l_discount") * 100)).cast("int").alias("pcm"),
         F.col("l_quantity").cast("int").alias("q"),
     )
     series = index_series(rows, ["l_suppkey"], ["l_shipdate", "l_orderkey", "l_partkey", "l_linenumber"])
@@ -76,7 +76,7 @@ WAVES = """
 waves AS (
   SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey
            ORDER BY l_shipdate, l_orderkey, l_partkey, l_linenumber) - 1 AS n,
-         l_quantity - 25.5 AS x, CAST(trunc(l_quantity * 100 + l_discount * 100) AS INTEGER) AS pcm,
+         l_quantity - 25.5 AS x, CAST(round(l_quantity * 100 + l_discount * 100) AS INTEGER) AS pcm,
          CAST(l_quantity AS INTEGER) AS q
   FROM lineitem)"""
 
