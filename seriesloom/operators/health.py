@@ -576,29 +576,37 @@ def _monitor_rule(pdf: pd.DataFrame, state: list | None):
     return pd.DataFrame(events, columns=EVENTS.names), state
 
 
-def monitor(snapshots: Series, reference_snapshots: int = 30) -> DataFrame:
-    """Defect events of every machine.
+def monitor_input(snapshots: Series, reference_snapshots: int = 30) -> tuple[Series, list[str]]:
+    """What the monitor reads per snapshot, and the names of those columns.
 
-    ``snapshots`` carries ``rev_t, rev_bits`` arrays and the localisation of each snapshot (each
-    computed on its own); the mean and spread over the revolutions of the reference stretch are
-    whole-series aggregates.
+    Mean and spread over the revolutions of the reference stretch are whole-series aggregates; the
+    number of revolutions before a snapshot is a running sum.
     """
     early = F.col("n") < reference_snapshots
     rev = F.col("rev_bits")
-    fold = lambda f: F.aggregate(rev, F.lit(0.0), f)
-    size = F.size(rev).cast("double")
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, b: s + b)
+    part = lambda v: F.sum(F.when(early, v))
     rows = snapshots.running(end=-1, rev_base=("sum", F.size(rev).cast("long")))
     rows = rows.with_columns(rev_base=F.coalesce("rev_base", F.lit(0)), in_reference=early)
-    part = lambda v: F.sum(F.when(early, v))
-    rows = rows.stats(ref_sum=part(fold(lambda s, b: s + b)), ref_revs=part(size))
+    rows = rows.stats(ref_sum=part(total(rev)), ref_revs=part(F.size(rev).cast("double")))
     rows = rows.with_columns(mu=F.col("ref_sum") / F.col("ref_revs"))
-    off = F.aggregate(F.transform(rev, lambda b: (b - F.col("mu")) * (b - F.col("mu"))), F.lit(0.0), lambda s, b: s + b)
+    off = total(F.transform(rev, lambda b: (b - F.col("mu")) * (b - F.col("mu"))))
     rows = rows.with_columns(off=off).stats(ref_off=part(F.col("off")))
     rows = rows.with_columns(sigma=F.sqrt(F.col("ref_off") / F.col("ref_revs")))
-    keep = [c for c in ("component", "margin", "angle_deg", "angle_confidence") if c in rows.df.columns]
-    slim = rows.df.select(*rows._cell, "n", "mu", "sigma", "rev_t", "rev_bits", "rev_base", "in_reference", *keep)
+    address = [c for c in ("component", "margin", "angle_deg", "angle_confidence") if c in rows.df.columns]
+    columns = ["mu", "sigma", "rev_t", "rev_bits", "rev_base", *address]
+    return Series(rows.df.select(*rows._cell, "n", "in_reference", *columns), rows.keys, rows.block), columns
+
+
+def monitor(snapshots: Series, reference_snapshots: int = 30) -> DataFrame:
+    """Defect events of every machine.
+
+    ``snapshots`` carries ``rev_t, rev_bits`` arrays and the localisation of each snapshot, which
+    is computed for every snapshot on its own.
+    """
+    slim, _ = monitor_input(snapshots, reference_snapshots)
     close = lambda state: pd.DataFrame(monitor_close(state), columns=EVENTS.names)
-    return run_rule(Series(slim, rows.keys, rows.block), _monitor_rule, EVENTS, close, final=LATCHED)
+    return run_rule(slim, _monitor_rule, EVENTS, close, final=LATCHED)
 
 
 def event_json(events: DataFrame) -> Column:

@@ -14,21 +14,18 @@ def as_of(rows: DataFrame, keys_df: DataFrame, on: list[str], order: list[str],
     One union and one running scan instead of a theta join: keys sort before rows on equal order,
     and a long series is scanned block by block. ``order`` must be unique within each input.
     """
-    held = F.struct(*[F.col(c) for c in value_columns])
-    marks = keys_df.select(*on, *order, F.lit(0).alias("side"), held.alias("held"), F.lit(None).alias("row"))
+    at = [f"at_{c}" for c in order]
+    placed = [F.col(c).alias(a) for c, a in zip(order, at)]
     rest = [c for c in rows.columns if c not in (*on, *order)]
-    points = rows.select(
-        *on,
-        *order,
-        F.lit(1).alias("side"),
-        F.lit(None).cast(marks.schema["held"].dataType).alias("held"),
-        F.struct(*[F.col(c) for c in rest], F.lit(True).alias("present")).alias("row"),
-    )
-    marks = marks.withColumn("row", F.lit(None).cast(points.schema["row"].dataType))
-    merged = index_series(marks.unionByName(points), on, [*order, "side"])
+    marks = keys_df.select(*on, *placed, F.lit(0).alias("side"), F.struct(*value_columns).alias("held"))
+    points = rows.select(*on, *placed, F.lit(1).alias("side"), F.struct(*rest, F.lit(True).alias("present")).alias("row"))
+    merged = index_series(marks.unionByName(points, allowMissingColumns=True), on, [*at, "side"])
     scanned = merged.running(seen=("last", F.col("held"))).df.filter("side = 1")
     return scanned.select(
-        *on, *order, *[F.col(f"row.{c}").alias(c) for c in rest], *[F.col(f"seen.{c}").alias(c) for c in value_columns]
+        *on,
+        *[F.col(a).alias(c) for c, a in zip(order, at)],
+        *[F.col(f"row.{c}").alias(c) for c in rest],
+        *[F.col(f"seen.{c}").alias(c) for c in value_columns],
     )
 
 
