@@ -119,9 +119,9 @@ def byte_size(n: Column) -> Column:
     k = 1024.0
     return (
         F.when(n < k, F.format_string("%,d B", n.cast("long")))
-        .when(n < k**2, F.format_string("%,.1f KiB", n / k))
-        .when(n < k**3, F.format_string("%,.1f MiB", n / k**2))
-        .otherwise(F.format_string("%,.1f GiB", n / k**3))
+        .when(n < k**2, F.format_string("%,.1f KiB", F.bround(n / k, 1)))
+        .when(n < k**3, F.format_string("%,.1f MiB", F.bround(n / k**2, 1)))
+        .otherwise(F.format_string("%,.1f GiB", F.bround(n / k**3, 1)))
     )
 
 

@@ -204,7 +204,10 @@ def _best_representative(block, reps, keys, chunk):
         )
 
     pair = [*keys, "g", "s"]
-    found = left.select(*pair, "n", "v").groupBy(*pair).cogroup(right.select(*pair, "rep", "v").groupBy(*pair)).applyInPandas(score, schema)
+    # Both sides descend from the same rows: fresh aliases keep their columns apart.
+    left = left.select(*[F.col(c).alias(c) for c in (*pair, "n", "v")]).groupBy(*pair)
+    right = right.select(*[F.col(c).alias(c) for c in (*pair, "rep", "v")]).groupBy(*pair)
+    found = left.cogroup(right).applyInPandas(score, schema)
     best = F.max(F.struct(F.col("score"), (-F.col("rep")).alias("back"))).alias("b")
     return found.groupBy(*keys, "n").agg(best).select(*keys, "n", F.col("b.score").alias("best"), (-F.col("b.back")).alias("best_n"))
 

@@ -15,7 +15,7 @@ from seriesloom.functions.columns import centred, dot, doubles, unit
 from seriesloom.operators.aggregates import mean_vector
 from seriesloom.plans.series import Series
 
-MAX_PIVOTS = 64
+MAX_PIVOTS = 512
 CHUNK = 1024
 SLACK = 1e-9  # distances are compared with a margin above their rounding error
 
@@ -62,7 +62,7 @@ def scored(items: DataFrame, profile: DataFrame, keys: list[str], vector: str) -
 
 # -- exact neighbours ---------------------------------------------------------------------------
 def _pivots(items: DataFrame, count: int) -> np.ndarray:
-    """A bounded number of vectors (at most 64) picked by a hash of their id."""
+    """A bounded number of vectors (at most 512) picked by a hash of their id."""
     rows = items.orderBy(F.xxhash64("id"), "id").limit(count).select("v").collect()
     return np.asarray([r["v"] for r in rows], dtype=np.float64)
 
@@ -93,7 +93,7 @@ def _near_chunks(items: DataFrame, reach) -> tuple[DataFrame, DataFrame]:
                 yield pdf.assign(cell=cell.astype("int32"), d=away[np.arange(len(pdf)), cell])
 
     placed = items.mapInPandas(place, placed_type)
-    # One row per cell (at most 64): size, radius and the k-th smallest radius for the reach.
+    # One row per cell (at most 512): size, radius and the k-th smallest radius for the reach.
     cells = reach.cells(placed)
     sizes = {c["cell"]: c for c in cells}
     chunks = {c: max(1, math.ceil(s["held"] / CHUNK)) for c, s in sizes.items()}
@@ -115,7 +115,7 @@ def _near_chunks(items: DataFrame, reach) -> tuple[DataFrame, DataFrame]:
     split = F.create_map(*[F.lit(x) for pair in chunks.items() for x in pair])
     count = F.coalesce(F.try_element_at(split, F.col("cell")), F.lit(1))
     here = F.pmod(F.xxhash64("id"), count).cast("int")
-    visitors = {c: max(1, math.ceil(total / CHUNK)) for c in chunks}
+    visitors = {r["cell"]: math.ceil(r["count"] / CHUNK) for r in queries.groupBy("cell").count().collect()}
     waves = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in visitors.items() for x in p]), F.col("cell")), F.lit(1))
     wave = F.pmod(F.xxhash64("id", F.lit(7)), waves).cast("int")
     queries = queries.withColumn("g", wave).withColumn("s", F.explode(F.sequence(F.lit(0), count - 1)))

@@ -151,7 +151,7 @@ def chirp_transform(rows: DataFrame, keys: list[str]) -> DataFrame:
     product = a.join(b, [*keys, "n"]).select(
         *keys, "n", "length", "size",
         (F.col("re") * F.col("kre") - F.col("im") * F.col("kim")).alias("re"),
-        -(F.col("re") * F.col("kim") + F.col("im") * F.col("kre")).alias("im"),
+        (-(F.col("re") * F.col("kim") + F.col("im") * F.col("kre"))).alias("im"),
     )
     back = radix_transform(product, keys).filter(F.col("n") < F.col("length"))
     re, im = F.col("re") / F.col("size"), -F.col("im") / F.col("size")

@@ -122,16 +122,16 @@ def timed_files(files: DataFrame, keys: list[str], name: str, cadence_h: float)
     return rows.withColumn("t_h", F.col("snap") * F.lit(float(cadence_h)))
 
 
-def count_scale(samples: DataFrame, snap: str, value: str, every: DataFrame | None = None) -> DataFrame:
-    """One row ``scale``: counts per unit from the 99.9th percentile of |x| over every k-th snapshot.
+def count_scale(samples: DataFrame, snap: str, value: str) -> float:
+    """Counts per unit from the 99.9th percentile of |x| over every k-th snapshot.
 
     k keeps about 40 snapshots; the percentile is the value at sorted index floor(len * 0.999).
     """
-    step = samples.agg(F.greatest(F.floor((F.max(snap) + 1) / 40), F.lit(1)).alias("step"))
-    probed = samples.withColumn("all", F.lit(0)).join(step.withColumn("all", F.lit(0)), "all")
-    probed = probed.filter(F.col(snap) % F.col("step") == 0).select("all", F.abs(value).alias("size"))
-    top = pick_rank(probed, ["all"], "size", F.floor(F.col("rows") * 0.999), "top")
-    return top.select((F.lit(PEAK_SHARE) / F.greatest(F.col("top"), F.lit(1e-9))).alias("scale"))
+    last = samples.agg(F.max(snap)).first()[0]
+    step = max(1, (int(last) + 1) // 40)
+    probed = samples.filter(F.col(snap) % step == 0).select(F.lit(0).alias("all"), F.abs(value).alias("size"))
+    top = pick_rank(probed, ["all"], "size", F.floor(F.col("rows") * 0.999), "top").first()["top"]
+    return PEAK_SHARE / max(top, 1e-9)
 
 
 def to_counts(value: Column, scale: Column) -> Column:

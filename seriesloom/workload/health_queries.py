@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.operators import aggregates as agg
 from seriesloom.operators import health, joins
-from seriesloom.plans.series import Series, index_series
+from seriesloom.plans.series import Series, dense_series
 from seriesloom.workload.registry import query
 from seriesloom.workload.tables import DAYS, STATE, WAVES, days, r4, table, user_rows, user_state, waves
 
@@ -162,15 +162,22 @@ def event_json(spark, sf_dir):
     return rows.select("user_id", health.event_json(rows).alias("event"))
 
 
+SNAPSHOT = 4
+
+
 def monitor_snapshots(spark, sf_dir) -> Series:
-    """Machines are users, snapshots are days, revolutions are the day's events."""
-    rows = user_rows(spark, sf_dir).withColumn("day", F.col("ts").cast("date"))
-    packed = rows.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(F.struct("event_id", "ts", "value"))).alias("p"))
-    hours = lambda p: (F.unix_micros(p["ts"].cast("timestamp")) - F.lit(1704067200000000)) / F.lit(3.6e9)
+    """Machines are users, a snapshot is a run of four events, each event a revolution."""
+    hours = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)) / F.lit(3.6e9)
+    rows = user_state(spark, sf_dir, "ts", "value").df.withColumn("t_h", hours)
+    runs = rows.groupBy("user_id", F.floor(F.col("n") / SNAPSHOT).alias("snap"))
+    packed = runs.agg(F.array_sort(F.collect_list(F.struct("n", "t_h", "value"))).alias("p"))
     snaps = packed.select(
-        "user_id", "day", F.transform("p", hours).alias("rev_t"), F.transform("p", lambda p: p["value"]).alias("rev_bits")
+        "user_id",
+        F.col("snap").alias("n"),
+        F.transform("p", lambda p: p["t_h"]).alias("rev_t"),
+        F.transform("p", lambda p: p["value"]).alias("rev_bits"),
     )
-    return index_series(snaps, ["user_id"], ["day"])
+    return dense_series(snaps, ["user_id"])
 
 
 @query("b12_monitor")

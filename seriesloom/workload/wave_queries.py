@@ -411,9 +411,8 @@ scale AS (SELECT 0.95 * 32767 / greatest(max(m), 1e-9) AS scale FROM probe WHERE
 SELECT l_suppkey, n, CAST(greatest(least(round(x * scale), 32767), -32768) AS INTEGER) AS counts FROM waves, scale""")
 def count_scale(spark, sf_dir):
     rows = waves(spark, sf_dir).df.select("l_suppkey", "n", "x")
-    scale = recordings.count_scale(rows, "l_suppkey", "x").withColumn("all", F.lit(0))
-    both = rows.withColumn("all", F.lit(0)).join(F.broadcast(scale), "all")  # one row
-    return both.select("l_suppkey", "n", recordings.to_counts(F.col("x"), F.col("scale")).alias("counts"))
+    scale = recordings.count_scale(rows, "l_suppkey", "x")
+    return rows.select("l_suppkey", "n", recordings.to_counts(F.col("x"), F.lit(scale)).alias("counts"))
 
 
 @query("j10_meta_join", f"""WITH {WAVES}
