@@ -37,7 +37,7 @@ def index_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], layou
         layout = "blocked" if has_long_group(df, keys, limit) else "plain"
     if layout == "plain":
         w = Window.partitionBy(*keys).orderBy(*order)
-        return Series(df.withColumn("n", (F.row_number().over(w) - 1).cast("long")), tuple(keys))
+        return Series(df.withColumn("n", (F.row_number().over(w) - 1).cast("long")), tuple(keys), order=tuple(order))
 
     # A sampled range sort balances the blocks whatever the skew; it is written out once because
     # block numbers come from the physical partitions and must not change between readers.
@@ -67,11 +67,16 @@ def dense_series(df: DataFrame, keys: Sequence[str], layout: str = "auto") -> Se
 
 @dataclass(frozen=True)
 class Series:
-    """Rows ``keys + n + payload``; ``block`` names the block column in the blocked layout."""
+    """Rows ``keys + n + payload``; ``block`` names the block column in the blocked layout.
+
+    ``order`` names the columns ``n`` was numbered along while they are still there: windows over
+    them find the rows already sorted.
+    """
 
     df: DataFrame
     keys: tuple[str, ...]
     block: str | None = None
+    order: tuple[str, ...] = ("n",)
 
     # -- plumbing ---------------------------------------------------------------------------
     @property
@@ -80,7 +85,7 @@ class Series:
 
     @property
     def _ordered(self):
-        return Window.partitionBy(*self._cell).orderBy("n")
+        return Window.partitionBy(*self._cell).orderBy(*(("n",) if self.block else self.order))
 
     def _over_blocks(self):
         return Window.partitionBy(*self.keys).orderBy(self.block)
@@ -95,6 +100,11 @@ class Series:
     def select(self, *columns) -> DataFrame:
         return self.df.select(*columns)
 
+    def slim(self, *columns) -> Series:
+        """Only the key, the order and the named columns."""
+        order = [c for c in self.order if c not in ("n", *columns)]
+        return replace(self, df=self.df.select(*self._cell, *([] if self.block else order), "n", *columns))
+
     def split_by(self, name: str, values: Sequence, dtype: str = "double") -> Series:
         """Repeat every series once per value; the value becomes part of the key."""
         copies = F.explode(F.array(*[F.lit(v).cast(dtype) for v in values]))
@@ -153,8 +163,10 @@ class Series:
         A row sees everything up to itself (``end=0``) or up to the row before (``end=-1``);
         ``backwards`` walks from the end of the series, so ``last`` becomes the nearest row ahead.
         """
-        way = F.col("n").desc() if backwards else F.col("n").asc()
-        frame = Window.partitionBy(*self._cell).orderBy(way).rowsBetween(START, end)
+        w = self._ordered
+        if backwards:
+            w = Window.partitionBy(*self._cell).orderBy(F.col("n").desc())
+        frame = w.rowsBetween(START, end)
         local = {k: _windowed(op, value, frame) for k, (op, value) in scans.items()}
         if not self.block:
             return replace(self, df=self.df.withColumns(local))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesloom.operators.verify import content_mismatches
 from seriesloom.plans.series import Series, dense_series
@@ -26,7 +27,7 @@ def write_state(state: DataFrame, meta: DataFrame, folder: str, buckets: int = B
 
 def read_state(spark: SparkSession, folder: str) -> Series:
     """Stored state with its meta; derived columns follow from ``operators.dynamics.derive``."""
-    state = spark.read.schema(STATE.add("bucket", "int")).parquet(f"{folder}/state").drop("bucket")
+    state = spark.read.schema(T.StructType([*STATE, T.StructField("bucket", T.IntegerType())])).parquet(f"{folder}/state").drop("bucket")
     meta = spark.read.schema(META).parquet(f"{folder}/meta")
     return dense_series(state, ["series_id"]).attach(meta)
 

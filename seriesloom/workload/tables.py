@@ -41,10 +41,9 @@ def user_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_state(spark: SparkSession, sf_dir: str, *extra: str) -> Series:
     """Key ``user_id``, order of arrival, columns a and i (plus the extra ones asked for)."""
-    rows = user_rows(spark, sf_dir).select("user_id", "ts", "event_id", "a", "i", *extra)
-    series = index_series(rows, ["user_id"], ["ts", "event_id"])
-    keep = [*series._cell, "n", "a", "i", *extra]
-    return Series(series.df.select(*keep), series.keys, series.block)
+    rows = user_rows(spark, sf_dir)
+    rows = rows.select("user_id", "ts", "event_id", "a", "i", *[c for c in extra if c not in ("ts", "event_id")])
+    return index_series(rows, ["user_id"], ["ts", "event_id"]).slim("a", "i", *extra)
 
 
 STATE = """
@@ -69,7 +68,7 @@ def waves(spark: SparkSession, sf_dir: str) -> Series:
         F.col("l_quantity").cast("int").alias("q"),
     )
     series = index_series(rows, ["l_suppkey"], ["l_shipdate", "l_orderkey", "l_partkey", "l_linenumber"])
-    return Series(series.df.select(*series._cell, "n", "x", "pcm", "q"), series.keys, series.block)
+    return series.slim("x", "pcm", "q")
 
 
 WAVES = """
@@ -93,7 +92,7 @@ def tones(spark: SparkSession, sf_dir: str) -> Series:
         (20.0 * F.log10(F.abs(e[13]) + F.lit(1e-10))).alias("a"),
     )
     series = index_series(rows, ["label"], ["vec_id"])
-    return Series(series.df.select(*series._cell, "n", "vec_id", "mag", "chroma", "a"), series.keys, series.block)
+    return series.slim("vec_id", "mag", "chroma", "a")
 
 
 TONES = """
