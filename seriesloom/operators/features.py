@@ -472,7 +472,7 @@ def state_bands(series: Series, hop_s: float, omega_bar: float, beats: int = 4)
     z = z.with_columns(wa=F.col("za") * shape, wi=F.col("zi") * shape)
     f_bar = omega_bar / (2.0 * math.pi)
     power = power_spectrum(z, ["wa", "wi"])
-    hz = F.col("bin") / (F.col("length") * F.lit(hop_s))
+    hz = F.col("bin") * (F.lit(1.0) / (F.col("length") * F.lit(hop_s)))
     power = power.filter("bin > 0").withColumn("hz", hz)
     total = F.sum("power")
     share = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("power"))), F.lit(0.0)) / F.when(

@@ -609,32 +609,25 @@ def monitor(snapshots: Series, reference_snapshots: int = 30) -> DataFrame:
     return run_rule(slim, _monitor_rule, EVENTS, close, final=LATCHED)
 
 
-def event_json(events: DataFrame) -> Column:
-    """One JSON object per event, with the digits each field carries."""
-    number = lambda c, digits: F.round(F.col(c), digits)
-    fields = [
-        F.lit("defect_event").alias("object"),
-        F.col("detect_rev").alias("helix_n"),
-        number("t_detect_h", 4).alias("t_detect_h"),
-        number("t_onset_h", 4).alias("t_onset_est_h"),
-        F.col("component").alias("component"),
-        number("margin", 2).alias("component_margin"),
-        number("angle_deg", 1).alias("angle_deg_from_load_zone"),
-        number("angle_confidence", 2).alias("angle_confidence"),
-        number("departure_sigma", 1).alias("departure_sigma"),
-    ]
-    paged = F.to_json(
-        F.struct(
-            *fields,
-            F.lit("maintenance_request").alias("disposition"),
-            number("growth_per_h", 4).alias("growth_per_h"),
-            number("doubling_h", 2).alias("doubling_h"),
-            number("service_by_h", 2).alias("service_by_h"),
-        ),
-        {"ignoreNullFields": "false"},
+# The text form of an event (field order and digits).
+EVENT_FORMAT = (
+    '{"object":"defect_event","helix_n":%d,"t_detect_h":%.4f,"t_onset_est_h":%.4f,"component":"%s",'
+    '"component_margin":%.2f,"angle_deg_from_load_zone":%s,"angle_confidence":%.2f,"departure_sigma":%.1f,'
+    '"disposition":"%s",%s}'
+)
+MAINTENANCE_FORMAT = '"growth_per_h":%.4f,"doubling_h":%.2f,"service_by_h":%.2f'
+ABSORBED_FORMAT = '"plateau_sigma":%.1f'
+
+
+def event_json() -> Column:
+    """One JSON object per event row, with the digits each field carries."""
+    paged = F.col("disposition") == "maintenance"
+    detail = F.when(paged, F.format_string(MAINTENANCE_FORMAT, "growth_per_h", "doubling_h", "service_by_h")).otherwise(
+        F.format_string(ABSORBED_FORMAT, "plateau_sigma")
     )
-    quiet = F.to_json(
-        F.struct(*fields, F.lit("absorbed_stable").alias("disposition"), number("plateau_sigma", 1).alias("plateau_sigma")),
-        {"ignoreNullFields": "false"},
+    kind = F.when(paged, F.lit("maintenance_request")).otherwise(F.lit("absorbed_stable"))
+    angle = F.when(F.col("angle_deg").isNull(), F.lit("null")).otherwise(F.format_string("%.1f", "angle_deg"))
+    return F.format_string(
+        EVENT_FORMAT, "detect_rev", "t_detect_h", "t_onset_h", "component", "margin", angle, "angle_confidence",
+        "departure_sigma", kind, detail,
     )
-    return F.when(F.col("disposition") == "maintenance", paged).otherwise(quiet)

@@ -397,7 +397,23 @@ def rates_rising(spark, sf_dir):
     return agg.rising(_deciles(spark, sf_dir), ["user_id"])
 
 
-@query("w11_policy_sweep")
+GRID_RAILS = (
+    RAILS.replace("user_id, n, za, zi, za AS rx", "z.user_id, kappa, event, hard, n, za, zi, za AS rx")
+    .replace("'start' AS rail FROM z WHERE n = 0", "'start' AS rail FROM z JOIN policy USING (user_id) WHERE n = 0")
+    .replace("SELECT user_id, n, za, zi,\n", "SELECT user_id, kappa, event, hard, n, za, zi,\n")
+    .replace("SELECT s.user_id, s.n,", "SELECT s.user_id, p.kappa, p.event, p.hard, s.n,")
+    .replace("ON p.user_id = w.user_id)", "ON p.user_id = w.user_id AND p.kappa = w.kappa AND p.event = w.event AND p.hard = w.hard)")
+    .replace("SELECT user_id, n, rail FROM walk", "SELECT user_id, kappa, event, hard, n, rail FROM walk")
+)
+
+
+@query("w11_policy_sweep", f"""WITH RECURSIVE {SEED},
+grid AS (SELECT k::DOUBLE AS kappa, e::DOUBLE AS event, m::DOUBLE AS hard FROM (SELECT unnest([0.5, 1.0, 2.0]) AS k), (SELECT unnest([1.0, 1.5, 2.0]) AS e), (SELECT unnest([4.0, 6.0]) AS m)
+         UNION ALL SELECT 16.0, 3.0, 6.0),
+policy AS (SELECT user_id, kappa, event, hard, event * seed AS tau_event, hard * seed AS tau_max, exp(-kappa * 0.02) AS leak FROM seeds, grid), {GRID_RAILS},
+sizes AS (SELECT user_id, count(*) AS n_frames FROM state GROUP BY 1)
+SELECT user_id, kappa, event, hard, count(*) AS n_keys, CAST(sum((rail = 'event')::INT) AS BIGINT) AS n_event, CAST(sum((rail = 'hard')::INT) AS BIGINT) AS n_hard,
+  any_value(n_frames) AS n_frames, round(any_value(n_frames) / count(*)::DOUBLE, 4) AS sparsity FROM picked JOIN sizes USING (user_id) GROUP BY 1, 2, 3, 4""")
 def policy_sweep(spark, sf_dir):
     """Every (kappa, event, hard) of the grid plus the default, one report row per user and policy."""
     s = user_state(spark, sf_dir)
@@ -423,7 +439,16 @@ def policy_sweep(spark, sf_dir):
     )
 
 
-@query("f17_state_bands")
+@query("f17_state_bands", f"""WITH {Z},
+w AS (SELECT user_id, n, count(*) OVER (PARTITION BY user_id) AS len, za, zi FROM z),
+h AS (SELECT user_id, n, len, za * (0.5 - 0.5 * cos(2 * pi() * n / (len - 1))) AS wa, zi * (0.5 - 0.5 * cos(2 * pi() * n / (len - 1))) AS wi FROM w),
+b AS (SELECT DISTINCT user_id, len, unnest(range(1, len // 2 + 1)) AS bin FROM w),
+d AS (SELECT user_id, bin, len, power(sum(wa * cos(2 * pi() * ((n * bin) % len) / len)), 2) + power(sum(wa * sin(2 * pi() * ((n * bin) % len) / len)), 2)
+        + power(sum(wi * cos(2 * pi() * ((n * bin) % len) / len)), 2) + power(sum(wi * sin(2 * pi() * ((n * bin) % len) / len)), 2) AS p
+      FROM h JOIN b USING (user_id, len) GROUP BY 1, 2, 3),
+f AS (SELECT user_id, bin * (1.0::DOUBLE / (len * 0.02::DOUBLE)) AS hz, p FROM d)
+SELECT user_id, round(coalesce(sum(p) FILTER (hz < 1.0), 0) / sum(p), 4) AS below_bar, round(coalesce(sum(p) FILTER (hz >= 1.0 AND hz < 4.0), 0) / sum(p), 4) AS bar_to_beat,
+  round(coalesce(sum(p) FILTER (hz >= 4.0 AND hz < 10.0), 0) / sum(p), 4) AS beat_to_10hz, round(coalesce(sum(p) FILTER (hz >= 10.0), 0) / sum(p), 4) AS above_10hz FROM f GROUP BY 1""")
 def state_bands(spark, sf_dir):
     out = feat.state_bands(user_state(spark, sf_dir), hop_s=0.02, omega_bar=2 * math.pi)
     return out.select("user_id", *[r4(c, c) for c in ("below_bar", "bar_to_beat", "beat_to_10hz", "above_10hz")])

@@ -213,11 +213,21 @@ def _bursts(spark, sf_dir, size: int = 512):
     )
 
 
-@query("f18_band_envelopes")
+BURSTS = """
+cut AS (SELECT l_suppkey, n // 512 AS snap, n % 512 AS pos, pcm, count(*) OVER (PARTITION BY l_suppkey, n // 512) AS held FROM waves),
+bursts AS (SELECT l_suppkey, snap, pos, pcm FROM cut WHERE held = 512)"""
+
+
+@query("f18_band_envelopes", f"""WITH {WAVES}, {BURSTS},
+k AS (SELECT unnest(range(52, 154)) AS k),
+spec AS (SELECT l_suppkey, snap, k, sum(pcm * cos(2 * pi() * ((pos * k) % 512) / 512)) AS re, -sum(pcm * sin(2 * pi() * ((pos * k) % 512) / 512)) AS im FROM bursts, k GROUP BY 1, 2, 3),
+back AS (SELECT l_suppkey, snap, t.pos, sum(2 * (re * cos(2 * pi() * ((t.pos * k) % 512) / 512) - im * sin(2 * pi() * ((t.pos * k) % 512) / 512))) / 512 AS re,
+         sum(2 * (re * sin(2 * pi() * ((t.pos * k) % 512) / 512) + im * cos(2 * pi() * ((t.pos * k) % 512) / 512))) / 512 AS im FROM spec, (SELECT unnest(range(512)) AS pos) t GROUP BY 1, 2, 3)
+SELECT l_suppkey, snap, CAST(pos AS INTEGER) AS at_pos, round(sqrt(re * re + im * im), 4) AS level FROM back""")
 def band_envelopes(spark, sf_dir):
     envelope = feat.band_envelope()
     rows = _bursts(spark, sf_dir).withColumn("env", envelope(F.col("x").cast("array<double>"), "sr"))
-    return rows.select("l_suppkey", "snap", F.posexplode("env").alias("at", "level")).withColumn("level", F.round("level", 4))
+    return rows.select("l_suppkey", "snap", F.posexplode("env").alias("at_pos", "level")).withColumn("level", F.round("level", 4))
 
 
 @query("f19_shaft_speed")
@@ -231,6 +241,14 @@ def snapshot_metrics(spark, sf_dir):
     return out.select("l_suppkey", "snap", *[r4(c, c) for c in health.METRIC_FIELDS], F.size("revs").alias("revs"))
 
 
+@query("b8_plain_indicators", f"""WITH {WAVES}, {BURSTS}
+SELECT l_suppkey, snap, round(sqrt(avg(pcm * pcm)) / 32768, 6) AS rms_fs, round(kurtosis_pop(pcm) + 3, 4) AS kurtosis,
+  round(max(abs(pcm)) / sqrt(avg(pcm * pcm)), 4) AS crest FROM bursts GROUP BY 1, 2""")
+def plain_indicators(spark, sf_dir):
+    out = health.snapshot_metrics(_bursts(spark, sf_dir), watch_order=3.5848)
+    return out.select("l_suppkey", "snap", F.round("rms_fs", 6).alias("rms_fs"), r4("kurtosis", "kurtosis"), r4("crest", "crest"))
+
+
 @query("a10_condition_ranking")
 def condition_ranking(spark, sf_dir):
     out = health.snapshot_metrics(_bursts(spark, sf_dir), watch_order=3.5848)
@@ -344,7 +362,17 @@ def relative_l2(spark, sf_dir):
     return verify.relative_l2(rows, ["l_suppkey"], F.col("x"), F.round(F.col("x") / 8) * 8).withColumn("rel_l2", F.round("rel_l2", 4))
 
 
-@query("h9_aligned_residuals")
+@query("h9_aligned_residuals", f"""WITH {WAVES},
+b AS (SELECT l_suppkey, n // 64 AS bar, n % 64 AS at, pcm, count(*) OVER (PARTITION BY l_suppkey, n // 64) AS held FROM waves),
+full_ AS (SELECT * FROM b WHERE held = 64),
+pairs AS (SELECT DISTINCT x.l_suppkey, x.bar FROM full_ x JOIN full_ y ON x.l_suppkey = y.l_suppkey AND y.bar = x.bar - 1),
+xc AS (SELECT p.l_suppkey, p.bar, l.lag, sum(x.pcm::BIGINT * y.pcm) AS c, sum(y.pcm::BIGINT * y.pcm) AS yy FROM pairs p, (SELECT unnest(range(-16, 17)) AS lag) l, full_ x, full_ y
+       WHERE x.l_suppkey = p.l_suppkey AND x.bar = p.bar AND y.l_suppkey = p.l_suppkey AND y.bar = p.bar - 1 AND y.at = x.at - l.lag GROUP BY 1, 2, 3),
+best AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, bar ORDER BY c DESC, CASE WHEN lag >= 0 THEN lag ELSE 100 + lag END) AS k FROM xc),
+g AS (SELECT l_suppkey, bar, lag, CAST(round_even(least(greatest(CASE WHEN yy > 0 THEN c / yy::DOUBLE ELSE 0 END, -2), 2) * 4096, 0) AS BIGINT) AS gain FROM best WHERE k = 1),
+r AS (SELECT g.l_suppkey, g.bar, g.lag, g.gain, x.pcm, x.pcm - CAST(floor((g.gain * coalesce(y.pcm, 0) + 2048) / 4096.0) AS BIGINT) AS res
+      FROM g JOIN full_ x ON x.l_suppkey = g.l_suppkey AND x.bar = g.bar LEFT JOIN full_ y ON y.l_suppkey = g.l_suppkey AND y.bar = g.bar - 1 AND y.at = x.at - g.lag)
+SELECT l_suppkey, bar, lag, gain, round(sqrt(avg(res * res)) / CASE WHEN avg(pcm * pcm) > 0 THEN sqrt(avg(pcm * pcm)) ELSE 1 END, 4) AS rms_ratio FROM r GROUP BY 1, 2, 3, 4""")
 def aligned_residuals(spark, sf_dir):
     """Every bar of 64 samples against the bar before it, within 16 samples of shift."""
     rows = waves(spark, sf_dir).df.withColumn("bar", F.floor(F.col("n") / 64)).groupBy("l_suppkey", "bar")
