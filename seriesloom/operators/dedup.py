@@ -296,7 +296,7 @@ def null_matches(labels: Series, seed: int) -> DataFrame:
     """
     canonical = F.col("label") == F.col("n")
     rows = labels.running(end=-1, earlier=("count", F.when(canonical, F.lit(1))))
-    mixed = F.pmod(F.col("n") * F.lit(2654435761) + F.lit(seed * 40503 + 12345), F.lit(1 << 31))
+    mixed = F.pmod(F.pmod(F.col("n"), F.lit(1 << 31)) * F.lit(2654435761) + F.lit(seed * 40503 + 12345), F.lit(1 << 31))
     pooled = rows.df.filter(~canonical & (F.col("earlier") > 0))
     pooled = pooled.select(*labels.keys, "n", "label", (mixed % F.col("earlier")).alias("pick"))
     ranked = rows.df.filter(canonical).select(*labels.keys, F.coalesce("earlier", F.lit(0)).alias("pick"), F.col("n").alias("control"))

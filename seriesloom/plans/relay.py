@@ -65,7 +65,7 @@ def run_rule(
 
 def _run_blocks(series, rule, emits, close, final, serial):
     keys, cell = list(series.keys), series._cell
-    rows = checkpointed(series.df)
+    rows = series._settle().df
     result = T.StructType(
         [series.df.schema[c] for c in cell]
         + [

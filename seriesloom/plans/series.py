@@ -20,10 +20,15 @@ from seriesloom.session import MAX_RANGE_PARTITIONS, block_rows, checkpointed
 START = Window.unboundedPreceding
 
 
-def has_long_group(df: DataFrame, keys: Sequence[str], limit: int) -> bool:
-    """True when some group of ``df`` holds more than ``limit`` rows (map-side counted)."""
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest group and of all groups (counted map-side first)."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    return not counts.filter(F.col("rows") > limit).isEmpty()
+    largest, total = counts.agg(F.max("rows"), F.sum("rows")).first()
+    return largest or 0, total or 0
+
+
+def has_long_group(df: DataFrame, keys: Sequence[str], limit: int) -> bool:
+    return group_sizes(df, keys)[0] > limit
 
 
 def index_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], layout: str = "auto") -> Series:
@@ -33,15 +38,14 @@ def index_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], layou
     """
     keys, order = list(keys), list(order)
     limit = block_rows(df.sparkSession)
-    if layout == "auto":
-        layout = "blocked" if has_long_group(df, keys, limit) else "plain"
-    if layout == "plain":
+    largest, total = group_sizes(df, keys)
+    if layout == "plain" or (layout == "auto" and largest <= limit):
         w = Window.partitionBy(*keys).orderBy(*order)
         return Series(df.withColumn("n", (F.row_number().over(w) - 1).cast("long")), tuple(keys), order=tuple(order))
 
     # A sampled range sort balances the blocks whatever the skew; it is written out once because
     # block numbers come from the physical partitions and must not change between readers.
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / limit))
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(total / limit))
     parts = min(parts, MAX_RANGE_PARTITIONS)
     ranged = df.repartitionByRange(parts, *keys, *order)
     ranged = checkpointed(ranged.withColumn("blk", F.spark_partition_id().cast("long")))
@@ -77,6 +81,7 @@ class Series:
     keys: tuple[str, ...]
     block: str | None = None
     order: tuple[str, ...] = ("n",)
+    settled: DataFrame | None = None
 
     # -- plumbing ---------------------------------------------------------------------------
     @property
@@ -87,6 +92,20 @@ class Series:
     def _ordered(self):
         return Window.partitionBy(*self._cell).orderBy(*(("n",) if self.block else self.order))
 
+    def _settle(self) -> Series:
+        """Write the rows once before a step that reads them twice (blocked layout only).
+
+        Without it every such step would double the work of all the steps before it.
+        """
+        if not self.block or self.settled is self.df:
+            return self
+        kept = self.__dict__.get("_kept")
+        if kept is None:
+            rows = checkpointed(self.df)
+            kept = replace(self, df=rows, settled=rows)
+            object.__setattr__(self, "_kept", kept)  # later readers of this series share the copy
+        return kept
+
     def _over_blocks(self):
         return Window.partitionBy(*self.keys).orderBy(self.block)
 
@@ -146,15 +165,17 @@ class Series:
         """
         if not self.block:
             return replace(self, df=self.df.join(facts, list(self.keys), how))
-        blocks = self.df.select(*self._cell).distinct().join(facts, list(self.keys), how)
-        return replace(self, df=self.df.join(blocks, self._cell, how))
+        held = self._settle()
+        blocks = held.df.select(*self._cell).distinct().join(facts, list(self.keys), how)
+        return replace(held, df=held.df.join(blocks, self._cell, how))
 
     def stats(self, **aggregates: Column) -> Series:
         """Whole-series aggregates as columns of every row."""
         if not self.block:
             w = Window.partitionBy(*self.keys)
             return replace(self, df=self.df.withColumns({k: a.over(w) for k, a in aggregates.items()}))
-        return self.attach(self.totals(**aggregates))
+        held = self._settle()
+        return held.attach(held.totals(**aggregates))
 
     # -- running scans ----------------------------------------------------------------------
     def running(self, end: int = 0, backwards: bool = False, **scans: tuple[str, Column]) -> Series:
@@ -172,14 +193,15 @@ class Series:
             return replace(self, df=self.df.withColumns(local))
         outward = F.col(self.block).desc() if backwards else F.col(self.block).asc()
         prior = Window.partitionBy(*self.keys).orderBy(outward).rowsBetween(START, -1)
-        summary = self.df.groupBy(*self._cell).agg(
+        rows = self._settle().df
+        summary = rows.groupBy(*self._cell).agg(
             *[_folded(op, value, backwards).alias(f"in_{k}") for k, (op, value) in scans.items()]
         )
         summary = summary.select(
             *self._cell,
             *[_carried(op, F.col(f"in_{k}"), prior).alias(f"in_{k}") for k, (op, _) in scans.items()],
         )
-        out = self.df.withColumns(local).join(summary, self._cell)
+        out = rows.withColumns(local).join(summary, self._cell)
         for k, (op, _) in scans.items():
             out = out.withColumn(k, _merged(op, F.col(f"in_{k}"), F.col(k))).drop(f"in_{k}")
         return replace(self, df=out)
@@ -193,7 +215,7 @@ class Series:
 
     def _reflect(self, name: str, inc: Column) -> Series:
         frame = self._ordered.rowsBetween(START, 0)
-        out = self.df.withColumn("walk", F.sum(inc).over(frame))
+        out = self._settle().df.withColumn("walk", F.sum(inc).over(frame))
         out = out.withColumn("low", F.min("walk").over(frame))
         if not self.block:
             out = out.withColumn(name, F.col("walk") - F.least(F.lit(0.0), F.col("low")))
@@ -215,7 +237,7 @@ class Series:
         if factor >= 1.0:
             return self.running(**{k: ("sum", s) for k, s in steps.items()})
         size = block_rows(self.df.sparkSession)
-        rows = self.df.withColumns({f"step_{k}": s for k, s in steps.items()})
+        rows = self._settle().df.withColumns({f"step_{k}": s for k, s in steps.items()})
         out = _leak(rows, list(self.keys), "n", list(steps), factor, size)
         return replace(self, df=out.drop(*[f"step_{k}" for k in steps]))
 
@@ -224,7 +246,7 @@ class Series:
         lr = math.log(release)
         size = block_rows(self.df.sparkSession)
         at = F.pmod(F.col("n"), F.lit(size)) if self.block else F.col("n")
-        out = self if not self.block else self.reblocked()
+        out = self if not self.block else self.reblocked()._settle()
         scan = {}
         for k, x in levels.items():
             scan[k] = F.when(x > 0, F.log(x) - at * F.lit(lr))

@@ -336,7 +336,17 @@ def _chroma_series(spark, sf_dir) -> Series:
     return Series(rows, ("series",), s.block)
 
 
-@query("h6_greedy_pool")
+GREEDY = """
+vecs AS (SELECT label AS series, n, chroma AS v, list_transform(chroma, lambda x: x / sqrt(list_dot_product(chroma, chroma))) AS u FROM tones),
+tried AS (SELECT series, n, v, u, thr FROM vecs, (SELECT unnest([{thresholds}])::DOUBLE AS thr)),
+walk AS (SELECT series, thr, n, [struct_pack(rep := n, u := u)] AS reps, n AS label FROM tried WHERE n = 0
+  UNION ALL SELECT series, thr, n, CASE WHEN list_max(scores) >= thr THEN reps ELSE list_append(reps, struct_pack(rep := n, u := u)) END,
+    CASE WHEN list_max(scores) >= thr THEN reps[list_position(scores, list_max(scores))].rep ELSE n END
+  FROM (SELECT t.series, t.thr, t.n, t.u, w.reps, list_transform(w.reps, lambda r: list_dot_product(r.u, t.u)) AS scores
+        FROM walk w JOIN tried t ON t.series = w.series AND t.thr = w.thr AND t.n = w.n + 1))"""
+
+
+@query("h6_greedy_pool", f"WITH RECURSIVE {TONES}, {GREEDY.format(thresholds='0.85')} SELECT series, n, label FROM walk")
 def greedy_pool(spark, sf_dir):
     return dedup.greedy_pool(_chroma_series(spark, sf_dir), 0.85)
 
@@ -354,7 +364,13 @@ def pooled_residual(spark, sf_dir):
     return out.select(F.col("series").alias("label"), r4("median_residual", "median_residual"))
 
 
-@query("h8_threshold_sweep")
+@query("h8_threshold_sweep", f"""WITH RECURSIVE {TONES}, {GREEDY.format(thresholds='0.80, 0.85, 0.90')},
+share AS (SELECT series, thr, count(*) AS rows, avg((label <> n)::INT) AS pooled_share FROM walk GROUP BY 1, 2),
+el AS (SELECT series, n, unnest(range(12)) AS pos, unnest(v) AS x FROM vecs),
+d AS (SELECT w.series, w.thr, w.n, sqrt(sum(power(a.x - b.x, 2))) / sqrt(sum(b.x * b.x)) AS r FROM walk w JOIN el a ON a.series = w.series AND a.n = w.n
+      JOIN el b ON b.series = w.series AND b.n = w.label AND b.pos = a.pos WHERE w.label <> w.n GROUP BY 1, 2, 3),
+m AS (SELECT series, thr, median(r) AS median_residual FROM d GROUP BY 1, 2)
+SELECT series, thr, rows, round(pooled_share, 4) AS pooled_share, round(median_residual, 4) AS median_residual FROM share LEFT JOIN m USING (series, thr)""")
 def threshold_sweep(spark, sf_dir):
     out = dedup.threshold_sweep(_chroma_series(spark, sf_dir), [0.80, 0.85, 0.90])
     return out.select("series", "thr", "rows", r4("pooled_share", "pooled_share"), r4("median_residual", "median_residual"))
