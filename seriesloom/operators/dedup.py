@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,7 @@ from seriesloom.session import block_rows, checkpointed
 
 HASH_FAN = 4096
 HASH_DEPTH = 3
+BARS_PER_STEP = 4096
 MAX_GAIN = 2.0
 GAIN_BITS = 12
 
@@ -67,8 +68,12 @@ def bar_length(bpm: Column, beats: float, sr: float) -> Column:
 
 def bar_bounds(lengths: DataFrame, spb: Column) -> DataFrame:
     """Half-open ``bar, start, end`` tiles of ``length``; the last one may be shorter."""
-    starts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, spb)
-    rows = lengths.withColumn("spb", spb).select("*", F.posexplode(starts).alias("bar", "start"))
+    rows = lengths.withColumn("spb", spb).filter(F.col("length") > 0)
+    last = F.floor((F.col("length") - 1) / F.col("spb"))
+    # Two steps, so that a very long series never becomes one very long array.
+    rows = rows.withColumn("bar", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(BARS_PER_STEP).cast("long"))))
+    rows = rows.withColumn("bar", F.explode(F.sequence(F.col("bar"), F.least(F.col("bar") + BARS_PER_STEP - 1, last))))
+    rows = rows.withColumn("start", F.col("bar") * F.col("spb"))
     return rows.withColumn("end", F.least(F.col("start") + F.col("spb"), F.col("length")))
 
 
@@ -133,6 +138,7 @@ def greedy_pool(vectors: Series, threshold: Column | float, vector: str = "v") -
     """
     threshold = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     keys = list(vectors.keys)
+    vectors = vectors.reblocked() if vectors.block else vectors
     rows = vectors.df.select(*vectors._cell, "n", F.col(vector).alias("v"), threshold.cast("double").alias("limit"))
     schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("n", T.LongType()), T.StructField("label", T.LongType())])
     none = [F.lit(-1.0).alias("best"), F.lit(-1).cast("long").alias("best_n")]
@@ -159,7 +165,7 @@ def greedy_pool(vectors: Series, threshold: Column | float, vector: str = "v") -
         return rows.select("*", *none).groupBy(*keys).applyInPandas(settle, schema)
 
     chunk = min(4096, block_rows(rows.sparkSession))
-    rows = checkpointed(rows.withColumn("turn", F.dense_rank().over(Window.partitionBy(*keys).orderBy(vectors.block))))
+    rows = checkpointed(rows.withColumn("turn", F.col(vectors.block) + 1))
     turns = rows.agg(F.max("turn")).first()[0] or 0
     labels, reps = None, None
     for turn in range(1, turns + 1):

@@ -1,4 +1,4 @@
-"""Derivative, force, climb, helix geometry and colour of a two-channel state (a, i)."""
+"""Derivative, force, climb, coil geometry and colour of a two-channel state (a, i)."""
 
 from __future__ import annotations
 
@@ -67,7 +67,7 @@ def clock(omega_n: Column | float, hop_s: Column | float, r0: Column | float = 1
 
 
 def angular_step(bpm: Column, beats: float, hop: float, sr: float) -> Column:
-    """Radians per row: one turn of the helix is one bar."""
+    """Radians per row: one turn of the coil is one bar."""
     return F.lit(2.0 * math.pi) * bpm / F.lit(60.0 * beats) * F.lit(hop / sr)
 
 

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.plans.series import START, Series
-from seriesloom.session import checkpointed
+from seriesloom.session import block_rows, checkpointed
+
+RULE_BLOCK = 1 << 17
 
 # A rule takes the rows of one block in order and the state left by the row before them (None at
 # the start of a series); it returns the rows it emits and the state after the last one.
@@ -64,6 +66,9 @@ def run_rule(
 
 
 def _run_blocks(series, rule, emits, close, final, serial):
+    # Equal blocks by row number bound what a task holds; serial rules take the largest allowed.
+    size = block_rows(series.df.sparkSession)
+    series = series.reblocked(size if serial else min(size, RULE_BLOCK))
     keys, cell = list(series.keys), series._cell
     rows = series._settle().df
     result = T.StructType(

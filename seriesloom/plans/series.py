@@ -272,9 +272,9 @@ class Series:
             df = df.withColumn(k, F.coalesce(F.exp(best), F.lit(0.0))).drop(f"end_{k}")
         return replace(out, df=df)
 
-    def reblocked(self) -> Series:
-        """The blocked layout with equal blocks ``n div block.rows`` (dense ``n``)."""
-        size = block_rows(self.df.sparkSession)
+    def reblocked(self, size: int | None = None) -> Series:
+        """The blocked layout with equal blocks ``n div size`` (dense ``n``)."""
+        size = size or block_rows(self.df.sparkSession)
         return replace(self, df=self.df.withColumn("blk", F.floor(F.col("n") / size)), block="blk")
 
 

@@ -1,7 +1,7 @@
 """The stateful streams over the event table, drained with ``availableNow``.
 
-The stored rows of the batch side are written once as the stream's source, in a folder below the
-cluster's checkpoint folder; each must equal the batch form.
+The rows of the batch side are written as the stream's source, in a folder below the cluster's
+checkpoint folder; each must equal the batch form.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from seriesloom.operators import dynamics as dyn
 from seriesloom.operators import health
 from seriesloom.operators import keyframes as keys
 from seriesloom.plans.series import Series
-from seriesloom.session import shared_folder
+from seriesloom.session import block_rows, checkpointed, shared_folder
 from seriesloom.streaming import ingest, stateful
 from seriesloom.streaming.frames import sliding_frames
 from seriesloom.workload.health_queries import CUSUM, LIMIT, REF, monitor_snapshots
@@ -22,24 +22,34 @@ from seriesloom.workload.state_queries import EPS_H, ONE_EPS, RAILS, SCALED, _po
 from seriesloom.workload.tables import r4, table, user_state
 
 
-def _as_stream(series: Series, columns: list[str], name: str, spark) -> tuple[DataFrame, str]:
-    """Series rows plus one closing row per series, replayed from files."""
+def _replay(series: Series, columns: list[str], name: str, spark, build) -> DataFrame:
+    """Feed the rows (and one closing row per series) to a stream in waves of increasing ``n``.
+
+    A wave brings at most ``seriesloom.block.rows`` rows of any series, so that is all a task holds
+    of a key at a time; the stream resumes from its checkpoint for every wave.
+    """
     rows = series.df.select(*series.keys, "n", *columns, F.lit(False).alias("closing"))
     ends = rows.groupBy(*series.keys).agg((F.max("n") + 1).alias("n")).withColumn("closing", F.lit(True))
     rows = rows.unionByName(ends, allowMissingColumns=True)
+    size = block_rows(spark)
+    last = ends.agg(F.max("n")).first()[0] or 0
+    waves = range(last // size + 1)
+    if len(waves) > 1:
+        rows = checkpointed(rows)
     folder = shared_folder(spark, name)
-    rows.write.parquet(f"{folder}/input")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/input")
     ingest.use_rocksdb(spark)
-    return stream, folder
+    for wave in waves:
+        rows.filter(F.floor(F.col("n") / size) == wave).write.mode("append").parquet(f"{folder}/input")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/input")
+        out = stateful.run_available(build(stream), folder)
+    return out
 
 
 @query("st1_tick_stream", f"WITH {ONE_EPS} SELECT user_id, n, round(h, 4) AS h, step_rows FROM ticks")
 def tick_stream(spark, sf_dir):
     s = user_state(spark, sf_dir)
     s = s.attach(dyn.calibration(s).select("user_id", "s_a", "s_i")).with_columns(eps=F.lit(EPS_H))
-    stream, folder = _as_stream(s, ["a", "i", "s_a", "s_i", "eps"], "ticks", spark)
-    out = stateful.run_available(stateful.tick_stream(stream, ["user_id"]), folder)
+    out = _replay(s, ["a", "i", "s_a", "s_i", "eps"], "ticks", spark, lambda rows: stateful.tick_stream(rows, ["user_id"]))
     return out.select("user_id", "n", r4("h", "h"), "step_rows")
 
 
@@ -47,16 +57,15 @@ def tick_stream(spark, sf_dir):
 def keyframe_stream(spark, sf_dir):
     s = user_state(spark, sf_dir)
     z = dyn.standardise(s, za="a", zi="i").attach(_policy(s, 60.0, 90.0).select("user_id", "tau_event", "tau_max", "leak"))
-    stream, folder = _as_stream(z, ["za", "zi", "tau_event", "tau_max", "leak"], "keyframes", spark)
-    return stateful.run_available(stateful.keyframe_stream(stream, ["user_id"]), folder)
+    columns = ["za", "zi", "tau_event", "tau_max", "leak"]
+    return _replay(z, columns, "keyframes", spark, lambda rows: stateful.keyframe_stream(rows, ["user_id"]))
 
 
 @query("st3_monitor_stream")
 def monitor_stream(spark, sf_dir):
     s, columns = health.monitor_input(monitor_snapshots(spark, sf_dir), 4)
     late = Series(s.df.filter("NOT in_reference"), s.keys, s.block)
-    stream, folder = _as_stream(late, columns, "monitor", spark)
-    out = stateful.run_available(stateful.monitor_stream(stream, ["user_id"]), folder)
+    out = _replay(late, columns, "monitor", spark, lambda rows: stateful.monitor_stream(rows, ["user_id"]))
     return out.select("user_id", "detect_rev", "disposition", r4("t_detect_h", "t_detect_h"), r4("departure_sigma", "departure_sigma"))
 
 
@@ -64,8 +73,7 @@ def monitor_stream(spark, sf_dir):
 def cusum_stream(spark, sf_dir):
     s = health.reference_scores(user_state(spark, sf_dir), "a", REF)
     late = Series(s.df.filter(F.col("n") >= REF), s.keys, s.block)
-    stream, folder = _as_stream(late, ["z"], "cusum", spark)
-    out = stateful.run_available(stateful.cusum_stream(stream, ["user_id"], LIMIT, slack=0.05), folder)
+    out = _replay(late, ["z"], "cusum", spark, lambda rows: stateful.cusum_stream(rows, ["user_id"], LIMIT, slack=0.05))
     return out.select("user_id", "n", r4("s", "s"), r4("w", "w"))
 
 

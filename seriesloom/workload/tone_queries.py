@@ -295,14 +295,14 @@ def blended_signature(spark, sf_dir):
 
 
 @query("x6_profile_scores", f"""WITH {UNIT},
-el AS (SELECT vec_id, label, unnest(range(64)) AS pos, unnest(u) AS x FROM units),
-m AS (SELECT label, pos, avg(x) AS m FROM el WHERE vec_id % 3 = 0 GROUP BY 1, 2),
+el AS (SELECT vec_id, label, u[1] > 0 AS liked, unnest(range(64)) AS pos, unnest(u) AS x FROM units),
+m AS (SELECT label, pos, avg(x) AS m FROM el WHERE liked GROUP BY 1, 2),
 prof AS (SELECT label, pos, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS p FROM m)
-SELECT vec_id, label, round(sum(x * p), 4) AS score FROM el JOIN prof USING (label, pos) WHERE vec_id % 3 <> 0 GROUP BY 1, 2""")
+SELECT vec_id, label, round(sum(x * p), 4) AS score FROM el JOIN prof USING (label, pos) GROUP BY 1, 2""")
 def profile_scores(spark, sf_dir):
+    """Every item against the profile of the liked items (first component positive) of its label."""
     units = _units(spark, sf_dir)
-    liked = F.col("vec_id") % 3 == 0
-    out = sim.scored(units.filter(~liked), sim.profiles(units.filter(liked), ["label"], "u"), ["label"], "u")
+    out = sim.scored(units, sim.profiles(units.filter(F.col("u")[0] > 0), ["label"], "u"), ["label"], "u")
     return out.select("vec_id", "label", r4("score", "score"))
 
 

@@ -333,13 +333,13 @@ def bar_bounds(spark, sf_dir):
 
 
 @query("v1_content_mismatches", f"""WITH {WAVES},
-other AS (SELECT l_suppkey, n, CASE WHEN l_suppkey % 7 = 0 AND n = 10 THEN pcm + 1 ELSE pcm END AS pcm FROM waves),
+other AS (SELECT l_suppkey, n, CASE WHEN q > 40 AND n = 10 THEN pcm + 1 ELSE pcm END AS pcm FROM waves),
 a AS (SELECT l_suppkey, n // 4096 AS part, sha256(string_agg(CAST(pcm AS VARCHAR), ',' ORDER BY n)) AS h FROM waves GROUP BY 1, 2),
 b AS (SELECT l_suppkey, n // 4096 AS part, sha256(string_agg(CAST(pcm AS VARCHAR), ',' ORDER BY n)) AS h FROM other GROUP BY 1, 2)
 SELECT l_suppkey, part, a.h AS left_hash, b.h AS right_hash FROM a FULL JOIN b USING (l_suppkey, part) WHERE a.h IS DISTINCT FROM b.h""")
 def content_mismatches(spark, sf_dir):
-    left = waves(spark, sf_dir).df.select("l_suppkey", "n", "pcm")
-    changed = (F.col("l_suppkey") % 7 == 0) & (F.col("n") == 10)
+    left = waves(spark, sf_dir).df.select("l_suppkey", "n", "pcm", "q")
+    changed = (F.col("q") > 40) & (F.col("n") == 10)
     right = left.withColumn("pcm", F.when(changed, F.col("pcm") + 1).otherwise(F.col("pcm")))
     return verify.content_mismatches(left, right, ["l_suppkey"], F.col("pcm"))
 

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 BLOCKED = [
     "w1_strongest_moments", "d1_smooth_modes", "d6_curvature_torsion", "w2_energy_ticks", "w5_two_rail_keyframes",
     "w9_leaky_sum", "w12_first_alarm", "w14_onset_estimate", "a6_decile_rates", "a8_error_summary", "f5_spectral_centre",
-    "f11_peak_hold", "f16_tempo", "j1_as_of_join", "j2_two_sided_blend", "h2_bar_recall", "h3_h4_linked_ledger", "b3_impact_angle",
+    "f11_peak_hold", "f16_tempo", "j1_as_of_join", "j2_two_sided_blend", "h2_bar_recall", "h3_h4_linked_ledger", "b3_impact_angle", "st1_tick_stream", "st4_cusum_stream",
 ]
 
 
