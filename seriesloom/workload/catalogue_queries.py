@@ -37,7 +37,7 @@ def display_names(spark, sf_dir):
 
 
 @query("s5_timed_files", """WITH h AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)/', 1) AS host, url, page_id FROM pages)
-SELECT host, url, page_id, row_number() OVER (PARTITION BY host ORDER BY url, page_id) - 1 AS snap, (row_number() OVER (PARTITION BY host ORDER BY url, page_id) - 1) * 0.25 AS t_h FROM h""")
+SELECT host, url, page_id, row_number() OVER (PARTITION BY host ORDER BY url, page_id) - 1 AS snap, (row_number() OVER (PARTITION BY host ORDER BY url, page_id) - 1) * 0.25::DOUBLE AS t_h FROM h""")
 def timed_files(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]+)/", 1).alias("host"), "url", "page_id")
     named = pages.withColumn("name", F.struct("url", "page_id"))

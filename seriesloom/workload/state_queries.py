@@ -111,7 +111,7 @@ def colours(spark, sf_dir):
 
 
 @query("d8_derived_view", f"""WITH {BEND}
-SELECT user_id, n, round(n * 1.0, 4) AS t, round(da, 4) AS da, round(di, 4) AS di, round(f, 4) AS f, round(h, 4) AS h,
+SELECT user_id, n, round(n * 1.0::DOUBLE, 4) AS t, round(da, 4) AS da, round(di, 4) AS di, round(f, 4) AS f, round(h, 4) AS h,
   round(cos({OMEGA_N} * n), 4) AS x, round(sin({OMEGA_N} * n), 4) AS y, round(h, 4) AS z,
   round(kappa, 4) AS kappa, round(tau, 4) AS tau FROM bend""")
 def derived_view(spark, sf_dir):
@@ -229,7 +229,7 @@ u AS (SELECT *, CASE WHEN n1 > n0 THEN (n - n0) / (n1 - n0)::DOUBLE ELSE 0 END A
 SELECT user_id, round(max(abs(h - (h0 + u * (h1 - h0)))), 4) AS max_dh,
   round(max(sqrt(power(cos({OMEGA_N} * n) - (cos({OMEGA_N} * n0) + u * (cos({OMEGA_N} * n1) - cos({OMEGA_N} * n0))), 2)
                + power(sin({OMEGA_N} * n) - (sin({OMEGA_N} * n0) + u * (sin({OMEGA_N} * n1) - sin({OMEGA_N} * n0))), 2))), 4) AS max_xy,
-  max(n1 - n0) AS max_step_rows, round({OMEGA_N} * max(n1 - n0), 4) AS max_dalpha FROM u GROUP BY 1""")
+  max(n1 - n0) AS max_step_rows, round({OMEGA_N}::DOUBLE * max(n1 - n0), 4) AS max_dalpha FROM u GROUP BY 1""")
 def tick_error(spark, sf_dir):
     s = dyn.climb(dyn.force(user_state(spark, sf_dir)))
     out = keys.tick_error(keys.energy_ticks(s, F.lit(EPS_H)), OMEGA_N)
@@ -253,7 +253,7 @@ def tick_sweep(spark, sf_dir):
 
 # -- keyframes ----------------------------------------------------------------------------------
 POLICY = SEED + """,
-policy AS (SELECT user_id, 3.0 * seed AS tau_event, 6.0 * seed AS tau_max, exp(-16.0 * 0.02) AS leak, 16.0 * 0.02 AS lam FROM seeds)"""
+policy AS (SELECT user_id, 3.0 * seed AS tau_event, 6.0 * seed AS tau_max, exp(-16.0 * 0.02) AS leak, 16.0::DOUBLE * 0.02 AS lam FROM seeds)"""
 # The two rails as a recursive walk: one step per row, all users side by side.
 RAILS = """
 walk AS (
@@ -294,7 +294,7 @@ sp AS (SELECT user_id, stddev_pop(da) AS s_a, stddev_pop(di) AS s_i FROM g GROUP
 fo AS (SELECT g.*, sqrt(power(da / CASE WHEN s_a = 0 THEN 1 ELSE s_a END, 2) + power(di / CASE WHEN s_i = 0 THEN 1 ELSE s_i END, 2)) AS f
        FROM g JOIN sp USING (user_id)),
 cl AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS h FROM fo)
-SELECT c.user_id, c.n AS frame, 1.0 AS r, round({OMEGA_N} * c.n - floor({OMEGA_N} * c.n / (2 * pi())) * 2 * pi(), 4) AS theta,
+SELECT c.user_id, c.n AS frame, 1.0::DOUBLE AS r, round({OMEGA_N} * c.n - floor({OMEGA_N} * c.n / (2 * pi())) * 2 * pi(), 4) AS theta,
        round(h, 4) AS z, round(a, 4) AS a, round(i, 4) AS i
 FROM cl c SEMI JOIN picked p ON p.user_id = c.user_id AND p.n = c.n""")
 def keyframe_rows(spark, sf_dir):

@@ -131,7 +131,7 @@ daily AS (
          max(abs(value)) AS peak
   FROM events GROUP BY 1, 2),
 days AS (
-  SELECT user_id, day, day * 24.0 AS t_h, rms, kurtosis, peak,
+  SELECT user_id, day, day * 24.0::DOUBLE AS t_h, rms, kurtosis, peak,
          CASE WHEN rms > 0 THEN peak / rms ELSE 0 END AS crest,
          row_number() OVER (PARTITION BY user_id ORDER BY day) - 1 AS n
   FROM daily)"""

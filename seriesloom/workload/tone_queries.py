@@ -225,7 +225,7 @@ near AS (SELECT b.label, b.n, k.bin AS kb, max(b.mag) AS peak FROM bins b JOIN (
 score AS (SELECT label, n, c.b, sum(peak / k.k) AS score FROM near, (SELECT unnest(range(4, 13)) AS b) c, (SELECT unnest(range(1, 5)) AS k) k
           WHERE kb = k.k * c.b GROUP BY 1, 2, 3),
 best AS (SELECT *, row_number() OVER (PARTITION BY label, n ORDER BY score DESC, b) AS place FROM score)
-SELECT label, n, b * {BIN_HZ} AS f_hz, round(score, 4) AS score FROM best WHERE place = 1""")
+SELECT label, n, b * {BIN_HZ}::DOUBLE AS f_hz, round(score, 4) AS score FROM best WHERE place = 1""")
 def coarse_speed(spark, sf_dir):
     out = feat.coarse_speed(tones_long(tones(spark, sf_dir)), ["label", "n"], BIN_HZ, 4, 12, BINS)
     return out.select("label", "n", "f_hz", r4("score", "score"))

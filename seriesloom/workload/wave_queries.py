@@ -411,7 +411,7 @@ def beat_grid(spark, sf_dir):
 p AS (SELECT a.o_orderkey, b.bpm / a.bpm AS rate, a.beat AS beat,
   ((b.pos - floor(b.pos / b.beat) * b.beat) / b.beat - (a.pos - floor(a.pos / a.beat) * a.beat) / a.beat) * a.beat AS delta
   FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND b.k = a.k + 1),
-r AS (SELECT *, CASE WHEN abs(rate - 1) <= 0.10 THEN 0.10 WHEN abs(rate - 1) <= 0.16 THEN 0.16 ELSE 1.0 END AS rate_range FROM p)
+r AS (SELECT *, CASE WHEN abs(rate - 1) <= 0.10 THEN 0.10::DOUBLE WHEN abs(rate - 1) <= 0.16 THEN 0.16::DOUBLE ELSE 1.0::DOUBLE END AS rate_range FROM p)
 SELECT o_orderkey, round(rate, 4) AS rate, rate_range, round(greatest(-1, least(1, (rate - 1) / rate_range)), 4) AS fader,
   round(CASE WHEN delta > beat / 2 THEN delta - beat WHEN delta < -beat / 2 THEN delta + beat ELSE delta END, 4) AS delta FROM r""")
 def tempo_match(spark, sf_dir):
@@ -444,7 +444,7 @@ def count_scale(spark, sf_dir):
 
 
 @query("j10_meta_join", f"""WITH {WAVES}
-SELECT l_suppkey, n, n_name, round(n * (0.01 + n_nationkey * 0.001), 4) AS alpha
+SELECT l_suppkey, n, n_name, round(n * (0.01 + n_nationkey * 0.001)::DOUBLE, 4) AS alpha
 FROM waves JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey""")
 def meta_join(spark, sf_dir):
     meta = table(spark, sf_dir, "supplier").join(
