@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from seriesloom.functions.columns import rice_bits, zigzag
 from seriesloom.operators.features import _burst_magnitudes, _envelope, previous_power_of_two, refine_speed
 from seriesloom.plans.relay import Emits, run_rule
-from seriesloom.plans.series import Series
+from seriesloom.plans.series import Series, index_series
 
 try:
     import zstandard
@@ -29,6 +29,7 @@ RICE_HEADER_BITS = 5
 RICE_PARAMETERS = range(17)
 WARMUP_REVS = 8
 EMA_WEIGHT = 1.0 / 64.0
+FOLD_REVS = 32_768  # (64/63) ** FOLD_REVS still is a finite number
 CUSUM_SLACK = 0.25
 CUSUM_THRESHOLD = 10.0
 CONFIRM_MIN = 12
@@ -190,13 +191,48 @@ def revolution_states(revs: Series, sr: float, start_h: str = "t_h") -> Series:
     )
 
 
+def _fold_windows(splat: DataFrame, keys: list[str]) -> DataFrame:
+    """Weighted means with varying weights, scaled by the product of the kept shares (a sum of logs)."""
+    hit = F.col("wsum") > 1e-12
+    eta = F.greatest(F.lit(1.0) / (F.col("n") + 1), F.lit(EMA_WEIGHT))
+    w = Window.partitionBy(*keys, "bin").orderBy("n")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    kept = F.when(hit & (F.col("n") > 0), F.log(F.lit(1.0) - eta)).otherwise(F.lit(0.0))
+    splat = splat.withColumn("scale", F.sum(kept).over(upto))
+    share = F.when(hit, eta * F.col("acc") / F.col("wsum") * F.exp(-F.col("scale")))
+    prior = F.coalesce(F.sum(share).over(before) * F.exp(F.sum(kept).over(before)), F.lit(0.0))
+    return splat.withColumn("prior", prior).select(*keys, "rev", "bin", "prior")
+
+
+def _fold_rule(splat: DataFrame, keys: list[str]) -> DataFrame:
+    """The same fold row by row for bursts too long for the scaled sums.
+
+    A block of revolutions forgets where it started, so blocks settle after two rounds.
+    """
+    emits = Emits(T.StructType([T.StructField("n", T.LongType()), T.StructField("prior", T.DoubleType())]))
+
+    def fold(pdf: pd.DataFrame, state: list | None):
+        held = state[0] if state else 0.0
+        prior = np.empty(len(pdf))
+        rows = zip(pdf["n"].to_numpy(), pdf["acc"].to_numpy(), pdf["wsum"].to_numpy())
+        for at, (n, acc, weight) in enumerate(rows):
+            prior[at] = held
+            if weight > 1e-12:
+                held += max(1.0 / (n + 1), EMA_WEIGHT) * (acc / weight - held)
+        return pd.DataFrame({"n": pdf["n"].to_numpy(), "prior": prior}), [float(held)]
+
+    series = Series(splat.select(*keys, "bin", "n", "acc", "wsum"), (*keys, "bin")).reblocked()
+    return run_rule(series, fold, emits)
+
+
 def phase_average(samples: DataFrame, keys: list[str], grid: Column, x: str = "x") -> DataFrame:
     """Adds ``pred``: the sample predicted from the running mean of earlier revolutions.
 
     Needs ``n, rev, frac``. Samples are splatted linearly on a circular grid, averaged per
     (revolution, bin), folded over revolutions with weight max(1/r, 1/64), and read back with the
     same linear weights. The first revolution predicts 0; a bin missed in a revolution keeps its
-    value. The fold runs per (key, bin) over the revolutions of one burst.
+    value.
     """
     g = F.col("frac") * grid
     rows = samples.withColumn("j0", (F.floor(g) % grid).cast("int")).withColumn("u", g - F.floor(g))
@@ -210,23 +246,14 @@ def phase_average(samples: DataFrame, keys: list[str], grid: Column, x: str = "x
     splat = rows.select(*keys, "rev", x, sides).groupBy(*keys, "rev", "bin").agg(
         F.sum(F.col(x) * F.col("wt")).alias("acc"), F.sum("wt").alias("wsum")
     )
-    seen = rows.select(*keys, "rev").distinct()
-    ordinal = Window.partitionBy(*keys).orderBy("rev")
-    seen = seen.withColumn("r", F.row_number().over(ordinal))
+    # Revolutions are numbered without gaps; the number decides the weight of each one.
+    seen = index_series(rows.select(*keys, "rev").distinct(), keys, ["rev"]).df.select(*keys, "rev", "n")
     splat = splat.join(seen, [*keys, "rev"])
-    hit = F.col("wsum") > 1e-12
-    eta = F.greatest(F.lit(1.0) / F.col("r"), F.lit(EMA_WEIGHT))
-    w = Window.partitionBy(*keys, "bin").orderBy("rev")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    # Weighted means with varying weights: scale by the product of the kept shares (a sum of logs).
-    kept = F.when(hit & (F.col("r") > 1), F.log(F.lit(1.0) - eta)).otherwise(F.lit(0.0))
-    splat = splat.withColumn("scale", F.sum(kept).over(upto))
-    share = F.when(hit, eta * F.col("acc") / F.col("wsum") * F.exp(-F.col("scale")))
-    splat = splat.withColumn("folded", F.sum(share).over(before)).withColumn(
-        "prior", F.coalesce(F.col("folded") * F.exp(F.sum(kept).over(before)), F.lit(0.0))
-    )
-    pool = splat.select(*keys, "rev", "bin", "prior")
+    longest = seen.agg(F.max("n")).first()[0] or 0
+    if longest < FOLD_REVS:
+        pool = _fold_windows(splat, keys)
+    else:
+        pool = _fold_rule(splat, keys).join(seen, [*keys, "n"]).select(*keys, "rev", "bin", "prior")
     side = lambda name: pool.select(*keys, "rev", F.col("bin").alias(name), F.col("prior").alias(f"at_{name}"))
     both = rows.join(side("j0"), [*keys, "rev", "j0"]).join(side("j1"), [*keys, "rev", "j1"])
     pred = F.col("at_j0") * (1 - F.col("u")) + F.col("at_j1") * F.col("u")

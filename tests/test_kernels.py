@@ -147,6 +147,19 @@ def test_meter_equals_a_sample_loop():
     assert health.meter_burst(x, sr, f, 0.0, 1)[0]["bits"].tolist() == rows
 
 
+def test_phase_average_of_a_long_burst_equals_the_short_form(spark, blocks, monkeypatch):
+    x = burst(n=4096, f=60.0).astype(float)
+    turns = pd.DataFrame({"k": 1, "n": np.arange(4096), "x": x})
+    phi = turns["n"] * 60.0 / 20480.0
+    turns["rev"], turns["frac"] = np.floor(phi).astype("int64"), phi - np.floor(phi)
+    df = spark.createDataFrame(turns)
+    short = health.phase_average(df, ["k"], F.lit(64)).select("n", "pred").toPandas().sort_values("n")
+    monkeypatch.setattr(health, "FOLD_REVS", 3)
+    blocks(5)
+    long = health.phase_average(df, ["k"], F.lit(64)).select("n", "pred").toPandas().sort_values("n")
+    np.testing.assert_allclose(long["pred"], short["pred"], atol=1e-8)
+
+
 def test_envelope_shows_the_modulation():
     n, sr = 8192, 20480.0
     t = np.arange(n) / sr
