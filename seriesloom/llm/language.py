@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import StructType
 
 from seriesloom.llm.text import LOWER, slices, spaces, words
 
@@ -203,7 +203,7 @@ def label(docs: DataFrame, model: Model, text: str = "text", switch: float = SWI
             out = [pa.array(langs, pa.string()), pa.array(share), pa.array(runs, pa.list_(span))]
             yield pa.RecordBatch.from_arrays([c for c, _ in keep] + out, [f for _, f in keep] + added)
 
-    schema = docs.drop(*added).schema.add("lang_pred", "string").add("score", "double").add("spans", ArrayType(StructType.fromDDL("from_word long, n_words long, lang string")))
+    schema = StructType([*docs.drop(*added).schema, *StructType.fromDDL("lang_pred string, score double, spans array<struct<from_word: long, n_words: long, lang: string>>")])
     return kept.mapInArrow(run, schema)
 
 

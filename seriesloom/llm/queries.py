@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.llm import language, mixing, tokens
-from seriesloom.llm.registry import query, table
+from seriesloom.llm.registry import ORACLES, QUERIES, query, table
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 @query("op1_source_mix")

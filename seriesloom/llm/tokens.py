@@ -15,6 +15,7 @@ import regex
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 # Letters and numbers that the regex module knows but the tokenizer's own Unicode tables (version 16) do
 # not; there they are neither letter nor number.
@@ -180,7 +181,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, ids])
 
     kept = docs.drop(ids)
-    return kept.mapInArrow(run, kept.schema.add(ids, "binary"))
+    return kept.mapInArrow(run, StructType([*kept.schema, StructField(ids, BinaryType())]))
 
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -194,4 +195,4 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: s
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, decoded])
 
     kept = docs.drop(decoded)
-    return kept.mapInArrow(run, kept.schema.add(decoded, "binary"))
+    return kept.mapInArrow(run, StructType([*kept.schema, StructField(decoded, BinaryType())]))
