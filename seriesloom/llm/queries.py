@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import language, mixing, tokens
+from seriesloom.llm import language, mixing, tokens, vectors, warc
 from seriesloom.llm.registry import ORACLES, QUERIES, query, table
+from seriesloom.session import shared_folder
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -31,3 +32,20 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.withColumn("n_tokens", (F.length("ids") / 4).cast("long")).withColumn("ids_sha256", F.sha2("ids", 256))
     docs = tokens.decode(docs, vocabulary)
     return docs.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op7_embedding_near_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_exact_top_k")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op10_warc_archives")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_records(spark, path)
