@@ -30,7 +30,8 @@ LATE = (
     r"\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479"
     r"\U0003d000-\U0003fc3f"
 )
-_MEMO = 1 << 20  # pre-tokens that a task remembers; the memo starts anew when full
+_ROWS = 500  # documents that a task turns at once
+_MEMO = 1 << 19  # pre-tokens that a task remembers; the memo starts anew when full
 
 
 class PerfectHash:
@@ -167,6 +168,12 @@ def _encoder(shared: Broadcast) -> Encoder:
     return Encoder(shared.value)
 
 
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(at, _ROWS)
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with a binary column ``ids``: the token ids of the whole text as little-endian unsigned 32-bit integers.
 
@@ -176,7 +183,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
-        for batch in batches:
+        for batch in _short(batches):
             out = pa.array([encoder(x) for x in batch.column(text).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, ids])
 
@@ -190,7 +197,7 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = shared.value.pieces.__getitem__
-        for batch in batches:
+        for batch in _short(batches):
             out = [b"".join(map(piece, memoryview(x.as_py() or b"").cast("I"))) for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, decoded])
 
