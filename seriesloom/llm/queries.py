@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import language, mixing, tokens, vectors, warc
+from seriesloom.llm import debruijn, jaccard, language, mixing, suffix, tokens, vectors, warc
 from seriesloom.llm.registry import ORACLES, QUERIES, query, table
 from seriesloom.session import shared_folder
 
@@ -18,6 +18,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(*mixing.mix(mixing.sized_documents(table(spark, sf_dir, "documents")))).drop("source")
 
 
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.cut_repeated_words(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 @query("op3_language_spans")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = language.predict(table(spark, sf_dir, "documents"))
@@ -34,6 +39,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op6_ngram_jaccard")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents"))
+
+
 @query("op7_embedding_near_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -44,6 +54,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query("op9_suffix_array_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.cut_repeated_bytes(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 @query("op10_warc_archives")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "warc")
