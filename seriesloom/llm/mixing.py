@@ -15,7 +15,7 @@ from seriesloom.llm.text import mixed
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_SOURCES = 100_000  # a recipe with more sources is refused: its table is held by the driver and every task
 MAX_EPOCHS = 3
-_RUN = 1 << 16  # documents (or shards) whose running totals one task adds up
+_RUN = 1 << 12  # documents (or shards) whose running totals one task adds up
 
 
 def word_count(text: Column) -> Column:
