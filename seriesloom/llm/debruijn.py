@@ -19,9 +19,10 @@ _EDGES = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("ids", pa.bina
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
 
-def cut_repeated_words(docs: DataFrame, width: int = 20, with_text: bool = True) -> DataFrame:
+def cut_repeated_words(docs: DataFrame, width: int = 20, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) of ``docs`` (doc_id, text) without the words that a repeated
     window of ``width`` words covers; ``kept`` is null unless ``with_text``.
+    Columns named in ``carry`` stay.
 
     Token k-mers (k = ``width`` words) are the edges of a De Bruijn graph over all texts. Edges that follow each other
     and share their minimal gram are a path piece; where the gram has but one surrounding content everywhere, no node
@@ -108,4 +109,4 @@ def cut_repeated_words(docs: DataFrame, width: int = 20, with_text: bool = True)
         return pa.table([texts["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())], schema=_KEPT)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
-    return find_repeats(docs, Windows(width, GRAM, True, True), ask, "part int, keys binary, ids binary, starts binary", resolve, finish, schema)
+    return find_repeats(docs, Windows(width, GRAM, True, True), ask, "part int, keys binary, ids binary, starts binary", resolve, finish, schema, carry)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import debruijn, jaccard, language, mixing, suffix, tokens, vectors, warc
+from seriesloom.llm import debruijn, jaccard, language, mixing, suffix, tokens, toolcalls, vectors, warc
 from seriesloom.llm.registry import ORACLES, QUERIES, query, table
 from seriesloom.session import shared_folder
 
@@ -30,6 +30,28 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+OP4 = """
+WITH u AS (SELECT conv_id, turn, min(text) AS text, count(*) AS uses FROM conversations WHERE role = 'user' GROUP BY ALL),
+a AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+g AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS grp FROM u),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, grp ORDER BY turn) AS position FROM g),
+s AS (SELECT p.*, a.text AS result, CASE WHEN uses > 1 THEN 'duplicate' WHEN p.text IS NULL THEN 'invalid_arguments'
+      WHEN a.turn IS NULL THEN 'no_result' ELSE 'ok' END AS status
+      FROM p LEFT JOIN a ON a.conv_id = p.conv_id AND a.turn = p.turn + 1)
+SELECT conv_id, 'call-' || turn AS call_id, position, status,
+       CAST(json_object('after', CASE WHEN position > 1 THEN 'call-' || (turn - 2) END,
+            'arguments', json_object('query', text, 'turn', turn), 'call', 'call-' || turn, 'position', position,
+            'result', result, 'status', status, 'tool', 'reply') AS VARCHAR) AS record
+FROM s
+"""
+
+
+@query("op4_tool_call_links", OP4)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return toolcalls.link_tool_calls(*toolcalls.calls_of_turns(turns), toolcalls.REPLY)
+
+
 @query("op5_byte_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = tokens.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -183,18 +183,18 @@ def verdicts_of(table: pa.Table, kinds: tuple[int, ...]) -> list[np.ndarray]:
     return [np.concatenate(p) if p else np.zeros(0, d) for p, d in zip(parts, (np.int64, np.uint32, np.uint64, np.uint64))]
 
 
-def find_repeats(docs: DataFrame, kind: Windows, ask: Callable, ask_schema: str, resolve: Callable[[DataFrame, int, int], DataFrame], finish: Callable, finish_schema: str) -> DataFrame:
+def find_repeats(docs: DataFrame, kind: Windows, ask: Callable, ask_schema: str, resolve: Callable[[DataFrame, int, int], DataFrame], finish: Callable, finish_schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Run the whole search over documents (doc_id, text) and return ``finish``'s rows.
 
     ``ask`` turns texts and the open questions of a bucket, those of usual and those of hot anchors (tid, start, count,
     anchor), into what ``resolve`` compares across documents; its verdicts and those of the anchors meet the texts once
-    more in ``finish``. Texts are shuffled once by tid and that exchange is used twice; everything is one lazy plan.
+    more in ``finish``. The columns in ``carry`` stay with their rows. Texts are shuffled once by tid and that exchange is used twice; everything is one lazy plan.
     """
     spark = docs.sparkSession
     ranges = ranges_for(docs, "text", 36 if kind.words else 16)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total >> 24))
-    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("tid"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("tid"), F.coalesce("text", F.lit("")).alias("text"), *carry)
     first = _anchors(docs, kind, ranges).groupBy("part").applyInArrow(_decide(kind, ranges, buckets), VERDICTS)
     first = first.repartition(buckets, "bucket")
     texts = docs.withColumn("bucket", F.expr(f"pmod(tid, {buckets})")).repartition(buckets, "bucket")
@@ -209,8 +209,12 @@ def find_repeats(docs: DataFrame, kind: Windows, ask: Callable, ask_schema: str,
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
         tid, start, mask, _ = verdicts_of(right, (REPEATED,))
         order = np.argsort(tid, kind="stable")
-        return finish(left, tid[order], start[order], mask[order])
+        out = finish(left, tid[order], start[order], mask[order])
+        for name in carry:
+            out = out.append_column(name, left[name])
+        return out
 
+    finish_schema = ", ".join([finish_schema, *[f"{name} {docs.schema[name].dataType.simpleString()}" for name in carry]])
     return texts.groupBy("bucket").cogroup(both.groupBy("bucket")).applyInArrow(last, finish_schema)
 
 

@@ -105,9 +105,10 @@ def repeated_masks(pieces: np.ndarray, lengths: np.ndarray, doc: np.ndarray, wid
     return masks
 
 
-def cut_repeated_bytes(docs: DataFrame, width: int = 50, with_text: bool = True) -> DataFrame:
+def cut_repeated_bytes(docs: DataFrame, width: int = 50, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of ``docs`` (doc_id, text) without the bytes that a string
     of ``width`` bytes covers which also starts in a document of smaller id; ``kept`` is null unless ``with_text``.
+    Columns named in ``carry`` stay.
 
     Texts are UTF-8 bytes; matches never cross documents and are judged on the input. Runs of windows with a common
     anchor meet by anchor; copies of equal content are combined first, so a passage in very many documents is one
@@ -206,4 +207,4 @@ def cut_repeated_bytes(docs: DataFrame, width: int = 50, with_text: bool = True)
         return pa.table([texts["doc_id"], *columns, pa.array(digest, pa.string()), pa.array(kept, pa.binary())], schema=_KEPT)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return find_repeats(docs, Windows(width, GRAM, False, False), ask, "part int, bytes binary, lengths binary, ids binary, starts binary", resolve, finish, schema)
+    return find_repeats(docs, Windows(width, GRAM, False, False), ask, "part int, bytes binary, lengths binary, ids binary, starts binary", resolve, finish, schema, carry)
