@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,35 +35,41 @@ def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, int]]
             yield lo + i, tokens, int(whole.astype(np.int64))
 
 
-def _index(docs: DataFrame, width: int, ranges: int) -> DataFrame:
-    """Facts of every document (part -1) and its tokens, packed by hash range (part >= 0)."""
+def _facts(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n, set_id) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "doc_id", "n", "set_id", "sets", "keys", "refs"]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        for batch in batches:
+            size, ids = [0] * batch.num_rows, [None] * batch.num_rows
+            for i, tokens, whole in _sets(batch.column(1), width):
+                size[i], ids[i] = len(tokens), whole
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(ids, pa.int64())], ["doc_id", "n", "set_id"])
 
-        def rows(*columns) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, set_id long")
+
+
+def _index(docs: DataFrame, width: int, ranges: int) -> DataFrame:
+    """The tokens of all sets, packed by hash range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["part", "sets", "keys", "refs"]
+        types = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
         def dealt(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            keys = np.concatenate([t for _, t in held])
             refs = np.repeat(np.arange(len(held), dtype=np.uint16), [len(t) for _, t in held])
-            order, keys, bounds = cut(keys, ranges)
+            order, keys, bounds = cut(np.concatenate([t for _, t in held]), ranges)
             refs = refs[order]
             ids = np.array([s for s, _ in held], np.int64)
             for r in range(ranges):
                 a, b = bounds[r], bounds[r + 1]
                 if a < b:
                     used, local = np.unique(refs[a:b], return_inverse=True)
-                    blob = ids[used].tobytes(), pack48(keys[a:b]), local.astype(np.uint16).tobytes()
-                    yield rows([r], [None], [None], [None], *[[x] for x in blob])
+                    row = r, ids[used].tobytes(), pack48(keys[a:b]), local.astype(np.uint16).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names)
 
         held, total, seen = [], 0, set()
         for batch in batches:
-            names_, n = batch.column(0).to_pylist(), batch.num_rows
-            size, ids = [0] * n, [None] * n
-            for i, tokens, whole in _sets(batch.column(1), width):
-                size[i], ids[i] = len(tokens), whole
+            for _, tokens, whole in _sets(batch.column(0), width):
                 if whole not in seen:  # copies within a slice are one set
                     seen.add(whole)
                     held.append((whole, tokens))
@@ -71,12 +77,10 @@ def _index(docs: DataFrame, width: int, ranges: int) -> DataFrame:
                 if total >= _FLUSH or len(held) == 65_535:
                     yield from dealt(held)
                     held, total, seen = [], 0, set()
-            none = [None] * n
-            yield rows([-1] * n, names_, size, ids, none, none, none)
         if held:
             yield from dealt(held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "part int, doc_id long, n long, set_id long, sets binary, keys binary, refs binary")
+    return docs.select("text").mapInArrow(run, "part int, sets binary, keys binary, refs binary")
 
 
 _PAIR = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("c", pa.int32()), ("kind", pa.int32())])
@@ -114,26 +118,30 @@ def _counted(sets: np.ndarray, x: list[np.ndarray], y: list[np.ndarray], kind: i
     return pa.table({"x": a, "y": b, "c": c.astype(np.int32), "kind": np.full(len(a), kind, np.int32)}, schema=_PAIR)
 
 
-def _pairs(table: pa.Table) -> pa.Table:
+def _pairs(rare: int) -> Callable[[pa.Table], pa.Table]:
     """Single tokens of the rare class give all pairs of their short lists (kind 0). A frequent token gives each of its
     sets a pair with the list's first set (kind 1), which is also how often a set has frequent tokens (kind 2)."""
-    sets, start, length, number = _lists(table)
-    x, y = [], []
-    for size in range(2, RARE + 1):
-        at = start[length == size]
+
+    def run(table: pa.Table) -> pa.Table:
+        sets, start, length, number = _lists(table)
+        x, y = [], []
+        for size in range(2, rare + 1):
+            at = start[length == size]
+            if len(at):
+                member = number[at[:, None] + np.arange(size)]
+                i, j = np.triu_indices(size, 1)
+                x.append(member[:, i].ravel())
+                y.append(member[:, j].ravel())
+        out = [_counted(sets, x, y, 0)]
+        long_ = length > rare
+        at, size = start[long_], length[long_]
         if len(at):
-            member = number[at[:, None] + np.arange(size)]
-            i, j = np.triu_indices(size, 1)
-            x.append(member[:, i].ravel())
-            y.append(member[:, j].ravel())
-    out = [_counted(sets, x, y, 0)]
-    long_ = length > RARE
-    at, size = start[long_], length[long_]
-    if len(at):
-        where = np.repeat(at, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        member, leader = number[where], np.repeat(number[at], size)
-        out += [_counted(sets, [member], [member], 2), _counted(sets, [leader[leader != member]], [member[leader != member]], 1)]
-    return pa.concat_tables(out)
+            where = np.repeat(at - np.cumsum(size) + size, size) + np.arange(size.sum())
+            member, leader = number[where], np.repeat(number[at], size)
+            out += [_counted(sets, [member], [member], 2), _counted(sets, [leader[leader != member]], [member[leader != member]], 1)]
+        return pa.concat_tables(out)
+
+    return run
 
 
 def _tokens_of(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
@@ -177,55 +185,53 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.join(x, "x", "left").join(y, "y", "left").where(F.coalesce("rx", "x") != F.coalesce("ry", "y")).drop("rx", "ry")
 
 
-def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def link_components(docs: DataFrame, width: int = 5, percent: int = 80, rare: int = RARE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document (columns doc_id and text).
 
     A document's set is its distinct ``width``-word shingles in lower case (A-Z only); a shorter text is one shingle, a
     text without words or null is empty and linked with nothing. Sets link when 100 * intersection >= percent * union.
 
     Equal sets are one node. A set must share all but (100 - percent) % of its tokens with a partner. In the order
-    rare tokens first, then frequent ones (in more than RARE sets), any linked pair shares a token within that prefix,
-    and each token by which a prefix is extended must be shared as well. So sets with enough rare tokens (nearly
-    all) meet in the short posting lists of single rare tokens, with the count that their extended prefixes demand.
-    Sets that are frequent in four fifths of their tokens, i.e. members of large groups of copies, first meet the
-    first set of their lists; who isn't connected by that meets the others in combinations of frequent tokens, at
-    most one side of a pair being from the largest component of a list. All candidates are verified by whole sets; pairs
-    within one component need not be. Posting lists never give all their pairs unless they are short.
+    rare tokens first, then frequent ones (in more than ``rare`` sets), any linked pair shares a token within that
+    prefix, and each token by which a prefix is extended must be shared as well. So sets with enough rare tokens
+    (nearly all) meet in the short posting lists of single rare tokens, with the count that their extended prefixes
+    demand. That count decides most pairs: it is a lower bound of the overlap, and the upper one adds the frequent
+    tokens of the poorer side; pairs between the bounds are verified by their whole sets. Sets that are frequent in
+    four fifths of their tokens, i.e. members of large groups of copies, first meet the first set of their lists; who
+    isn't connected by that meets the others in combinations of all its tokens, with at most one side of a pair
+    from the largest component of a list. Posting lists never give all their pairs unless they are short.
 
     Repeated rows and rows that share an id are documents of their own, linked if their texts are; a null id is never
     the component's id unless there is no other. Other columns are not read. An empty table gives no rows.
     """
     ranges = ranges_for(docs, "text", 6)
-    index = stored(_index(docs, width, ranges), "shingles")
-    facts = index.where("part = -1").select("doc_id", "n", "set_id")
-    sets = stored(facts.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id")), "sets")
-    lists = index.where("part >= 0").groupBy("part").applyInArrow(_pairs, "x long, y long, c int, kind int")
+    facts = stored(_facts(docs, width), "shingles")
+    sets = facts.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
+    lists = _index(docs, width, ranges).groupBy("part").applyInArrow(_pairs(rare), "x long, y long, c int, kind int")
     counted = stored(lists.groupBy("x", "y", "kind").agg(F.sum("c").alias("c")), "pairs")
+    frequent = counted.where("kind = 2").select(F.col("x").alias("set_id"), F.col("c").alias("f"))
     slack = (F.col("n") * (100 - percent) / 100).cast("long")  # tokens a linked set may have for itself
-    frequent = counted.where("kind = 2").select(F.col("x").alias("set_id"), F.col("c").alias("frequent"))
-    sized = sets.join(frequent, "set_id", "left").select("set_id", "doc_id", "n", (F.col("n") - F.coalesce("frequent", F.lit(0)) - slack).alias("spare"))
-    sized = stored(sized, "prefixes")
-    x, y = sized.select(F.col("set_id").alias("x"), F.col("n").alias("nx"), F.col("spare").alias("sx")), sized.select(F.col("set_id").alias("y"), F.col("n").alias("ny"), F.col("spare").alias("sy"))
-    fit = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.col("c") >= F.least("sx", "sy"))
-    rare = counted.where("kind = 0").join(x, "x").join(y, "y").where(fit).select("x", "y")
-    star = counted.where("kind = 1").groupBy("y").agg(F.max_by("x", F.struct("c", -F.col("x"))).alias("x"))
-    pairs = stored(rare.withColumn("star", F.lit(False)).unionByName(star.select("x", "y", F.lit(True).alias("star"))), "candidates")
-    ends = pairs.select(F.col("x").alias("set_id")).union(pairs.select("y")).distinct()
-    tokens = stored(_tokens_of(docs, width, sets.select("set_id", "doc_id").join(ends, "set_id")), "tokens")
-    first = pairs.where("NOT star").groupBy("y").agg(F.min("x").alias("x")).unionByName(pairs.where("star").select("y", "x")).distinct()
-    links = stored(_verified(first, tokens, percent), "links")
-    roots = components(links, "x", "y")
-    rest = _across(pairs.where("NOT star").select("x", "y").distinct(), roots)
-    links = stored(links.unionByName(_verified(rest, tokens, percent)), "links")
+    sized = sets.join(frequent, "set_id", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+    sized = stored(sized.withColumn("spare", F.col("n") - F.col("f") - slack), "prefixes")
+    side = lambda k: sized.select(*[F.col(a).alias(b) for a, b in (("set_id", k), ("n", f"n{k}"), ("f", f"f{k}"), ("spare", f"s{k}"))])
+    links_if = lambda overlap: overlap * (100 + percent) >= percent * (F.col("nx") + F.col("ny"))
+    pairs = counted.where("kind < 2").groupBy("x", "y").agg(F.sum("c").alias("c"), F.sum(F.when(F.col("kind") == 0, F.col("c"))).alias("single"))
+    fits = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
+    prefix = F.col("single") >= F.greatest(F.lit(1), F.least("sx", "sy"))
+    sure, open_ = links_if(F.col("c")), prefix & links_if(F.col("single") + F.least("fx", "fy"))
+    pairs = pairs.join(side("x"), "x").join(side("y"), "y").where(fits & (sure | F.coalesce(open_, F.lit(False))))
+    pairs = stored(pairs.select("x", "y", sure.alias("sure")), "candidates")
+    roots = stored(components(pairs.where("sure"), "x", "y"), "roots")
+    rest = stored(_across(pairs.where("NOT sure").select("x", "y"), roots), "open-pairs")
+    ends = rest.select(F.col("x").alias("set_id")).union(rest.select("y")).union(sized.where("spare <= 0").select("set_id")).distinct()
+    tokens = stored(_tokens_of(docs, width, sized.select("set_id", "doc_id").join(ends, "set_id")), "tokens")
+    links = stored(_verified(rest, tokens, percent).unionByName(roots.select(F.col("node").alias("x"), F.col("root").alias("y"))), "links")
     roots = stored(components(links, "x", "y"), "roots")
     dense = sized.where("spare <= 0").join(tokens, "set_id").select("set_id", "tokens").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-    combined = stored(_frequent_pairs(dense.withColumn("root", F.coalesce("root", "set_id")), ranges), "combinations")
-    if not combined.isEmpty():
-        sx, sy = sized.select(F.col("set_id").alias("x"), F.col("n").alias("nx")), sized.select(F.col("set_id").alias("y"), F.col("n").alias("ny"))
-        need = F.ceil(F.greatest("nx", "ny") * percent / 100)
-        more = combined.groupBy("x", "y").agg(F.sum("c").alias("c")).join(sx, "x").join(sy, "y").where(F.col("c") >= need)
-        links = stored(links.unionByName(_verified(more, tokens, percent)), "links")
-        roots = components(links, "x", "y")
+    combined = _frequent_pairs(dense.withColumn("root", F.coalesce("root", "set_id")), ranges)
+    more = stored(combined.join(side("x"), "x").join(side("y"), "y").where(links_if(F.col("c"))).select("x", "y"), "combinations")
+    if not more.isEmpty():
+        roots = components(links.unionByName(more), "x", "y")
     member = sized.join(roots, sized["set_id"] == roots["node"], "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
     smallest = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     member = member.join(smallest, "root").select("set_id", "component_id")
@@ -235,7 +241,7 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def _frequent_pairs(dense: DataFrame, ranges: int) -> DataFrame:
-    """(x, y, c): pairs of dense sets in different components and how many tokens they share, counted in parts.
+    """(x, y, c): pairs of dense sets in different components and how many tokens they share.
 
     In each token's list only pairs with an end outside the list's largest component count; a list within one
     component, the usual case, gives none.
