@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm.text import mixed
 
-PER_RANGE = 1 << 21  # keys that one task sorts at once
+PER_RANGE = 1 << 20  # keys that one task sorts at once
 
 
 def ranges_for(docs: DataFrame, text: str, bytes_per_key: float) -> int:

@@ -25,7 +25,7 @@ from seriesloom.llm.text import gram_hash, prefix_hash, range_hash, slices, wind
 LAST = np.iinfo(np.int64).max
 HOT = 1 << 15  # contents of one anchor from which on windows are dealt by their own hash
 _PLACE = 28  # low bits of a key that hold a position; the rest orders the grams
-_FLUSH = 1 << 20
+_FLUSH = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -156,7 +156,10 @@ def _decide(kind: Windows, ranges: int, buckets: int) -> Callable[[pa.Table], pa
         which_key, which_class = np.cumsum(new_key) - 1, np.cumsum(new_class) - 1
         classes = np.bincount(which_key, new_class).astype(np.int64)[which_key]  # distinct contents of the anchor
         at = np.flatnonzero(new_class)
-        head = doc == doc[at][which_class] if not kind.within else new_class  # as early as the first of its content
+        # As early as the first of its content; with repeats inside a document, that first itself.
+        head = doc == doc[at][which_class]
+        if kind.within:
+            head = (tid == tid[at][which_class]) & (starts == starts[at][which_class])
         if not kind.within:
             low, high = np.minimum.reduceat(doc, np.flatnonzero(new_key)), np.maximum.reduceat(doc, np.flatnonzero(new_key))
             classes[(low == high)[which_key]] = 0  # all in one document
@@ -193,7 +196,7 @@ def find_repeats(docs: DataFrame, kind: Windows, ask: Callable, ask_schema: str,
     spark = docs.sparkSession
     ranges = ranges_for(docs, "text", 36 if kind.words else 16)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total >> 24))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total >> 23))
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("tid"), F.coalesce("text", F.lit("")).alias("text"), *carry)
     first = _anchors(docs, kind, ranges).groupBy("part").applyInArrow(_decide(kind, ranges, buckets), VERDICTS)
     first = first.repartition(buckets, "bucket")
