@@ -63,7 +63,7 @@ def cut_repeated_words(docs: DataFrame, width: int = 20, with_text: bool = True,
                 rows.append((r, pack48(keys[a:b]), np.stack([doc[mine], text[mine]], 1).tobytes(), place[mine].astype(np.uint32).tobytes()))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _EDGES)], schema=_EDGES)
 
-    def resolve(asked: DataFrame, ranges: int, buckets: int) -> DataFrame:
+    def resolve(asked: DataFrame, buckets: int) -> DataFrame:
         def earliest(table: pa.Table) -> pa.Table:
             rows = table.to_pylist()
             keys = np.concatenate([unpack48(r["keys"]) for r in rows])

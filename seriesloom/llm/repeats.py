@@ -24,6 +24,7 @@ from seriesloom.llm.text import gram_hash, prefix_hash, range_hash, slices, wind
 
 LAST = np.iinfo(np.int64).max
 HOT = 1 << 15  # contents of one anchor from which on windows are dealt by their own hash
+FINER = 8  # blocks of open questions for each range of anchors
 _PLACE = 28  # low bits of a key that hold a position; the rest orders the grams
 _FLUSH = 1 << 19
 
@@ -186,7 +187,7 @@ def verdicts_of(table: pa.Table, kinds: tuple[int, ...]) -> list[np.ndarray]:
     return [np.concatenate(p) if p else np.zeros(0, d) for p, d in zip(parts, (np.int64, np.uint32, np.uint64, np.uint64))]
 
 
-def find_repeats(docs: DataFrame, kind: Windows, ask: Callable, ask_schema: str, resolve: Callable[[DataFrame, int, int], DataFrame], finish: Callable, finish_schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
+def find_repeats(docs: DataFrame, kind: Windows, ask: Callable, ask_schema: str, resolve: Callable[[DataFrame, int], DataFrame], finish: Callable, finish_schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Run the whole search over documents (doc_id, text) and return ``finish``'s rows.
 
     ``ask`` turns texts and the open questions of a bucket, those of usual and those of hot anchors (tid, start, count,
@@ -203,10 +204,10 @@ def find_repeats(docs: DataFrame, kind: Windows, ask: Callable, ask_schema: str,
     texts = docs.withColumn("bucket", F.expr(f"pmod(tid, {buckets})")).repartition(buckets, "bucket")
 
     def questions(left: pa.Table, right: pa.Table) -> pa.Table:
-        return ask(left, verdicts_of(right, (ASKED,)), verdicts_of(right, (ASKED_HOT,)), ranges)
+        return ask(left, verdicts_of(right, (ASKED,)), verdicts_of(right, (ASKED_HOT,)), FINER * ranges)
 
     asked = texts.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInArrow(questions, ask_schema)
-    second = resolve(asked, ranges, buckets)
+    second = resolve(asked, buckets)
     both = first.where(f"kind = {REPEATED}").unionByName(second)
 
     def last(left: pa.Table, right: pa.Table) -> pa.Table:

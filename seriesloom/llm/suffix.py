@@ -159,7 +159,7 @@ def cut_repeated_bytes(docs: DataFrame, width: int = 50, with_text: bool = True,
                 rows.append((r, data[where].tobytes(), size.astype(np.uint8).tobytes(), ids[mine].tobytes(), start[mine].astype(np.uint32).tobytes()))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
 
-    def resolve(asked: DataFrame, ranges: int, buckets: int) -> DataFrame:
+    def resolve(asked: DataFrame, buckets: int) -> DataFrame:
         def block(table: pa.Table) -> pa.Table:
             rows = table.to_pylist()
             data = np.concatenate([np.frombuffer(r["bytes"], np.uint8) for r in rows])
