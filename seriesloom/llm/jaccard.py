@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.llm.exchange import bloom, cut, pack48, passes, ranges_for, unpack48
@@ -198,13 +198,13 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80, rare: in
     demand. That count decides most pairs: it is a lower bound of the overlap, and the upper one adds the frequent
     tokens of the poorer side; pairs between the bounds are verified by their whole sets. Sets that are frequent in
     four fifths of their tokens, i.e. members of large groups of copies, first meet the first set of their lists; who
-    isn't connected by that meets the others in combinations of all its tokens, with at most one side of a pair
-    from the largest component of a list. Posting lists never give all their pairs unless they are short.
+    isn't connected by that meets the others by prefixes of the tokens that several components share, with at most
+    one side of a pair from the largest component of a list. Posting lists never give all their pairs unless they are short.
 
     Repeated rows and rows that share an id are documents of their own, linked if their texts are; a null id is never
     the component's id unless there is no other. Other columns are not read. An empty table gives no rows.
     """
-    ranges = ranges_for(docs, "text", 6)
+    ranges = ranges_for(docs, "text", 24)
     facts = stored(_facts(docs, width), "shingles")
     sets = facts.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
     lists = _index(docs, width, ranges).groupBy("part").applyInArrow(_pairs(rare), "x long, y long, c int, kind int")
@@ -227,9 +227,9 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80, rare: in
     tokens = stored(_tokens_of(docs, width, sized.select("set_id", "doc_id").join(ends, "set_id")), "tokens")
     links = stored(_verified(rest, tokens, percent).unionByName(roots.select(F.col("node").alias("x"), F.col("root").alias("y"))), "links")
     roots = stored(components(links, "x", "y"), "roots")
-    dense = sized.where("spare <= 0").join(tokens, "set_id").select("set_id", "tokens").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-    combined = _frequent_pairs(dense.withColumn("root", F.coalesce("root", "set_id")), ranges)
-    more = stored(combined.join(side("x"), "x").join(side("y"), "y").where(links_if(F.col("c"))).select("x", "y"), "combinations")
+    dense = sized.where("spare <= 0").join(tokens, "set_id").select("set_id", "n", "tokens").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
+    combined = _frequent_pairs(dense.withColumn("root", F.coalesce("root", "set_id")), percent)
+    more = stored(_verified(combined, tokens, percent), "combinations")
     if not more.isEmpty():
         roots = components(links.unionByName(more), "x", "y")
     member = sized.join(roots, sized["set_id"] == roots["node"], "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
@@ -240,32 +240,38 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80, rare: in
     return linked.unionByName(empty)
 
 
-def _frequent_pairs(dense: DataFrame, ranges: int) -> DataFrame:
-    """(x, y, c): pairs of dense sets in different components and how many tokens they share.
+def _frequent_pairs(dense: DataFrame, percent: int) -> DataFrame:
+    """(x, y): pairs of dense sets (set_id, n, tokens, root) in different components that may link.
 
-    In each token's list only pairs with an end outside the list's largest component count; a list within one
-    component, the usual case, gives none.
+    Sets of two components share only tokens that occur in several components; a set with too few of these is linked
+    with nobody outside. The others are ordered rarest first and indexed by the prefix of which a partner must have a
+    token; a list within one component, the usual case, gives nothing, and of the other lists only pairs with an end
+    outside the largest component are candidates.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                tokens = [unpack48(t) for t in part.column("tokens").to_pylist()]
-                ids, roots = part.column("set_id").to_numpy(), part.column("root").to_numpy()
-                refs = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-                order, keys, bounds = cut(np.concatenate(tokens), ranges)
-                for r in range(ranges):
-                    mine = refs[order[bounds[r] : bounds[r + 1]]]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (np.full(len(mine), r), keys[bounds[r] : bounds[r + 1]].view(np.int64), ids[mine], roots[mine])], ["part", "key", "set_id", "root"])
-
-    rows = dense.mapInArrow(deal, "part long, key long, set_id long, root long")
-    mixed_lists = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    rows = rows.join(mixed_lists, "key")
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                tokens = [unpack48(t).view(np.int64) for t in part.column("tokens").to_pylist()]
+                refs = pa.array(np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]))
+                others = [part.column(c).take(refs) for c in ("set_id", "n", "root")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *others], ["key", "set_id", "n", "root"])
+
+    rows = dense.select("set_id", "n", "tokens", "root").mapInArrow(deal, "key long, set_id long, n long, root long")
+    several = lambda r: r.groupBy("key").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "df")
+    need = F.ceil(F.col("n") * percent / 100)
+    rows = rows.join(several(rows), "key")
+    shared = rows.groupBy("set_id").agg(F.count("*").alias("m"), F.first("n").alias("n")).where(F.col("m") >= need).select("set_id", "m")
+    rank = F.row_number().over(Window.partitionBy("set_id").orderBy("df", "key"))
+    rows = rows.join(shared, "set_id").withColumn("at", rank).where(F.col("at") <= F.col("m") - need + 1).select("key", "set_id", "n", "root")
+    rows = stored(rows, "dense-prefixes")
     by_root = rows.groupBy("key", "root").agg(F.count("*").alias("m"))
-    largest = by_root.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("largest"))
-    rows = rows.join(largest, "key")
-    small = rows.where("root <> largest").select("key", F.col("set_id").alias("x"), F.col("root").alias("rx"))
-    other = rows.select("key", F.col("set_id").alias("y"), F.col("root").alias("ry"), "largest")
-    pairs = small.join(other, "key").where((F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("largest")) | (F.col("x") < F.col("y"))))
-    return pairs.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count("*").alias("c"))
+    largest = by_root.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.count("*").alias("roots"))
+    rows = rows.join(largest.where("roots > 1").drop("roots"), "key")
+    small = rows.where("root <> largest").select("key", F.col("set_id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+    other = rows.select("key", F.col("set_id").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), "largest")
+    apart = (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("largest")) | (F.col("x") < F.col("y")))
+    fits = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
+    pairs = small.join(other, "key").where(apart & fits)
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
