@@ -43,8 +43,9 @@ def _hash_level(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def _hash_tree(samples, keys, value, order, fan, depth) -> DataFrame:
     level = _hash_level(_parts(samples, keys, value, order, fan), keys)
-    for _ in range(depth - 1):
-        above = F.floor(F.col("part") / fan).alias("part")
+    for step in range(depth - 1):
+        # The last level takes all that is left, so a series has one hash whatever its length.
+        above = (F.floor(F.col("part") / fan) if step < depth - 2 else F.lit(0).cast("long")).alias("part")
         level = _hash_level(level.select(*keys, above, F.col("part").alias("at"), F.col("hash").alias("v"), "rows"), keys)
     return level.select(*keys, F.col("hash").alias("content_hash"), "rows")
 
@@ -54,7 +55,7 @@ def content_hash(
 ) -> DataFrame:
     """One hash per series: a tree of chunk hashes of fixed depth, independent of the layout.
 
-    ``fan ** depth`` bounds the length of a series (6.9e10 rows by default).
+    The last level joins one hash for every ``fan ** (depth - 1)`` rows (1.7e7 by default), however many there are.
     """
     return _hash_tree(samples, keys, value, order, fan, depth).drop("rows")
 
@@ -249,43 +250,47 @@ def threshold_sweep(vectors: Series, thresholds: list[float], vector: str = "v")
 
 
 # -- aligned residuals --------------------------------------------------------------------------
-def best_lag(a: np.ndarray, b: np.ndarray, limit: int) -> int:
-    """Shift of ``b`` within +-limit that correlates best with ``a``."""
-    size = 1 << (len(a) + len(b) - 1).bit_length()
-    xc = np.fft.irfft(np.fft.rfft(a, size) * np.conj(np.fft.rfft(b, size)), size)
-    lags = np.concatenate([np.arange(limit + 1), np.arange(-limit, 0)])
-    return int(lags[np.argmax(xc[lags])])
+def shifted(y: np.ndarray, limit: int) -> np.ndarray:
+    """All shifts of the rows of ``y`` within +-limit, zeros moving in: (rows, lags, samples), lag 0 first, then
+    1, -1, 2, -2 and so on."""
+    n = y.shape[1]
+    wide = np.pad(y, ((0, 0), (limit, limit)))
+    lags = np.array(sorted(range(-limit, limit + 1), key=lambda g: (abs(g), -g)))
+    return wide[:, (limit - lags)[:, None] + np.arange(n)], lags
 
 
 def aligned_residuals(pairs: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """Adds ``lag, gain, rms_ratio`` to pairs of integer bars ``x`` (bar) and ``y`` (match).
 
-    The gain is the least-squares one, clipped to +-2 and kept to 12 bits, so the prediction stays
-    an integer.
+    The lag is that of the highest correlation, the gain the least-squares one, clipped to +-2 and kept
+    to 12 bits, so the prediction stays an integer. Pairs of equal lengths are handled as one stack.
     """
     fields = [T.StructField("lag", T.LongType()), T.StructField("gain", T.LongType()), T.StructField("rms_ratio", T.DoubleType())]
     schema = T.StructType([pairs.schema[k] for k in keys] + fields)
-    scale = 1 << GAIN_BITS
-
-    def one(x: np.ndarray, y: np.ndarray) -> tuple[int, int, float]:
-        lag = best_lag(x.astype(float), y.astype(float), limit)
-        moved = np.zeros(len(x), dtype=np.int64)
-        src, dst = max(-lag, 0), max(lag, 0)
-        span = max(0, min(len(y) - src, len(x) - dst))
-        moved[dst : dst + span] = y[src : src + span]
-        power = float(moved.astype(float) @ moved)
-        alpha = float(x.astype(float) @ moved) / power if power > 0 else 0.0
-        gain = int(round(min(max(alpha, -MAX_GAIN), MAX_GAIN) * scale))
-        residual = x - ((gain * moved + (scale >> 1)) >> GAIN_BITS)
-        own = math.sqrt(float((x.astype(float) ** 2).mean())) or 1.0
-        return lag, gain, math.sqrt(float((residual.astype(float) ** 2).mean())) / own
+    half = 1 << (GAIN_BITS - 1)
+
+    def stack(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        y = np.pad(y[:, : x.shape[1] + limit], ((0, 0), (0, max(0, x.shape[1] - y.shape[1]))))
+        moved, lags = shifted(y, limit)
+        moved = moved[..., : x.shape[1]]
+        match = np.einsum("rn,rln->rl", x.astype(float), moved.astype(float))
+        best = match.argmax(1)
+        rows = np.arange(len(x))
+        chosen = moved[rows, best]
+        power = (chosen.astype(float) ** 2).sum(1)
+        alpha = np.divide(match[rows, best], power, out=np.zeros(len(x)), where=power > 0)
+        gain = np.rint(np.clip(alpha, -MAX_GAIN, MAX_GAIN) * 2 * half).astype(np.int64)
+        left = x - ((gain[:, None] * chosen + half) >> GAIN_BITS)
+        level = np.sqrt((x.astype(float) ** 2).mean(1))
+        ratio = np.sqrt((left.astype(float) ** 2).mean(1)) / np.where(level > 0, level, 1.0)
+        return {"lag": lags[best], "gain": gain, "rms_ratio": ratio}
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [one(np.asarray(x, dtype=np.int64), np.asarray(y, dtype=np.int64)) for x, y in zip(pdf["x"], pdf["y"])]
-            out = pdf[keys].copy()
-            out["lag"], out["gain"], out["rms_ratio"] = zip(*found) if found else ([], [], [])
-            yield out[schema.fieldNames()]
+            sizes = [pdf["x"].map(len), pdf["y"].map(len)]
+            for _, part in pdf.groupby(sizes, sort=False):
+                found = stack(*(np.stack(part[c].to_numpy()).astype(np.int64) for c in ("x", "y")))
+                yield part[keys].assign(**found)[schema.fieldNames()]
 
     return pairs.select(*keys, "x", "y").mapInPandas(each, schema)
 

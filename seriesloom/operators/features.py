@@ -107,19 +107,9 @@ def previous_power_of_two(n: int) -> int:
     return 1 << (max(int(n), 1).bit_length() - 1)
 
 
-def burst_spectrum():
-    """Vectorised UDF: periodic-Hann magnitude spectrum of the first power-of-two samples."""
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def spectrum(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: _burst_magnitudes(np.asarray(v, dtype=np.float64)))
-
-    return spectrum
-
-
 def _burst_magnitudes(x: np.ndarray) -> np.ndarray:
-    n = previous_power_of_two(len(x))
-    return np.abs(np.fft.rfft(x[:n] * np.asarray(hann(n, periodic=True))))[: n // 2]
+    n = len(x)
+    return np.abs(np.fft.rfft(x * np.asarray(hann(n, periodic=True))))[: n // 2]
 
 
 def band_envelope(lo_share: float = 0.2, hi_share: float = 0.6):
@@ -133,8 +123,8 @@ def band_envelope(lo_share: float = 0.2, hi_share: float = 0.6):
 
 
 def _envelope(x: np.ndarray, sr: float, lo_share: float, hi_share: float) -> np.ndarray:
-    n = previous_power_of_two(len(x))
-    spectrum = np.fft.fft(x[:n])
+    n = len(x)
+    spectrum = np.fft.fft(x)
     freqs = np.arange(n) * (sr / n)
     inside = (freqs >= lo_share * sr / 2) & (freqs <= hi_share * sr / 2) & (np.arange(n) <= n // 2)
     return np.abs(np.fft.ifft(np.where(inside, 2.0 * spectrum, 0.0)))
@@ -400,50 +390,76 @@ def coarse_speed(spectra_long: DataFrame, keys: list[str], bin_hz: float, lo: in
     return best.select(*keys, (-F.col("top.back") * F.lit(bin_hz)).alias("f_hz"), F.col("top.score").alias("score"))
 
 
-def _tone(x: np.ndarray, sr: float, f: float, start: int, span: int) -> complex:
-    at = np.arange(start, start + span)
-    shape = np.asarray(hann(span, periodic=True))
-    return complex(np.sum(x[start : start + span] * shape * np.exp(-2j * np.pi * f * at / sr)))
+HARMONICS = 5  # whose phase advance the refinement reads
+SEGMENTS = 6
+REFINEMENTS = 3
 
 
-def _consensus(x: np.ndarray, sr: float, f0: float, span: int, apart: int, only_first: bool = False) -> float:
-    """Phase advance between two spans, per harmonic, averaged with weights k^2 * amplitude^2."""
-    found = []
-    for k in (1,) if only_first else range(1, 6):
-        c1, c2 = _tone(x, sr, f0 * k, 0, span), _tone(x, sr, f0 * k, apart, span)
-        shift = np.angle(c2 * np.conj(c1)) / (2.0 * np.pi * apart / sr) / k
-        found.append((k, f0 + shift, min(abs(c1), abs(c2))))
-    if only_first:
-        return found[0][1]
-    kept = [(k * k * amp * amp, f) for k, f, amp in found if abs(f - f0) <= 0.9 * sr / (2.0 * apart * k)]
-    weight = sum(w for w, _ in kept)
-    return sum(w * f for w, f in kept) / weight if weight > 0 else f0
+def _coarse(mags: np.ndarray, step: float, nominal: np.ndarray, tolerance: float) -> np.ndarray:
+    """Fundamental with the best 1/k-weighted support of four harmonics, for each row of spectra."""
+    bins = mags.shape[1]
+    support = np.maximum(mags, np.maximum(np.pad(mags, ((0, 0), (1, 0)))[:, :-1], np.pad(mags, ((0, 0), (0, 1)))[:, 1:]))
+    support[:, -1:] = 0.0
+    lo = np.maximum(1, np.floor(nominal * (1 - tolerance) / step).astype(int))
+    hi = np.maximum(lo, np.minimum(np.ceil(nominal * (1 + tolerance) / step).astype(int), bins - 1))
+    candidate = np.arange(lo.min(), hi.max() + 1)
+    k = np.arange(1, 5)[:, None]
+    at = candidate * k
+    score = (np.where(at < bins, support[:, np.minimum(at, bins - 1)], 0.0) / k).sum(1)
+    score[(candidate < lo[:, None]) | (candidate > hi[:, None])] = -1.0
+    return candidate[score.argmax(1)] * step
+
+
+def refine_speeds(x: np.ndarray, sr: float, nominal: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shaft frequency and its drift of a stack of bursts (rows) without a tachometer.
+
+    Overlapping segments give the phase of every harmonic over time; against the frequency so far these
+    phases are a line for a wrong frequency and a parabola for a drift. Both come from one least-squares fit
+    over all segments and harmonics, each harmonic weighing as the square of its number and weakest amplitude.
+    """
+    n = x.shape[1]
+    if n < 4 * SEGMENTS:  # too short to tell
+        return np.asarray(nominal, dtype=float), np.zeros(len(x))
+    f = coarse = _coarse(np.abs(np.fft.rfft(x * np.asarray(hann(n, periodic=True))))[:, : max(2, n // 2)], sr / n, nominal, tolerance)
+    span = max(2, n // 3)
+    starts = np.rint(np.linspace(0, n - span, SEGMENTS)).astype(int)
+    shape = np.asarray(hann(span, periodic=True))
+    pieces = np.lib.stride_tricks.sliding_window_view(x, span, axis=1)[:, starts] * shape
+    t = np.arange(span) / sr
+    middle = (starts + span / 2) / sr
+    design = np.stack([middle, middle**2 / 2], 1)
+    design = design - design.mean(0)
+    drift = np.zeros(len(x))
+    for turn in range(REFINEMENTS):
+        k = np.arange(1, (1 if turn == 0 else HARMONICS) + 1)
+        wave = np.exp(-2j * np.pi * f[:, None, None] * k[:, None] * t)
+        tone = np.einsum("rsn,rkn->rks", pieces, wave) * np.exp(-2j * np.pi * (f[:, None, None] * k[:, None]) * (starts / sr))
+        cycles = np.unwrap(np.angle(tone), axis=2) / (2 * np.pi * k[:, None])
+        weight = (k * np.abs(tone).min(2)) ** 2
+        # A harmonic that turns by half a cycle between segments cannot be followed.
+        steady = np.abs(np.diff(cycles, axis=2)).max(2) * k < 0.45
+        weight = np.where(steady, weight, 0.0)
+        y = (weight[:, :, None] * (cycles - cycles.mean(2, keepdims=True))).sum(1)
+        total = weight.sum(1, keepdims=True)
+        y = np.divide(y, total, out=np.zeros_like(y), where=total > 0)
+        fit = np.linalg.lstsq(design, y.T, rcond=None)[0]
+        drift = fit[1]
+        f = f + fit[0] + drift * (n / sr) / 2
+    # A burst without a tone leads anywhere; then the coarse estimate stands.
+    lost = ~(np.abs(f - nominal) <= 4 * tolerance * np.abs(nominal))
+    return np.where(lost, coarse, f), np.where(lost, 0.0, drift)
 
 
 def refine_speed(x: np.ndarray, sr: float, nominal: float, tolerance: float) -> tuple[float, float]:
-    """Shaft frequency and drift of one burst without a tachometer."""
-    n = previous_power_of_two(min(len(x), 1 << 15))
-    mags = _burst_magnitudes(x[:n])
-    df = sr / n
-    lo = max(1, math.floor(nominal * (1 - tolerance) / df))
-    hi = min(math.ceil(nominal * (1 + tolerance) / df), len(mags) - 1)
-    candidates = np.arange(lo, hi + 1)
-    scores = np.zeros(len(candidates))
-    padded = np.maximum(np.maximum(np.roll(mags, 1), mags), np.roll(mags, -1))
-    for k in range(1, 5):
-        kb = candidates * k
-        inside = kb + 1 < len(mags)
-        scores[inside] += padded[kb[inside]] / k
-    f = float(candidates[int(np.argmax(scores))] * df) if len(candidates) else lo * df
-    half = n // 2
-    f = _consensus(x[:n], sr, f, half, half, only_first=True)
-    f = _consensus(x[:n], sr, f, half, half)
-    f = _consensus(x[:n], sr, f, half, half)
-    third = n // 3
-    late = n - third - third // 2
-    early_f = _consensus(x[: third + third // 2], sr, f, third, third // 2)
-    late_f = _consensus(x[late:n], sr, f, third, third // 2)
-    return f, (late_f - early_f) / (late / sr) if late > 0 else 0.0
+    """Shaft frequency and drift of one burst."""
+    f, drift = refine_speeds(np.asarray(x, dtype=np.float64)[None], sr, np.array([nominal]), tolerance)
+    return float(f[0]), float(drift[0])
+
+
+def stacks(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, float]]:
+    """Bursts of equal length and rate together: their rows, samples as a matrix, and the rate."""
+    for (_, sr), part in pdf.groupby([pdf["x"].map(len), "sr"], sort=False):
+        yield part, np.stack(part["x"].to_numpy()).astype(np.float64), float(sr)
 
 
 def shaft_speed(bursts: DataFrame, tolerance: float = 0.05) -> DataFrame:
@@ -452,11 +468,9 @@ def shaft_speed(bursts: DataFrame, tolerance: float = 0.05) -> DataFrame:
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [
-                refine_speed(np.asarray(x, dtype=np.float64), sr, nominal, tolerance)
-                for x, sr, nominal in zip(pdf["x"], pdf["sr"], pdf["f_nominal"])
-            ]
-            yield pdf.assign(f_hz=[f for f, _ in found], drift=[d for _, d in found])
+            for part, x, sr in stacks(pdf):
+                f, drift = refine_speeds(x, sr, part["f_nominal"].to_numpy(dtype=float), tolerance)
+                yield part.assign(f_hz=f, drift=drift)
 
     return bursts.mapInPandas(each, schema)
 

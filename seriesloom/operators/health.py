@@ -17,11 +17,6 @@ from seriesloom.operators.features import _burst_magnitudes, _envelope, previous
 from seriesloom.plans.relay import Emits, run_rule
 from seriesloom.plans.series import Series, index_series
 
-try:
-    import zstandard
-except ImportError:  # the baseline then uses the standard library's deflate
-    zstandard = None
-
 # Fixed values of the coding-cost meter, the detectors and the disposition rule.
 FULL_SCALE = 32768.0
 RICE_BLOCK = 256
@@ -346,8 +341,7 @@ METRIC_FIELDS = [
 def packed_bits(x: np.ndarray) -> float:
     """Bits per sample of the general-purpose compressor on the raw 16-bit samples."""
     raw = x.astype("<i2").tobytes()
-    packed = zstandard.ZstdCompressor(level=19).compress(raw) if zstandard else zlib.compress(raw, 9)
-    return len(packed) * 8.0 / len(x)
+    return len(zlib.compress(raw, 9)) * 8.0 / len(x)
 
 
 def _steady(revs: pd.DataFrame) -> float | None:
@@ -358,7 +352,7 @@ def _steady(revs: pd.DataFrame) -> float | None:
 def _line(x: np.ndarray, sr: float, hz: float) -> float:
     envelope = _envelope(x, sr, 0.2, 0.6)
     mags = _burst_magnitudes(envelope - envelope.mean())
-    df = sr / previous_power_of_two(len(envelope))
+    df = sr / len(envelope)
     lo, hi = max(1, math.floor(hz * 0.975 / df)), min(math.ceil(hz * 1.025 / df), len(mags) - 1)
     if lo >= hi:
         return 0.0
@@ -638,7 +632,7 @@ def monitor(snapshots: Series, reference_snapshots: int = 30) -> DataFrame:
 
 # The text form of an event (field order and digits).
 EVENT_FORMAT = (
-    '{"object":"defect_event","helix_n":%d,"t_detect_h":%.4f,"t_onset_est_h":%.4f,"component":"%s",'
+    '{"object":"defect_event","row_n":%d,"t_detect_h":%.4f,"t_onset_est_h":%.4f,"component":"%s",'
     '"component_margin":%.2f,"angle_deg_from_load_zone":%s,"angle_confidence":%.2f,"departure_sigma":%.1f,'
     '"disposition":"%s",%s}'
 )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,22 +38,25 @@ def block_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(BLOCK_ROWS, str(DEFAULT_BLOCK_ROWS)))
 
 
+def _shared_root(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; only a local session that names none gets one of its own."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if root is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-shared-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
+    return root
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder and cut its lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        # Only a session without a shared folder (a local test) falls back to a private one.
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    _shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for a job's own files, below the cluster's checkpoint folder."""
-    import uuid
-
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if root is None:
-        root = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-work-")
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(_shared_root(spark), f"{name}-{uuid.uuid4().hex}")

@@ -20,13 +20,16 @@ AUDIO_EXTENSIONS = ["wav"]
 PEAK_SHARE = 0.95 * 32767.0
 
 
-def series_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
+def series_name(path: Column, folder: str) -> Column:
+    """The path below the folder without its extension: files of one name in two folders are two series."""
+    root = folder.split("://")[-1].removeprefix("file:").strip("/")
+    below = F.substring_index(path, f"/{root}/", -1)
+    return F.regexp_replace(below, r"\.[^./]*$", "")
 
 
 def _files(spark: SparkSession, folder: str, pattern: str = "*.wav") -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
-    return files.load(folder).select(series_name(F.col("path")).alias("series_id"), "content")
+    return files.load(folder).select(series_name(F.col("path"), folder).alias("series_id"), "content")
 
 
 def _decode(content: bytes) -> tuple[np.ndarray, int, int]:

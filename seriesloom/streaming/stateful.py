@@ -1,17 +1,19 @@
 """Stateful streams: ticks, keyframes, change detection and the monitor.
 
-Each stream keeps a state of a few numbers per series and uses the same step as the batch form, so
-both give the same rows. Whole-series facts (spreads, means, policies) come in as columns joined
-from a static calibration table. Rows inside the watermark are put in order per batch before the
-state moves; later ones are dropped. A row with ``closing = true`` ends a series.
+Each stream keeps a few numbers per series and settles whole stretches of rows at once, with the same
+closed forms as the batch side, so both give the same rows. Whole-series facts (spreads, means,
+policies) come in as columns joined from a static calibration table. The rows of a series are
+numbered without gaps: rows that arrive before an earlier number wait in the state until it is there,
+so the order of arrival does not matter. A row with ``closing = true`` ends a series; what still waits
+is then settled in order and only a mark is kept.
 """
 
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,30 +36,34 @@ def keyed_stream(
     keys: list[str],
     emits: T.StructType,
     walk: Callable[[list | None, pd.DataFrame], tuple[list | None, pd.DataFrame]],
-    close: Callable[[list | None], list[dict]] | None = None,
+    close: Callable[[list | None], pd.DataFrame] | None = None,
+    first: int = 0,
 ) -> DataFrame:
-    """Run ``walk(state, fresh rows in order of n)`` over each key and micro-batch.
+    """Run ``walk(state, rows in order of n)`` over each key; the first row of a series has n = ``first``.
 
-    The rows of one key in one micro-batch are what a task holds, never the history of the key.
+    A task holds the rows of one key in one micro-batch and those that wait for a missing number.
     """
     schema = T.StructType([rows.schema[k] for k in keys] + list(emits))
     names = emits.fieldNames()
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"at": -1, "state": None, "done": False}
-        fresh = pd.concat(list(batches), ignore_index=True).sort_values("n", ignore_index=True)
-        # Rows at or before the last settled one are replays or late: they leave no trace.
-        fresh = fresh[(fresh["n"] > held["at"]) & (not held["done"])].drop_duplicates("n")
+        held = json.loads(state.get[0]) if state.exists else {"next": first, "state": None, "waiting": [], "done": False}
+        come = pd.concat([pd.DataFrame(held["waiting"]), *batches], ignore_index=True)
+        ends = bool(come["closing"].astype(bool).any())
+        # A number that was settled or is here twice is a replay.
+        come = come[(come["n"] >= held["next"]) & ~come["closing"].astype(bool) & (not held["done"])]
+        come = come.drop_duplicates("n").sort_values("n", ignore_index=True)
+        ready = len(come) if ends else int((come["n"] == held["next"] + np.arange(len(come))).cumprod().sum())
         parts = []
-        open_rows = fresh[~fresh["closing"].astype(bool)]
-        if len(open_rows):
-            held["state"], out = walk(held["state"], open_rows)
-            held["at"] = int(open_rows["n"].iloc[-1])
+        if ready:
+            held["state"], out = walk(held["state"], come.iloc[:ready])
+            held["next"] = int(come["n"].iloc[ready - 1]) + 1
             parts.append(out)
-        if len(open_rows) < len(fresh):
-            held["done"] = True
+        held["waiting"] = json.loads(come.iloc[ready:].drop(columns=keys).to_json(orient="records", double_precision=15))
+        if ends and not held["done"]:
             if close:
-                parts.append(pd.DataFrame(close(held["state"]), columns=names))
+                parts.append(close(held["state"]))
+            held = {"next": held["next"], "state": None, "waiting": [], "done": True}
         state.update((json.dumps(held),))
         parts = [p for p in parts if len(p)]
         pdf = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=names)
@@ -68,55 +74,57 @@ def keyed_stream(
     return rows.groupBy(*keys).applyInPandasWithState(advance, schema, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def stepwise(step: Callable[[list | None, dict], tuple[list | None, list[dict]]], emits: T.StructType):
-    """A walk from a rule for one row."""
-
-    def walk(state: list | None, pdf: pd.DataFrame) -> tuple[list | None, pd.DataFrame]:
-        out: list[dict] = []
-        for row in pdf.to_dict("records"):
-            state, emitted = step(state, row)
-            out += emitted
-        return state, pd.DataFrame(out, columns=emits.fieldNames())
-
-    return walk
+def reflected(before: float, steps: np.ndarray) -> np.ndarray:
+    """max(0, value + step) along the steps: the running sum less its lowest point below zero."""
+    total = before + np.cumsum(steps)
+    return total - np.minimum(np.minimum.accumulate(total), 0.0)
 
 
 # -- ticks --------------------------------------------------------------------------------------
-def _tick(state: list, da: float, di: float, edge: bool) -> tuple[list, list[dict]]:
-    """Settle the pending row of state [j, a1, i1, a0, i0, h, acc, last tick, s_a, s_i, eps]."""
-    j, a1, i1, a0, i0, h, acc, last, s_a, s_i, eps = state
-    f = math.sqrt((da / s_a) ** 2 + (di / s_i) ** 2)
-    h, acc = h + f, acc + f
-    fires = acc >= eps
-    acc -= eps if fires else 0.0
-    out = []
-    if fires or edge:
-        out, last = [{"n": j, "h": h, "step_rows": j - last}], j
-    return [j, a1, i1, a0, i0, h, acc, last, s_a, s_i, eps], out
-
-
-def tick_step(state: list | None, row: dict) -> tuple[list, list[dict]]:
-    """A row settles the one before it, whose gradient needs both neighbours."""
-    a, i, n = float(row["a"]), float(row["i"]), int(row["n"])
+def _ticks(carry: dict, da: np.ndarray, di: np.ndarray, n: np.ndarray, edge: np.ndarray) -> pd.DataFrame:
+    """Settle rows with known gradients: climb, crossings of the step, and the queue of pending ticks."""
+    h = carry["h"] + np.cumsum(np.hypot(da / carry["s_a"], di / carry["s_i"]))
+    crossed = np.diff(np.floor(np.concatenate([[carry["h"]], h]) / carry["eps"]))
+    queue = reflected(carry["queue"], crossed - 1.0)
+    fires = np.concatenate([[carry["queue"]], queue[:-1]]) + crossed >= 1.0
+    at = np.flatnonzero(fires | edge)
+    out = pd.DataFrame({"n": n[at], "h": h[at], "step_rows": np.diff(n[at], prepend=carry["last"])})
+    carry.update(h=float(h[-1]), queue=float(queue[-1]), last=int(n[at[-1]]) if len(at) else carry["last"])
+    return out
+
+
+def tick_walk(state: list | None, pdf: pd.DataFrame) -> tuple[list, pd.DataFrame]:
+    """Two carried rows and the new ones give the gradients of all rows but the last."""
     if state is None:
-        return [n, a, i, None, None, 0.0, 0.0, 0, float(row["s_a"]), float(row["s_i"]), float(row["eps"])], []
-    j, a1, i1, a0, i0 = state[:5]
-    da, di = (a - a1, i - i1) if a0 is None else ((a - a0) / 2.0, (i - i0) / 2.0)
-    state, out = _tick(state, da, di, edge=a0 is None)
-    return [n, a, i, a1, i1, *state[5:]], out
-
-
-def tick_close(state: list | None) -> list[dict]:
+        carry = {c: float(pdf[c].iloc[0]) for c in ("s_a", "s_i", "eps")}
+        carry.update(h=0.0, queue=0.0, last=0, n=[], a=[], i=[])
+    else:
+        carry = state[0]
+    opening = len(carry["n"]) < 2
+    n, a, i = (np.concatenate([carry[c], pdf[c].to_numpy(dtype=float)]) for c in ("n", "a", "i"))
+    carry.update(n=n[-2:].tolist(), a=a[-2:].tolist(), i=i[-2:].tolist())
+    slopes = [(v[2:] - v[:-2]) / 2.0 for v in (a, i)]
+    if opening and len(n) > 1:
+        slopes = [np.concatenate([[v[1] - v[0]], s]) for v, s in zip((a, i), slopes)]
+    if not len(slopes[0]):
+        return [carry], pd.DataFrame(columns=TICKS.fieldNames())
+    rows = n[len(n) - 1 - len(slopes[0]) : -1].astype(np.int64)
+    edge = np.zeros(len(rows), bool)
+    edge[0] = opening
+    return [carry], _ticks(carry, *slopes, rows, edge)
+
+
+def tick_close(state: list | None) -> pd.DataFrame:
     if state is None:
-        return []
-    _, a1, i1, a0, i0 = state[:5]
-    da, di = (0.0, 0.0) if a0 is None else (a1 - a0, i1 - i0)
-    return _tick(state, da, di, edge=True)[1]
+        return pd.DataFrame(columns=TICKS.fieldNames())
+    carry = state[0]
+    slopes = [np.diff(carry[c]) if len(carry["n"]) > 1 else np.zeros(1) for c in ("a", "i")]
+    return _ticks(carry, *slopes, np.array(carry["n"][-1:], dtype=np.int64), np.ones(1, bool))
 
 
 def tick_stream(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Equal-energy ticks of ``n, a, i, closing, s_a, s_i, eps``."""
-    return keyed_stream(rows, keys, TICKS, stepwise(tick_step, TICKS), tick_close)
+    return keyed_stream(rows, keys, TICKS, tick_walk, tick_close)
 
 
 # -- keyframes ----------------------------------------------------------------------------------
@@ -131,30 +139,37 @@ def keyframe_stream(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 # -- change detection ---------------------------------------------------------------------------
-def cusum_step(threshold: float, slack: float = CUSUM_SLACK):
-    def step(state: list | None, row: dict) -> tuple[list, list[dict]]:
+def cusum_walk(threshold: float, slack: float = CUSUM_SLACK):
+    def walk(state: list | None, pdf: pd.DataFrame) -> tuple[list, pd.DataFrame]:
         s, w = state or (0.0, 0.0)
-        z = float(row["z"])
-        s, w = max(0.0, s + z - slack), max(0.0, w + z)
-        return [s, w], [{"n": int(row["n"]), "s": s, "w": w, "alarm": s >= threshold}]
+        z = pdf["z"].to_numpy(dtype=float)
+        s, w = reflected(s, z - slack), reflected(w, z)
+        out = pd.DataFrame({"n": pdf["n"].to_numpy(), "s": s, "w": w, "alarm": s >= threshold})
+        return [float(s[-1]), float(w[-1])], out
 
-    return step
+    return walk
 
 
-def cusum_stream(rows: DataFrame, keys: list[str], threshold: float, slack: float = CUSUM_SLACK) -> DataFrame:
+def cusum_stream(rows: DataFrame, keys: list[str], threshold: float, slack: float = CUSUM_SLACK, first: int = 0) -> DataFrame:
     """Both walks of ``n, z, closing``."""
-    return keyed_stream(rows, keys, WALK, stepwise(cusum_step(threshold, slack), WALK))
+    return keyed_stream(rows, keys, WALK, cusum_walk(threshold, slack), first=first)
 
 
 # -- monitor ------------------------------------------------------------------------------------
-def monitor_stream(rows: DataFrame, keys: list[str]) -> DataFrame:
+def monitor_stream(rows: DataFrame, keys: list[str], first: int = 0) -> DataFrame:
     """Defect events of snapshots ``n, rev_t, rev_bits, rev_base, mu, sigma, closing`` (plus address)."""
 
-    def step(state: list | None, row: dict) -> tuple[list, list[dict]]:
-        state, event = monitor_step(state, _clean(row))
-        return state, [event] if event else []
+    def walk(state: list | None, pdf: pd.DataFrame) -> tuple[list | None, pd.DataFrame]:
+        out: list[dict] = []
+        for row in pdf.to_dict("records"):
+            state, event = monitor_step(state, _clean(row))
+            out += [event] if event else []
+        return state, pd.DataFrame(out, columns=EVENTS.names)
+
+    def close(state: list | None) -> pd.DataFrame:
+        return pd.DataFrame(monitor_close(state), columns=EVENTS.names)
 
-    return keyed_stream(rows, keys, EVENTS.schema, stepwise(step, EVENTS.schema), monitor_close)
+    return keyed_stream(rows, keys, EVENTS.schema, walk, close, first)
 
 
 # -- running a stream ---------------------------------------------------------------------------

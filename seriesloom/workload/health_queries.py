@@ -146,7 +146,7 @@ def dispositions(spark, sf_dir):
 @query("s11_event_json", f"""WITH {DISPOSE},
 e AS (SELECT user_id, detect_n, onset_n, disposition, plateau_sigma, growth_per_h, ln(2) / growth_per_h AS doubling,
       t + greatest(ln(100 / greatest(last, 1e-9)) / growth_per_h, 0) AS service FROM verdicts JOIN found USING (user_id))
-SELECT user_id, printf('{{"object":"defect_event","helix_n":%d,"t_detect_h":%.4f,"t_onset_est_h":%.4f,"component":"outer race",', detect_n, detect_n::DOUBLE, onset_n::DOUBLE)
+SELECT user_id, printf('{{"object":"defect_event","row_n":%d,"t_detect_h":%.4f,"t_onset_est_h":%.4f,"component":"outer race",', detect_n, detect_n::DOUBLE, onset_n::DOUBLE)
   || printf('"component_margin":1.00,"angle_deg_from_load_zone":null,"angle_confidence":0.00,"departure_sigma":%.1f,', coalesce(plateau_sigma, 0.0))
   || CASE WHEN disposition = 'maintenance' THEN printf('"disposition":"maintenance_request","growth_per_h":%.4f,"doubling_h":%.2f,"service_by_h":%.2f}}', growth_per_h, doubling, service)
           ELSE printf('"disposition":"absorbed_stable","plateau_sigma":%.1f}}', plateau_sigma) END AS event FROM e""")

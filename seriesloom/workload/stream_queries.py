@@ -65,7 +65,7 @@ def keyframe_stream(spark, sf_dir):
 def monitor_stream(spark, sf_dir):
     s, columns = health.monitor_input(monitor_snapshots(spark, sf_dir), 4)
     late = Series(s.df.filter("NOT in_reference"), s.keys, s.block)
-    out = _replay(late, columns, "monitor", spark, lambda rows: stateful.monitor_stream(rows, ["user_id"]))
+    out = _replay(late, columns, "monitor", spark, lambda rows: stateful.monitor_stream(rows, ["user_id"], first=4))
     return out.select("user_id", "detect_rev", "disposition", r4("t_detect_h", "t_detect_h"), r4("departure_sigma", "departure_sigma"))
 
 
@@ -73,7 +73,7 @@ def monitor_stream(spark, sf_dir):
 def cusum_stream(spark, sf_dir):
     s = health.reference_scores(user_state(spark, sf_dir), "a", REF)
     late = Series(s.df.filter(F.col("n") >= REF), s.keys, s.block)
-    out = _replay(late, ["z"], "cusum", spark, lambda rows: stateful.cusum_stream(rows, ["user_id"], LIMIT, slack=0.05))
+    out = _replay(late, ["z"], "cusum", spark, lambda rows: stateful.cusum_stream(rows, ["user_id"], LIMIT, slack=0.05, first=REF))
     return out.select("user_id", "n", r4("s", "s"), r4("w", "w"))
 
 

@@ -204,10 +204,9 @@ def impact_angle(spark, sf_dir):
 
 
 def _bursts(spark, sf_dir, size: int = 512):
-    """Waveforms cut into bursts of ``size`` samples; the remainder of a series is dropped."""
+    """Waveforms cut into bursts of ``size`` samples; the last one of a series may be shorter."""
     rows = waves(spark, sf_dir).df.withColumn("snap", F.floor(F.col("n") / size)).groupBy("l_suppkey", "snap")
     packed = rows.agg(F.array_sort(F.collect_list(F.struct("n", "pcm"))).alias("packed"))
-    packed = packed.filter(F.size("packed") == size)
     return packed.select(
         "l_suppkey", "snap", F.transform("packed", lambda p: p["pcm"]).alias("x"), F.lit(SR).alias("sr"), F.lit(F0).alias("f_nominal")
     )
@@ -215,14 +214,16 @@ def _bursts(spark, sf_dir, size: int = 512):
 
 BURSTS = """
 cut AS (SELECT l_suppkey, n // 512 AS snap, n % 512 AS pos, pcm, count(*) OVER (PARTITION BY l_suppkey, n // 512) AS held FROM waves),
-bursts AS (SELECT l_suppkey, snap, pos, pcm FROM cut WHERE held = 512)"""
+bursts AS (SELECT l_suppkey, snap, pos, pcm, held FROM cut)"""
 
 
 @query("f18_band_envelopes", f"""WITH {WAVES}, {BURSTS},
-k AS (SELECT unnest(range(52, 154)) AS k),
-spec AS (SELECT l_suppkey, snap, k, sum(pcm * cos(2 * pi() * ((pos * k) % 512) / 512)) AS re, -sum(pcm * sin(2 * pi() * ((pos * k) % 512) / 512)) AS im FROM bursts, k GROUP BY 1, 2, 3),
-back AS (SELECT l_suppkey, snap, t.pos, sum(2 * (re * cos(2 * pi() * ((t.pos * k) % 512) / 512) - im * sin(2 * pi() * ((t.pos * k) % 512) / 512))) / 512 AS re,
-         sum(2 * (re * sin(2 * pi() * ((t.pos * k) % 512) / 512) + im * cos(2 * pi() * ((t.pos * k) % 512) / 512))) / 512 AS im FROM spec, (SELECT unnest(range(512)) AS pos) t GROUP BY 1, 2, 3)
+k AS (SELECT unnest(range(0, 257)) AS k),
+band AS (SELECT * FROM bursts, k WHERE k <= held // 2 AND k * ({SR} / held) >= 0.2::DOUBLE * {SR} / 2 AND k * ({SR} / held) <= 0.6::DOUBLE * {SR} / 2),
+spec AS (SELECT l_suppkey, snap, held, k, sum(pcm * cos(2 * pi() * ((pos * k) % held) / held)) AS re, -sum(pcm * sin(2 * pi() * ((pos * k) % held) / held)) AS im FROM band GROUP BY 1, 2, 3, 4),
+back AS (SELECT b.l_suppkey, b.snap, b.pos, coalesce(sum(2 * (re * cos(2 * pi() * ((b.pos * k) % b.held) / b.held) - im * sin(2 * pi() * ((b.pos * k) % b.held) / b.held))) / any_value(b.held), 0) AS re,
+         coalesce(sum(2 * (re * sin(2 * pi() * ((b.pos * k) % b.held) / b.held) + im * cos(2 * pi() * ((b.pos * k) % b.held) / b.held))) / any_value(b.held), 0) AS im
+         FROM bursts b LEFT JOIN spec s ON s.l_suppkey = b.l_suppkey AND s.snap = b.snap GROUP BY 1, 2, 3)
 SELECT l_suppkey, snap, CAST(pos AS INTEGER) AS at_pos, round(sqrt(re * re + im * im), 4) AS level FROM back""")
 def band_envelopes(spark, sf_dir):
     envelope = feat.band_envelope()
