@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.exchange import cut, pack48, ranges_for, unpack48
-from seriesloom.llm.text import gram_hash, prefix_hash, range_hash, slices, window_best, word_hashes
+from seriesloom.llm.text import gram_hash, mixed, prefix_hash, range_hash, slices, window_best, word_hashes
 
 LAST = np.iinfo(np.int64).max
 HOT = 1 << 15  # contents of one anchor from which on windows are dealt by their own hash
@@ -68,7 +68,8 @@ def _runs(prefix: np.ndarray, first: np.ndarray, kind: Windows) -> tuple[np.ndar
     end = np.flatnonzero(stops)
     doc = np.searchsorted(first, start, "right") - 1
     content = range_hash(prefix, start, end + width)
-    return doc, start - first[doc], end - start + 1, grams[anchor[start]], content
+    # The hashes of anchors are minima; mixed anew they spread over all ranges.
+    return doc, start - first[doc], end - start + 1, mixed(grams[anchor[start]]), content
 
 
 def _anchors(docs: DataFrame, kind: Windows, ranges: int) -> DataFrame:
