@@ -27,6 +27,7 @@ def pack48(x: np.ndarray) -> bytes:
 
 
 def unpack48(blob: bytes) -> np.ndarray:
+    """The packed values, as the lower 48 bits."""
     six = np.frombuffer(blob, np.uint8).reshape(-1, 6)
     out = np.zeros((len(six), 8), np.uint8)
     out[:, :6] = six

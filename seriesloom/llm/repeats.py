@@ -169,7 +169,8 @@ def _decide(kind: Windows, ranges: int, buckets: int) -> Callable[[pa.Table], pa
         rows = []
         mine = ~head
         rows += pack_verdicts(buckets, REPEATED, tid[mine], starts[mine], every[mine])
-        full = (keys >> np.uint64(int(ranges).bit_length() - 1)) | np.uint64(part) << np.uint64(64 - int(ranges).bit_length() + 1)
+        bits = int(ranges).bit_length() - 1
+        full = keys << np.uint64(16) >> np.uint64(bits) | np.uint64(part) << np.uint64(64 - bits)  # the range's bits again on top
         for name, mine in ((ASKED, head & (classes > 1) & (classes <= HOT)), (ASKED_HOT, head & (classes > HOT))):
             rows += pack_verdicts(buckets, name, tid[mine], starts[mine], counts[mine], full[mine])
         return verdict_table([(*r, None)[:6] for r in rows])
