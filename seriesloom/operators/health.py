@@ -488,99 +488,91 @@ LATCHED = ["latched"]
 
 def verdict(t: list[float], d: list[float], forced: bool) -> dict | None:
     """The disposition of a candidate on the departures so far, or None while it must wait."""
-    n = len(d)
-    if n < CONFIRM_MIN and not forced:
+    n, level = len(d), np.asarray(d, dtype=float)
+    threes = np.convolve(level, np.full(3, 1 / 3), "valid") if n >= 3 else level
+    # The newest mean of three against the one six rows back, or against the first there is.
+    last = float(threes[-1])
+    rising = n >= 4 and last / max(float(threes[max(n - 9, 0)]), 0.05) >= RISE_RATIO
+    if not forced and (n < CONFIRM_MIN or (rising and n < CONFIRM_MAX)):
         return None
-    if n < 4:
-        return {"disposition": "absorbed", "plateau_sigma": sum(d) / max(n, 1)}
-    last = sum(d[n - 3 :]) / 3.0
-    end = max(n - 6, 3)
-    prev = max(sum(d[end - 3 : end]) / 3.0, 0.05)
-    rising = last / prev >= RISE_RATIO
-    if rising and n < CONFIRM_MAX and not forced:
-        return None
-    if not rising and last < ABSORB_CEILING:
-        return {"disposition": "absorbed", "plateau_sigma": last}
-    ts = np.asarray(t[-12:])
-    logs = np.log(np.maximum(np.asarray(d[-12:]), 0.05))
-    spread = float(((ts - ts.mean()) ** 2).sum())
-    slope = float(((ts - ts.mean()) * (logs - logs.mean())).sum()) / spread if spread > 0 else 1e-6
-    growth = max(slope, 1e-6)
-    ahead = max(math.log(SERVICE_DEPARTURE / max(last, 1e-9)) / growth, 0.0)
-    return {
-        "disposition": "maintenance",
-        "growth_per_h": growth,
-        "doubling_h": math.log(2.0) / growth,
-        "service_by_h": t[-1] + ahead,
-    }
+    if n < 4 or (not rising and last < ABSORB_CEILING):
+        return {"disposition": "absorbed", "plateau_sigma": last if n >= 4 else float(level.mean())}
+    hours, logs = np.asarray(t[-12:], dtype=float), np.log(np.maximum(level[-12:], 0.05))
+    off = hours - hours.mean()
+    growth = max(float(off @ logs / (off @ off)) if off.any() else 0.0, 1e-6)
+    ahead = math.log(SERVICE_DEPARTURE / max(last, 1e-9)) / growth
+    out = {"growth_per_h": growth, "doubling_h": math.log(2.0) / growth, "service_by_h": t[-1] + max(ahead, 0.0)}
+    return {"disposition": "maintenance", **out}
+
+
+ADDRESS = ["component", "margin", "angle_deg", "angle_confidence"]
+
+
+def reflected(before: float, steps: np.ndarray) -> np.ndarray:
+    """max(0, value + step) along the steps: the running sum less its lowest point below zero."""
+    total = before + np.cumsum(steps)
+    return total - np.minimum(np.minimum.accumulate(total), 0.0)
 
 
 def _event(case: dict, found: dict) -> dict:
-    row = dict.fromkeys(EVENTS.names)
-    row.update({k: case[k] for k in ("t_detect_h", "detect_rev", "t_onset_h", "component", "margin", "angle_deg")})
-    row["angle_confidence"] = case["angle_confidence"] or 0.0
-    row["departure_sigma"] = case["d"][-1]
-    row.update(found)
-    return row
+    facts = {c: case[c] for c in ("t_detect_h", "detect_rev", "t_onset_h", *ADDRESS)}
+    facts["angle_confidence"] = facts["angle_confidence"] or 0.0
+    return {**dict.fromkeys(EVENTS.names), **facts, "departure_sigma": case["d"][-1], **found}
 
 
-def monitor_step(state: list | None, snap: dict) -> tuple[list, dict | None]:
-    """One snapshot: ``mu, sigma, t_h, rev_t[], rev_bits[], rev_base, component, margin, angle...``.
+def _watching(mu: float, sigma: float) -> list:
+    return ["watch", {"mu": mu, "sigma": sigma, "s": 0.0, "w": 0.0, "onset": None}]
 
-    States: ["watch", mu, sigma, s, w, onset rev, onset t], ["case", mu, sigma, case], ["latched"].
-    """
-    if state is None:
-        state = ["watch", snap["mu"], max(snap["sigma"], 1e-9), 0.0, 0.0, None, None]
-    if state[0] == "latched" or len(snap["rev_bits"]) == 0:
-        return state, None
-    mu, sigma = state[1], state[2]
-    mean_bits = float(np.mean(snap["rev_bits"]))
-    t_h = float(snap["rev_t"][0])
-    if state[0] == "watch":
-        _, _, _, s, w, onset_rev, onset_t = state
-        for at, (t, bits) in enumerate(zip(snap["rev_t"], snap["rev_bits"])):
-            rev = int(snap["rev_base"]) + at
-            z = (float(bits) - mu) / sigma
-            s = max(0.0, s + z - CUSUM_SLACK)
-            was, w = w, max(0.0, w + z)
-            if w > 0 and was == 0:
-                onset_rev, onset_t = rev, float(t)
-            if s >= CUSUM_THRESHOLD:
-                case = {
-                    "t_detect_h": float(t),
-                    "detect_rev": rev,
-                    "t_onset_h": onset_t if onset_t is not None else float(t),
-                    "component": snap.get("component"),
-                    "margin": snap.get("margin"),
-                    "angle_deg": snap.get("angle_deg"),
-                    "angle_confidence": snap.get("angle_confidence"),
-                    "t": [t_h],
-                    "d": [(mean_bits - mu) / sigma],
-                }
-                return ["case", mu, sigma, case], None
-        return ["watch", mu, sigma, s, w, onset_rev, onset_t], None
-    case = dict(state[3])
-    case["t"] = [*case["t"], t_h]
-    case["d"] = [*case["d"], (mean_bits - mu) / sigma]
+
+def _watch(now: dict, snap: dict, z: np.ndarray) -> list:
+    """Both walks over the revolutions of a snapshot; the first alarm opens a case."""
+    s, w = reflected(now["s"], z - CUSUM_SLACK), reflected(now["w"], z)
+    alarm = int((s >= CUSUM_THRESHOLD).argmax()) if (s >= CUSUM_THRESHOLD).any() else None
+    seen = slice(None if alarm is None else alarm + 1)
+    leaves_zero = np.flatnonzero(((w > 0) & (np.concatenate([[now["w"]], w[:-1]]) == 0))[seen])
+    onset = float(snap["rev_t"][leaves_zero[-1]]) if len(leaves_zero) else now["onset"]
+    if alarm is None:
+        return ["watch", {**now, "s": float(s[-1]), "w": float(w[-1]), "onset": onset}]
+    t = float(snap["rev_t"][alarm])
+    case = {"t_detect_h": t, "detect_rev": int(snap["rev_base"]) + alarm, "t_onset_h": t if onset is None else onset}
+    case.update({c: snap.get(c) for c in ADDRESS}, t=[float(snap["rev_t"][0])], d=[float(z.mean())])
+    return ["case", {"mu": now["mu"], "sigma": now["sigma"], **case}]
+
+
+def _follow(case: dict, snap: dict, z: np.ndarray) -> tuple[list, dict | None]:
+    """One more departure of an open case, the clearer address of the two, and its verdict."""
+    case = {**case, "t": [*case["t"], float(snap["rev_t"][0])], "d": [*case["d"], float(z.mean())]}
     if (snap.get("margin") or 0.0) > (case["margin"] or 0.0):
-        case["component"], case["margin"] = snap["component"], snap["margin"]
-        if snap.get("angle_deg") is not None:
-            case["angle_deg"], case["angle_confidence"] = snap["angle_deg"], snap["angle_confidence"]
+        angle = ADDRESS[2:] if snap.get("angle_deg") is not None else []
+        case.update({c: snap[c] for c in [*ADDRESS[:2], *angle]})
     found = verdict(case["t"], case["d"], forced=False)
     if found is None:
-        return ["case", mu, sigma, case], None
-    event = _event(case, found)
+        return ["case", case], None
     if found["disposition"] == "maintenance":
-        return LATCHED, event
-    recent = case["d"][-6:]
-    return ["watch", mu + sigma * sum(recent) / len(recent), max(sigma, 1e-12), 0.0, 0.0, None, None], event
+        return LATCHED, _event(case, found)
+    # What was absorbed is the new normal.
+    return _watching(case["mu"] + case["sigma"] * float(np.mean(case["d"][-6:])), max(case["sigma"], 1e-12)), _event(case, found)
+
+
+def monitor_step(state: list | None, snap: dict) -> tuple[list, dict | None]:
+    """One snapshot: ``mu, sigma, rev_t[], rev_bits[], rev_base, component, margin, angle...``.
+
+    A state is ["watch", walks], ["case", candidate] or ["latched"].
+    """
+    state = state or _watching(snap["mu"], max(snap["sigma"], 1e-9))
+    if state == LATCHED or len(snap["rev_bits"]) == 0:
+        return state, None
+    z = (np.asarray(snap["rev_bits"], dtype=float) - state[1]["mu"]) / state[1]["sigma"]
+    if state[0] == "watch":
+        return _watch(state[1], snap, z), None
+    return _follow(state[1], snap, z)
 
 
 def monitor_close(state: list | None) -> list[dict]:
     """An open candidate at the end of the record is judged on what there is."""
-    if state and state[0] == "case":
-        return [_event(state[3], verdict(state[3]["t"], state[3]["d"], forced=True))]
-    return []
+    if not state or state[0] != "case":
+        return []
+    return [_event(state[1], verdict(state[1]["t"], state[1]["d"], forced=True))]
 
 
 def _clean(snap: dict) -> dict:
