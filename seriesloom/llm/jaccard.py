@@ -228,7 +228,7 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80, rare: in
     links = stored(_verified(rest, tokens, percent).unionByName(roots.select(F.col("node").alias("x"), F.col("root").alias("y"))), "links")
     roots = stored(components(links, "x", "y"), "roots")
     dense = sized.where("spare <= 0").join(tokens, "set_id").select("set_id", "n", "tokens").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-    combined = _frequent_pairs(dense.withColumn("root", F.coalesce("root", "set_id")), percent)
+    combined = _frequent_pairs(dense.withColumn("root", F.coalesce("root", "set_id")), percent, ranges)
     more = stored(_verified(combined, tokens, percent), "combinations")
     if not more.isEmpty():
         roots = components(links.unionByName(more), "x", "y")
@@ -240,13 +240,59 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80, rare: in
     return linked.unionByName(empty)
 
 
-def _frequent_pairs(dense: DataFrame, percent: int) -> DataFrame:
+BITS = 512  # of the parity map of a set
+
+
+def _parity(tokens: np.ndarray) -> bytes:
+    """A map with one bit for each group of tokens, set if the set holds an odd number of them."""
+    odd = np.bincount((tokens % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _close_pairs(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Pairs of a list from different components, one of them not the list's largest, whose sizes and parity maps allow
+    a link: sets differ in at least as many tokens as their maps differ in bits."""
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        key, ids, n, root = (table[c].to_numpy() for c in ("key", "set_id", "n", "root"))
+        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(key), -1)
+        order = np.lexsort((ids, root, key))
+        key, ids, n, root, bits = key[order], ids[order], n[order], root[order], bits[order]
+        edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        found = [np.zeros((0, 2), np.int64)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if root[a] == root[b - 1]:
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], root[a + 1 : b] != root[a : b - 1]])) + a
+            sizes = np.diff(np.append(starts, b))
+            largest = root[starts[sizes.argmax()]]
+            for i in range(a, b):
+                if root[i] == largest:
+                    continue
+                # Against the largest component, and against later sets of the other ones.
+                most = (100 - percent) * (n[a:b] + n[i]) // (100 + percent)
+                near = np.bitwise_count(bits[a:b] ^ bits[i]).sum(1) <= most
+                near &= (root[a:b] != root[i]) & ((root[a:b] == largest) | (ids[a:b] > ids[i]))
+                near &= 100 * np.minimum(n[a:b], n[i]) >= percent * np.maximum(n[a:b], n[i])
+                at = np.flatnonzero(near) + a
+                if len(at):
+                    found.append(np.stack([np.full(len(at), i), at], 1))
+        at = np.concatenate(found)
+        x, y = np.minimum(ids[at[:, 0]], ids[at[:, 1]]), np.maximum(ids[at[:, 0]], ids[at[:, 1]])
+        pairs = np.unique(np.stack([x, y], 1), axis=0)
+        return pa.table({"x": pairs[:, 0], "y": pairs[:, 1]}, schema=schema)
+
+    return run
+
+
+def _frequent_pairs(dense: DataFrame, percent: int, ranges: int) -> DataFrame:
     """(x, y): pairs of dense sets (set_id, n, tokens, root) in different components that may link.
 
     Sets of two components share only tokens that occur in several components; a set with too few of these is linked
     with nobody outside. The others are ordered rarest first and indexed by the prefix of which a partner must have a
     token; a list within one component, the usual case, gives nothing, and of the other lists only pairs with an end
-    outside the largest component are candidates.
+    outside the largest component are looked at, most of which a bit map of 64 bytes per set rules out.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,6 +304,11 @@ def _frequent_pairs(dense: DataFrame, percent: int) -> DataFrame:
                 others = [part.column(c).take(refs) for c in ("set_id", "n", "root")]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *others], ["key", "set_id", "n", "root"])
 
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [_parity(unpack48(t)) for t in batch.column("tokens").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array(bits, pa.binary())], ["set_id", "bits"])
+
     rows = dense.select("set_id", "n", "tokens", "root").mapInArrow(deal, "key long, set_id long, n long, root long")
     several = lambda r: r.groupBy("key").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "df")
     need = F.ceil(F.col("n") * percent / 100)
@@ -266,12 +317,6 @@ def _frequent_pairs(dense: DataFrame, percent: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("set_id").orderBy("df", "key"))
     rows = rows.join(shared, "set_id").withColumn("at", rank).where(F.col("at") <= F.col("m") - need + 1).select("key", "set_id", "n", "root")
     rows = stored(rows, "dense-prefixes")
-    by_root = rows.groupBy("key", "root").agg(F.count("*").alias("m"))
-    largest = by_root.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.count("*").alias("roots"))
-    rows = rows.join(largest.where("roots > 1").drop("roots"), "key")
-    small = rows.where("root <> largest").select("key", F.col("set_id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    other = rows.select("key", F.col("set_id").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), "largest")
-    apart = (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("largest")) | (F.col("x") < F.col("y")))
-    fits = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
-    pairs = small.join(other, "key").where(apart & fits)
-    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    rows = rows.join(several(rows).select("key"), "key").join(dense.select("set_id", "tokens").mapInArrow(maps, "set_id long, bits binary"), "set_id")
+    parts = F.pmod(F.xxhash64("key"), F.lit(4 * ranges))
+    return rows.withColumn("part", parts).groupBy("part").applyInArrow(_close_pairs(percent), "x long, y long").distinct()
