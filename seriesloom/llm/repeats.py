@@ -24,7 +24,7 @@ from seriesloom.llm.text import gram_hash, mixed, prefix_hash, range_hash, slice
 
 LAST = np.iinfo(np.int64).max
 HOT = 1 << 15  # contents of one anchor from which on windows are dealt by their own hash
-FINER = 8  # blocks of open questions for each range of anchors
+FINER = 16  # blocks of open questions for each range of anchors
 _PLACE = 28  # low bits of a key that hold a position; the rest orders the grams
 _FLUSH = 1 << 19
 
@@ -45,11 +45,13 @@ def units(data: np.ndarray, offsets: np.ndarray, words: bool) -> tuple[np.ndarra
 
 
 def _runs(prefix: np.ndarray, first: np.ndarray, kind: Windows) -> tuple[np.ndarray, ...]:
-    """(document, start, windows, anchor hash, content hash) of every run; the start counts from the document's first unit."""
+    """(document, start, windows, anchor hash, content hash, sides) of every run; the start counts from the document's
+    first unit. ``sides`` has a byte that stands for the anchor with half of a window's other units before it, and one
+    for the other half after it: runs that share a window share one of the two."""
     n, width = len(prefix) - 1, kind.width
     none = np.zeros(0, np.int64)
     if n < width:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), np.zeros((0, 2), np.uint8)
     grams = gram_hash(prefix, kind.gram)
     key = (grams >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(len(grams), dtype=np.uint64)
     anchor = (window_best(key, width - kind.gram + 1) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
@@ -68,8 +70,12 @@ def _runs(prefix: np.ndarray, first: np.ndarray, kind: Windows) -> tuple[np.ndar
     end = np.flatnonzero(stops)
     doc = np.searchsorted(first, start, "right") - 1
     content = range_hash(prefix, start, end + width)
+    at, half = anchor[start], (width - kind.gram + 1) // 2
+    before = range_hash(prefix, np.maximum(at - half, 0), at + kind.gram)
+    after = range_hash(prefix, at, np.minimum(at + width - half, n))
+    sides = np.stack([before, after], 1).astype(np.uint8)
     # The hashes of anchors are minima; mixed anew they spread over all ranges.
-    return doc, start - first[doc], end - start + 1, mixed(grams[anchor[start]]), content
+    return doc, start - first[doc], end - start + 1, mixed(grams[at]), content, sides
 
 
 def _anchors(docs: DataFrame, kind: Windows, ranges: int) -> DataFrame:
@@ -79,16 +85,15 @@ def _anchors(docs: DataFrame, kind: Windows, ranges: int) -> DataFrame:
         held, total = [], 0
 
         def dealt() -> Iterator[pa.RecordBatch]:
-            anchor, content, ref, start, count = (np.concatenate([h[i] for h in held]) for i in range(5))
-            ids = np.concatenate([h[5] for h in held])
+            anchor, content, ref, start, count, sides, ids = map(np.concatenate, zip(*held))
             order, keys, bounds = cut(anchor, ranges)
             for r in range(ranges):
                 a, b = bounds[r], bounds[r + 1]
                 if a < b:
                     mine = order[a:b]
                     used, local = np.unique(ref[mine], return_inverse=True)
-                    arrays = ids[used].tobytes(), pack48(keys[a:b]), pack48(content[mine]), local.astype(np.uint16).tobytes(), start[mine].astype(np.uint32).tobytes(), count[mine].astype(np.uint8).tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), *[pa.array([x], pa.binary()) for x in arrays]], ["part", "ids", "keys", "contents", "refs", "starts", "counts"])
+                    arrays = ids[used].tobytes(), pack48(keys[a:b]), pack48(content[mine]), local.astype(np.uint16).tobytes(), start[mine].astype(np.uint32).tobytes(), count[mine].astype(np.uint8).tobytes(), sides[mine].tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), *[pa.array([x], pa.binary()) for x in arrays]], ["part", "ids", "keys", "contents", "refs", "starts", "counts", "sides"])
 
         docs_held = 0
         for batch in batches:
@@ -96,11 +101,11 @@ def _anchors(docs: DataFrame, kind: Windows, ranges: int) -> DataFrame:
             for lo, hi, data, offsets in slices(batch.column(2)):
                 values, first = units(data, offsets, kind.words)
                 prefix = prefix_hash(values)
-                doc, start, count, anchor, content = _runs(prefix, first, kind)
+                doc, start, count, anchor, content, sides = _runs(prefix, first, kind)
                 if docs_held + hi - lo > 65_535 and held:
                     yield from dealt()
                     held, total, docs_held = [], 0, 0
-                held.append((anchor, content, doc + docs_held, start, count, ids[lo:hi]))
+                held.append((anchor, content, doc + docs_held, start, count, sides, ids[lo:hi]))
                 total += len(doc)
                 docs_held += hi - lo
                 if total >= _FLUSH:
@@ -109,7 +114,7 @@ def _anchors(docs: DataFrame, kind: Windows, ranges: int) -> DataFrame:
         if total:
             yield from dealt()
 
-    return docs.select("doc_id", "tid", "text").mapInArrow(run, "part int, ids binary, keys binary, contents binary, refs binary, starts binary, counts binary")
+    return docs.select("doc_id", "tid", "text").mapInArrow(run, "part int, ids binary, keys binary, contents binary, refs binary, starts binary, counts binary, sides binary")
 
 
 def pack_verdicts(buckets: int, kind: int, tid: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
@@ -134,15 +139,16 @@ def verdict_table(rows: list[tuple]) -> pa.Table:
 
 def _decide(kind: Windows, ranges: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        keys, contents, ids, starts, counts = [], [], [], [], []
-        for row in table.select(["ids", "keys", "contents", "refs", "starts", "counts"]).to_pylist():
+        keys, contents, ids, starts, counts, sides = [], [], [], [], [], []
+        for row in table.drop_columns(["part"]).to_pylist():
             keys.append(unpack48(row["keys"]))
             contents.append(unpack48(row["contents"]))
             ids.append(np.frombuffer(row["ids"], np.int64).reshape(-1, 2)[np.frombuffer(row["refs"], np.uint16)])
             starts.append(np.frombuffer(row["starts"], np.uint32))
             counts.append(np.frombuffer(row["counts"], np.uint8))
+            sides.append(np.frombuffer(row["sides"], np.uint8).reshape(-1, 2))
         part = table["part"][0].as_py()
-        keys, contents, ids, starts, counts = map(np.concatenate, (keys, contents, ids, starts, counts))
+        keys, contents, ids, starts, counts, sides = map(np.concatenate, (keys, contents, ids, starts, counts, sides))
         order = np.argsort(keys)
         ordered = keys[order]
         again = np.zeros(len(order) + 1, bool)
@@ -158,6 +164,11 @@ def _decide(kind: Windows, ranges: int, buckets: int) -> Callable[[pa.Table], pa
         which_key, which_class = np.cumsum(new_key) - 1, np.cumsum(new_class) - 1
         classes = np.bincount(which_key, new_class).astype(np.int64)[which_key]  # distinct contents of the anchor
         at = np.flatnonzero(new_class)
+        # A content whose two sides no other content of the anchor has shares no window with one.
+        meets = np.zeros(len(at), bool)
+        for side in range(2):
+            _, which, n = np.unique(which_key[at] << 8 | sides[order][at, side], return_inverse=True, return_counts=True)
+            meets |= n[which] > 1
         # As early as the first of its content; with repeats inside a document, that first itself.
         head = doc == doc[at][which_class]
         if kind.within:
@@ -171,7 +182,7 @@ def _decide(kind: Windows, ranges: int, buckets: int) -> Callable[[pa.Table], pa
         rows += pack_verdicts(buckets, REPEATED, tid[mine], starts[mine], every[mine])
         bits = int(ranges).bit_length() - 1
         full = keys << np.uint64(16) >> np.uint64(bits) | np.uint64(part) << np.uint64(64 - bits)  # the range's bits again on top
-        for name, mine in ((ASKED, head & (classes > 1) & (classes <= HOT)), (ASKED_HOT, head & (classes > HOT))):
+        for name, mine in ((ASKED, head & meets[which_class] & (classes > 1) & (classes <= HOT)), (ASKED_HOT, head & meets[which_class] & (classes > HOT))):
             rows += pack_verdicts(buckets, name, tid[mine], starts[mine], counts[mine], full[mine])
         return verdict_table([(*r, None)[:6] for r in rows])
 
@@ -197,7 +208,7 @@ def find_repeats(docs: DataFrame, kind: Windows, ask: Callable, ask_schema: str,
     more in ``finish``. The columns in ``carry`` stay with their rows. Texts are shuffled once by tid and that exchange is used twice; everything is one lazy plan.
     """
     spark = docs.sparkSession
-    ranges = ranges_for(docs, "text", 36 if kind.words else 16)
+    ranges = ranges_for(docs, "text", 90 if kind.words else 36)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total >> 23))
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("tid"), F.coalesce("text", F.lit("")).alias("text"), *carry)
