@@ -74,9 +74,10 @@ REF = 20
 CUSUM = STATE + f""",
 refs AS (SELECT user_id, avg(a) AS mu, stddev_pop(a) AS sd FROM state WHERE n < {REF} GROUP BY 1),
 z AS (SELECT s.user_id, s.n, (a - mu) / greatest(sd, 1e-9) AS z FROM state s JOIN refs USING (user_id)),
-late AS (SELECT user_id, n, z, CASE WHEN n < {REF} THEN 0.0 ELSE z - 0.05 END AS step, CASE WHEN n < {REF} THEN 0.0 ELSE z END AS raw FROM z),
-sums AS (SELECT *, sum(step) OVER k AS c, sum(raw) OVER k AS c0 FROM late WINDOW k AS (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING)),
-walks AS (SELECT *, c - least(0, min(c) OVER k) AS s, c0 - least(0, min(c0) OVER k) AS w FROM sums WINDOW k AS (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING))"""
+late AS MATERIALIZED (SELECT user_id, n, z, CASE WHEN n < {REF} THEN 0.0 ELSE z - 0.05 END AS step, CASE WHEN n < {REF} THEN 0.0 ELSE z END AS raw FROM z),
+walks AS (SELECT user_id, n, z, greatest(0::DOUBLE, step) AS s, greatest(0::DOUBLE, raw) AS w FROM late WHERE n = 0
+  UNION ALL SELECT l.user_id, l.n, l.z, greatest(0::DOUBLE, k.s + l.step), greatest(0::DOUBLE, k.w + l.raw)
+  FROM walks k JOIN late l ON l.user_id = k.user_id AND l.n = k.n + 1)"""
 LIMIT = 3.0
 
 
@@ -89,7 +90,7 @@ def _scored(spark, sf_dir) -> Series:
     )
 
 
-@query("w13_cusum", f"WITH {CUSUM} SELECT user_id, n, round(s, 4) AS s, round(w, 4) AS w FROM walks")
+@query("w13_cusum", f"WITH RECURSIVE {CUSUM} SELECT user_id, n, round(s, 4) AS s, round(w, 4) AS w FROM walks")
 def cusum(spark, sf_dir):
     return _scored(spark, sf_dir).select("user_id", "n", r4("s", "s"), r4("w", "w"))
 
@@ -105,7 +106,7 @@ def _found(spark, sf_dir):
     return s, health.detections(s, threshold=LIMIT)
 
 
-@query("w14_onset_estimate", f"WITH {DETECT} SELECT user_id, detect_n, onset_n FROM found")
+@query("w14_onset_estimate", f"WITH RECURSIVE {DETECT} SELECT user_id, detect_n, onset_n FROM found")
 def onset_estimate(spark, sf_dir):
     return _found(spark, sf_dir)[1].select("user_id", "detect_n", "onset_n")
 
@@ -131,7 +132,7 @@ def _verdicts(spark, sf_dir):
     return health.dispositions(cands, ["user_id"]), found
 
 
-@query("b11_dispositions", f"""WITH {DISPOSE}
+@query("b11_dispositions", f"""WITH RECURSIVE {DISPOSE}
 SELECT user_id, decided_at, forced, disposition, round(plateau_sigma, 4) AS plateau_sigma, round(growth_per_h, 6) AS growth_per_h,
   CASE WHEN growth_per_h > 1e-5 THEN round(ln(2) / growth_per_h, 2) END AS doubling_h FROM verdicts""")
 def dispositions(spark, sf_dir):
@@ -143,7 +144,7 @@ def dispositions(spark, sf_dir):
     )
 
 
-@query("s11_event_json", f"""WITH {DISPOSE},
+@query("s11_event_json", f"""WITH RECURSIVE {DISPOSE},
 e AS (SELECT user_id, detect_n, onset_n, disposition, plateau_sigma, growth_per_h, ln(2) / growth_per_h AS doubling,
       t + greatest(ln(100 / greatest(last, 1e-9)) / growth_per_h, 0) AS service FROM verdicts JOIN found USING (user_id))
 SELECT user_id, printf('{{"object":"defect_event","row_n":%d,"t_detect_h":%.4f,"t_onset_est_h":%.4f,"component":"outer race",', detect_n, detect_n::DOUBLE, onset_n::DOUBLE)

@@ -204,24 +204,24 @@ def machine_dynamics(spark, sf_dir):
 # -- ticks --------------------------------------------------------------------------------------
 EPS_H = 3.0
 TICKS = """
-crossed AS (SELECT *, floor(h / eps) - floor(coalesce(lag(h) OVER k, 0) / eps) AS d,
-                   lag(n) OVER k IS NULL OR lead(n) OVER k IS NULL AS edge
+crossed AS MATERIALIZED (SELECT *, h - coalesce(lag(h) OVER k, 0) AS gain, lag(n) OVER k IS NULL OR lead(n) OVER k IS NULL AS edge
             FROM laddered WINDOW k AS (PARTITION BY user_id, eps ORDER BY n)),
-walk AS (SELECT *, sum(d - 1) OVER (PARTITION BY user_id, eps ORDER BY n ROWS UNBOUNDED PRECEDING) AS c FROM crossed),
-low AS (SELECT *, c - least(0, min(c) OVER (PARTITION BY user_id, eps ORDER BY n ROWS UNBOUNDED PRECEDING)) AS q FROM walk),
-flags AS (SELECT *, edge OR coalesce(lag(q) OVER (PARTITION BY user_id, eps ORDER BY n), 0) + d >= 1 AS tick FROM low),
+walk AS (SELECT user_id, eps, n, gain >= eps AS fires, gain - CASE WHEN gain >= eps THEN eps ELSE 0 END AS held FROM crossed WHERE n = 0
+  UNION ALL SELECT c.user_id, c.eps, c.n, w.held + c.gain >= c.eps, w.held + c.gain - CASE WHEN w.held + c.gain >= c.eps THEN c.eps ELSE 0 END
+  FROM walk w JOIN crossed c ON c.user_id = w.user_id AND c.eps = w.eps AND c.n = w.n + 1),
+flags AS (SELECT c.*, edge OR fires AS tick FROM crossed c JOIN walk w ON w.user_id = c.user_id AND w.eps = c.eps AND w.n = c.n),
 ticks AS (SELECT *, n - coalesce(lag(n) OVER (PARTITION BY user_id, eps ORDER BY n), 0) AS step_rows FROM flags WHERE tick)"""
 ONE_EPS = FORCE + f", laddered AS (SELECT *, {EPS_H} AS eps FROM climb)," + TICKS
 
 
-@query("w2_energy_ticks", f"WITH {ONE_EPS} SELECT user_id, n, round(h, 4) AS h, step_rows FROM ticks")
+@query("w2_energy_ticks", f"WITH RECURSIVE {ONE_EPS} SELECT user_id, n, round(h, 4) AS h, step_rows FROM ticks")
 def energy_ticks(spark, sf_dir):
     s = dyn.climb(dyn.force(user_state(spark, sf_dir)))
     ticks = keys.tick_rows(keys.energy_ticks(s, F.lit(EPS_H)))
     return ticks.select("user_id", "n", r4("h", "h"), "step_rows")
 
 
-@query("w3_tick_error", f"""WITH {ONE_EPS},
+@query("w3_tick_error", f"""WITH RECURSIVE {ONE_EPS},
 spans AS (SELECT user_id, n AS n0, h AS h0, lead(n) OVER k AS n1, lead(h) OVER k AS h1 FROM ticks WINDOW k AS (PARTITION BY user_id ORDER BY n)),
 both_ AS (SELECT l.user_id, l.n, l.h, n0, h0, coalesce(n1, n0) AS n1, coalesce(h1, h0) AS h1
           FROM climb l ASOF JOIN spans s ON l.user_id = s.user_id AND l.n >= s.n0),
@@ -239,7 +239,7 @@ def tick_error(spark, sf_dir):
 MULTIPLES = [2.0, 5.0, 10.0, 20.0]
 
 
-@query("w4_tick_sweep", f"""WITH {FORCE},
+@query("w4_tick_sweep", f"""WITH RECURSIVE {FORCE},
 means AS (SELECT user_id, avg(f) AS mean_f FROM force GROUP BY 1),
 laddered AS (SELECT c.*, k AS eps_k, k * mean_f AS eps FROM climb c JOIN means USING (user_id),
              (SELECT unnest([2.0, 5.0, 10.0, 20.0])::DOUBLE AS k)), {TICKS}
@@ -353,7 +353,7 @@ def error_summary(spark, sf_dir):
     return out.select("user_id", r4("err_max", "err_max"), r4("err_mean", "err_mean"), r4("err_mid", "err_mid"))
 
 
-@query("a8_step_summary", f"""WITH {ONE_EPS}
+@query("a8_step_summary", f"""WITH RECURSIVE {ONE_EPS}
 SELECT user_id, min(step_rows) AS step_min, list_sort(list(step_rows))[count(*) // 2 + 1] AS step_mid, max(step_rows) AS step_max
 FROM ticks GROUP BY 1""")
 def step_summary(spark, sf_dir):

@@ -45,7 +45,7 @@ def _replay(series: Series, columns: list[str], name: str, spark, build) -> Data
     return out
 
 
-@query("st1_tick_stream", f"WITH {ONE_EPS} SELECT user_id, n, round(h, 4) AS h, step_rows FROM ticks")
+@query("st1_tick_stream", f"WITH RECURSIVE {ONE_EPS} SELECT user_id, n, round(h, 4) AS h, step_rows FROM ticks")
 def tick_stream(spark, sf_dir):
     s = user_state(spark, sf_dir)
     s = s.attach(dyn.calibration(s).select("user_id", "s_a", "s_i")).with_columns(eps=F.lit(EPS_H))
@@ -69,7 +69,7 @@ def monitor_stream(spark, sf_dir):
     return out.select("user_id", "detect_rev", "disposition", r4("t_detect_h", "t_detect_h"), r4("departure_sigma", "departure_sigma"))
 
 
-@query("st4_cusum_stream", f"WITH {CUSUM} SELECT user_id, n, round(s, 4) AS s, round(w, 4) AS w FROM walks WHERE n >= {REF}")
+@query("st4_cusum_stream", f"WITH RECURSIVE {CUSUM} SELECT user_id, n, round(s, 4) AS s, round(w, 4) AS w FROM walks WHERE n >= {REF}")
 def cusum_stream(spark, sf_dir):
     s = health.reference_scores(user_state(spark, sf_dir), "a", REF)
     late = Series(s.df.filter(F.col("n") >= REF), s.keys, s.block)
