@@ -24,7 +24,7 @@ from seriesloom.llm.text import gram_hash, mixed, prefix_hash, range_hash, slice
 
 LAST = np.iinfo(np.int64).max
 HOT = 1 << 15  # contents of one anchor from which on windows are dealt by their own hash
-FINER = 16  # blocks of open questions for each range of anchors
+FINER = 32  # blocks of open questions for each range of anchors
 _PLACE = 28  # low bits of a key that hold a position; the rest orders the grams
 _FLUSH = 1 << 19
 
@@ -208,7 +208,7 @@ def find_repeats(docs: DataFrame, kind: Windows, ask: Callable, ask_schema: str,
     more in ``finish``. The columns in ``carry`` stay with their rows. Texts are shuffled once by tid and that exchange is used twice; everything is one lazy plan.
     """
     spark = docs.sparkSession
-    ranges = ranges_for(docs, "text", 90 if kind.words else 36)
+    ranges = ranges_for(docs, "text", 90 if kind.words else 72)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total >> 23))
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("tid"), F.coalesce("text", F.lit("")).alias("text"), *carry)
