@@ -22,14 +22,15 @@ _KEPT = pa.schema([
 def suffix_order(data: np.ndarray, left: np.ndarray, piece: np.ndarray) -> np.ndarray:
     """Suffixes of many pieces in order, by prefix doubling; a piece's end is lower than any byte, ends go by piece.
 
-    ``left`` counts the bytes from each position to the end of its piece, the end mark (byte 0) included.
+    Bytes are the values 1 to 256, 0 is the end mark. ``left`` counts the values from each position to the end of its
+    piece, the end mark included.
     """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([data, np.zeros(7, data.dtype)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = key << np.uint64(8) | np.where(left > i, padded[i : i + n], 0).astype(np.uint64)
-    length = 8
+    for i in range(7):  # values of 9 bits
+        key = key << np.uint64(9) | np.where(left > i, padded[i : i + n], 0).astype(np.uint64)
+    length = 7
     while True:
         order = np.argsort(key, kind="stable")
         ordered = key[order]
@@ -63,7 +64,7 @@ def boundaries(data: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     # leads to the j-th that begins with c.
     target = np.flatnonzero(head > 0)
     if len(by_byte) != len(target):
-        raise ValueError("pieces must not hold the byte 0")
+        raise ValueError("pieces must not hold the end mark")
     same = np.zeros(len(by_byte), bool)
     same[1:] = before[by_byte[1:]] == before[by_byte[:-1]]
     last, here, target = by_byte[:-1][same[1:]], by_byte[1:][same[1:]], target[1:][same[1:]]
@@ -86,9 +87,10 @@ def boundaries(data: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
 def repeated_masks(pieces: np.ndarray, lengths: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
     """Of each piece, a mask of its windows of ``width`` bytes that are also in a piece of a smaller document."""
     ends = np.cumsum(lengths + 1)
-    data = np.zeros(int(ends[-1]), np.uint8)
+    data = np.zeros(int(ends[-1]), np.uint16)
     at = np.repeat(ends - lengths - 1 - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
     data[at] = pieces
+    data[at] += 1  # bytes are 1 to 256, so that 0 is free for the end mark
     piece = np.repeat(np.arange(len(lengths)), lengths + 1)
     place = np.arange(len(data))
     left = ends[piece] - place
@@ -117,9 +119,7 @@ def cut_repeated_bytes(docs: DataFrame, width: int = 50, with_text: bool = True,
     with very many contents is dealt by single windows instead, so that no block grows with it.
 
     Null and empty texts have no bytes, texts shorter than ``width`` stay whole. Repeats within a document and between
-    rows of one id don't count; a null id sorts last. The byte 0 takes part as a byte of its own only outside of
-    blocks that would need it as an end mark: a piece that holds it is compared by whole windows. Other columns are not
-    read.
+    rows of one id don't count; a null id sorts last. The byte 0 is a byte like any other. Other columns are not read.
     """
 
     def ask(texts: pa.Table, usual: list[np.ndarray], hot: list[np.ndarray], ranges: int) -> pa.Table:
@@ -133,9 +133,7 @@ def cut_repeated_bytes(docs: DataFrame, width: int = 50, with_text: bool = True,
             row, at = matched(ids[lo:hi], tid)
             if not len(row):
                 continue
-            begin, n, key, alone = offsets[row] + start[at], count[at], anchor[at], single[at].copy()
-            zeros = np.concatenate([[0], np.cumsum(data == 0)])
-            alone |= zeros[begin + n + width - 1] > zeros[begin]
+            begin, n, key, alone = offsets[row] + start[at], count[at], anchor[at], single[at]
             if alone.any():  # one piece for each window
                 m = np.where(alone, n, 1)
                 shift = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
@@ -166,19 +164,7 @@ def cut_repeated_bytes(docs: DataFrame, width: int = 50, with_text: bool = True,
             length = np.concatenate([np.frombuffer(r["lengths"], np.uint8) for r in rows]).astype(np.int64)
             ids = np.concatenate([np.frombuffer(r["ids"], np.int64).reshape(-1, 2) for r in rows])
             start = np.concatenate([np.frombuffer(r["starts"], np.uint32) for r in rows])
-            ends = np.cumsum(length)
-            zeros = np.concatenate([[0], np.cumsum(data == 0)])
-            odd = zeros[ends] > zeros[ends - length]  # single windows with the byte 0: compared as they are
-            masks = np.zeros(len(length), np.uint64)
-            plain = np.flatnonzero(~odd)
-            if len(plain):
-                masks[plain] = repeated_masks(data[np.repeat(~odd, length)], length[plain], ids[plain, 0], width)
-            smallest: dict[bytes, int] = {}
-            windows = [(i, data[ends[i] - length[i] : ends[i]].tobytes()) for i in np.flatnonzero(odd)]
-            for i, w in windows:
-                smallest[w] = min(ids[i, 0], smallest.get(w, LAST))
-            for i, w in windows:
-                masks[i] = ids[i, 0] > smallest[w]
+            masks = repeated_masks(data, length, ids[:, 0], width)
             hit = masks > 0
             return verdict_table([(*r, None) for r in pack_verdicts(buckets, REPEATED, ids[hit, 1], start[hit], masks[hit])])
 

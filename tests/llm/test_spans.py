@@ -86,6 +86,17 @@ def test_repeated_bytes(spark, anchors):
     assert got == bytes_left(rows)
 
 
+def test_repeated_bytes_near_a_nul(spark, anchors):
+    r = random.Random(11)
+    some = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    passage = some(120)
+    rows = [(1, some(40) + passage + some(40)), (2, some(40) + passage + "\x00" + some(40)), (3, some(60) + "\x00" + passage + some(9))]
+    rows += [(4, passage[:70] + "\x00" + passage[70:]), (5, some(20) + passage[:70] + "\x00" + passage[70:90] + "\x01" + passage), (6, "\x00" * 30 + passage[30:90] + "\x00" * 60)]
+    rows += [(10 + i, some(r.randint(0, 30)) + passage[r.randint(0, 50) :] + r.choice(["\x00", "\x01", "\xff"]) + some(r.randint(0, 30))) for i in range(30)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) for r in suffix.cut_repeated_bytes(frame(spark, rows)).collect()}
+    assert got == bytes_left(rows)
+
+
 def test_rows_that_repeat_an_id(spark):
     text, other = "b" * 30 + "c" * 60, "n" * 10 + "c" * 60
     rows = [(1, text), (1, text), (1, other), (2, text), (None, text)]
