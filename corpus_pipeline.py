@@ -21,10 +21,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of every group of near copies, and one of rows that repeat id and text."""
-    found = jaccard.link_components(docs)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.select(COLUMNS).join(stays, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").withColumn("_t", F.xxhash64("text"))
+    """Keep the document of smallest id of every group of near copies, and one of rows that repeat id and text.
+    Rows that share an id or have none are documents of their own, told apart by their text."""
+    stays = jaccard.one_of_each(docs).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    kept = docs.select(COLUMNS).withColumn("_t", F.xxhash64("text"))
+    kept = kept.join(stays, (F.col("_t") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     turn = F.row_number().over(Window.partitionBy("doc_id", "_t").orderBy("_t"))
     return kept.withColumn("_turn", turn).where("_turn = 1").select(COLUMNS)
 

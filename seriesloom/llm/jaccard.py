@@ -13,6 +13,7 @@ from seriesloom.llm.exchange import bloom, cut, pack48, passes, ranges_for, unpa
 from seriesloom.llm.store import components, stored
 from seriesloom.llm.text import gram_hash, prefix_hash, range_hash, slices, word_hashes
 
+_NO_ID = np.iinfo(np.int64).max  # stands for a null id in the filter of wanted documents
 RARE = 32  # a token of more sets is of the frequent class
 _FLUSH = 1 << 21  # tokens a task gathers before it deals them out
 
@@ -36,16 +37,17 @@ def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, int]]
 
 
 def _facts(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, set_id) of every document."""
+    """(doc_id, text_key, n, set_id) of every document; ``text_key`` is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, ids = [0] * batch.num_rows, [None] * batch.num_rows
-            for i, tokens, whole in _sets(batch.column(1), width):
+            for i, tokens, whole in _sets(batch.column(2), width):
                 size[i], ids[i] = len(tokens), whole
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(ids, pa.int64())], ["doc_id", "n", "set_id"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(ids, pa.int64())], ["doc_id", "text_key", "n", "set_id"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, set_id long")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return docs.mapInArrow(run, "doc_id long, text_key long, n long, set_id long")
 
 
 def _index(docs: DataFrame, width: int, ranges: int) -> DataFrame:
@@ -146,8 +148,10 @@ def _pairs(rare: int) -> Callable[[pa.Table], pa.Table]:
 
 def _tokens_of(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     """(set_id, tokens) of the wanted sets (set_id, doc_id), one row each. A filter of fixed size over the wanted
-    documents keeps nearly all others' tokens within the scan."""
-    bits = docs.sparkSession.sparkContext.broadcast(bloom(wanted, "doc_id"))
+    documents keeps nearly all others' tokens within the scan. Rows without an id pass it together; what a set's
+    tokens are doesn't depend on the row that gives them."""
+    addressed = lambda rows: F.coalesce(rows["doc_id"].cast("long"), F.lit(int(_NO_ID))).alias("doc_id")
+    bits = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select(addressed(wanted)), "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,11 +159,11 @@ def _tokens_of(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
             hit = np.flatnonzero(passes(bits.value, ids))
             for at in range(0, len(hit), 1000):
                 rows = hit[at : at + 1000]
-                found = [(int(ids[rows[i]]), pack48(t), whole) for i, t, whole in _sets(batch.column(1).take(pa.array(rows)), width)]
-                yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], t) for j, t in enumerate((pa.int64(), pa.binary(), pa.int64()))], ["doc_id", "tokens", "set_id"])
+                found = {whole: t for _, t, whole in _sets(batch.column(1).take(pa.array(rows)), width)}
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([pack48(t) for t in found.values()], pa.binary())], ["set_id", "tokens"])
 
-    found = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, tokens binary, set_id long")
-    return found.join(wanted, ["doc_id", "set_id"]).drop("doc_id")
+    found = docs.select(addressed(docs), "text").mapInArrow(run, "set_id long, tokens binary")
+    return found.join(wanted.select("set_id"), "set_id").dropDuplicates(["set_id"])
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -188,6 +192,27 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def link_components(docs: DataFrame, width: int = 5, percent: int = 80, rare: int = RARE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document (columns doc_id and text).
 
+    See ``_linked`` for the method.
+    """
+    return _linked(docs, width, percent, rare).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, rare: int = RARE) -> DataFrame:
+    """(doc_id, text_key): of every component the text of smallest id, ``text_key`` being ``xxhash64(text)``.
+
+    Texts that share an id, or have none, are told apart by their key; of several with the smallest id of a component
+    that of the smallest key stays. Texts without words are linked with nothing, so all of them stay.
+    """
+    found = _linked(docs, width, percent, rare)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("first")
+    linked = found.where("root IS NOT NULL").groupBy("root").agg(first).select("first.doc_id", "first.text_key")
+    return linked.unionByName(found.where("root IS NULL").select("doc_id", "text_key").distinct())
+
+
+def _linked(docs: DataFrame, width: int, percent: int, rare: int) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, root) of every document; a component has one ``root``, and a text
+    without words has none.
+
     A document's set is its distinct ``width``-word shingles in lower case (A-Z only); a shorter text is one shingle, a
     text without words or null is empty and linked with nothing. Sets link when 100 * intersection >= percent * union.
 
@@ -234,9 +259,9 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80, rare: in
         roots = components(links.unionByName(more), "x", "y")
     member = sized.join(roots, sized["set_id"] == roots["node"], "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
     smallest = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    member = member.join(smallest, "root").select("set_id", "component_id")
-    linked = facts.where("n > 0").join(member, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = facts.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    member = member.join(smallest, "root").select("set_id", "component_id", "root")
+    linked = facts.where("n > 0").join(member, "set_id").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", "root")
+    empty = facts.where("n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
     return linked.unionByName(empty)
 
 

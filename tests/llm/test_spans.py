@@ -187,3 +187,60 @@ def test_repeated_rows_are_linked(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, None), (3, None)]
     got = sorted(tuple(r) for r in jaccard.link_components(frame(spark, rows)).collect())
     assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (3, 0, 3)]
+
+
+def null_ids():
+    """Rows of a hot group, of pairs that counts leave open and of unlike texts, without ids or with shared ones."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choices("abcdefgh", k=4))
+    rows, passage = [], [word() for _ in range(60)]
+    for i in range(80):  # near copies: their ends are linked through rows without an id
+        w = list(passage)
+        w[i % 50] = word()
+        rows.append((None if i % 2 else i, " ".join(w)))
+    common = [word() for _ in range(60)]
+    rows += [(None if i % 3 else 100 + i, " ".join([word() for _ in range(r.choice([0, 3, 9, 12, 40]))] + common)) for i in range(60)]
+    alone = [" ".join(word() for _ in range(25)) for _ in range(6)]
+    rows += [(None, t) for t in alone[:3]] + [(500, t) for t in alone[3:]] + [(None, alone[0]), (501, alone[4]), (499, alone[5]), (None, None), (None, "")]
+    return rows
+
+
+def components_with_null_ids(rows):
+    """(id, size, component) by brute force, and for each component its rows."""
+    made = [(2000 + n if i is None else i, t) for n, (i, t) in enumerate(rows)]
+    sets, parent = [shingles(t) for _, t in made], list(range(len(made)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in range(len(made)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                parent[find(a)] = find(b)
+    groups = {}
+    for a in range(len(made)):
+        groups.setdefault(find(a), []).append(a)
+    least = {g: min((rows[a][0] for a in m if rows[a][0] is not None), default=None) for g, m in groups.items()}
+    out = [(rows[a][0], len(sets[a]), least[find(a)]) for a in range(len(made))]
+    return sorted(out, key=repr), [(least[g], [rows[a] for a in m]) for g, m in groups.items()]
+
+
+@pytest.mark.parametrize("rare", [32, 4])
+def test_near_copies_with_null_ids(spark, rare):
+    rows = null_ids()
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link_components(frame(spark, rows), rare=rare).collect()]
+    assert sorted(got, key=repr) == components_with_null_ids(rows)[0]
+
+
+def test_pipeline_keeps_one_of_each_component(spark):
+    import corpus_pipeline
+
+    rows = null_ids()
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = {(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()}
+    for least, group in components_with_null_ids(rows)[1]:
+        kept = [x for x in set(group) if x in got]
+        assert len(kept) == 1 and kept[0][0] == least
+    assert got <= set(rows)
