@@ -152,11 +152,13 @@ def top_k(
     Pivots group queries and data. For a query q near pivot a and a vector x near pivot b, at distances up to Q and r
     from them, Cauchy and the triangle inequality give
     a.b - Q|b| - r(|a| + Q) <= q.x <= a.b + Q|b| + r(|a| + Q).
-    From summaries (each query group's Q, each data group's k + 1 smallest r) comes the score that every query of a
-    group is sure to reach k times; a vector is sent to the groups only whose bound it can meet. Groups are then solved
+    From summaries (each query group's Q, each data group's k + 1 smallest r, one row for each id) comes the score that
+    every query of a group is sure to reach k times; a vector is sent to the groups only whose bound it can meet. Groups are then solved
     locally in tiles of bounded size, and a query's tiles merge by rank.
 
     Ties go to the smaller id. A row is no candidate of its own query; rows that share an id count as the row itself.
+    Query rows that repeat id and whole vector are one query, those that share only the id have an answer each.
+    Repeated rows are candidates of their own.
     Vectors that are null, empty or hold null or non-finite components and rows without an id take no part; vectors of
     different lengths don't meet. Fewer than k candidates give fewer rows.
     """
@@ -192,7 +194,9 @@ def top_k(
         yield held
 
     rank = F.row_number().over(Window.partitionBy("dim", "cell").orderBy("r"))
-    summary = placed.select("dim", "cell", "r").mapInPandas(nearest, "dim int, cell int, r double")
+    # One row for each id, so at most one of k + 1 is the query's own, however often its id occurs.
+    once = placed.groupBy("dim", "vec_id").agg(F.min(F.struct("r", "cell")).alias("x")).select("dim", "x.cell", "x.r")
+    summary = once.mapInPandas(nearest, "dim int, cell int, r double")
     smallest = summary.withColumn("k", rank).where(F.col("k") <= k + 1).select("dim", "cell", "r").toPandas()
     bounds: dict[int, tuple] = {}
     for dim, p in pivots.items():
@@ -216,7 +220,8 @@ def top_k(
     d_tiles, q_tiles = int(total // (4 * TILE)) + 1, int(asked // TILE) + 1
     data = placed.mapInPandas(replicate, "dim int, group int, vec_id long, v array<double>")
     data = data.withColumns({"side": F.lit(1), "d": F.pmod(F.xxhash64("vec_id"), F.lit(d_tiles)), "t": F.explode(F.sequence(F.lit(0), F.lit(q_tiles - 1)))})
-    ask = placed.where("q").select("dim", F.col("cell").alias("group"), "vec_id", "v").withColumn("side", F.lit(0))
+    queries = placed.where("q").dropDuplicates(["vec_id", "v"]).withColumn("query", F.xxhash64("v"))
+    ask = queries.select("dim", F.col("cell").alias("group"), "vec_id", "v", "query").withColumn("side", F.lit(0))
     ask = ask.withColumns({"d": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(d_tiles - 1).cast("long"))), "t": F.pmod(F.hash("vec_id"), F.lit(q_tiles))})
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
@@ -227,8 +232,8 @@ def top_k(
             if np.abs(x).max() * np.abs(y).max() * x.shape[1] >= 2.0**52:
                 x, y = x.astype(np.int64), y.astype(np.int64)
             scores = (x @ y.T).astype(np.int64)
-            asked, ids = a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
-            for q, row in zip(asked, scores):
+            asked, ids = zip(a["vec_id"].to_numpy(), a["query"].to_numpy("int64")), b["vec_id"].to_numpy()
+            for (q, query), row in zip(asked, scores):
                 other = ids != q
                 mine, names = row[other], ids[other]
                 if len(mine) > k:
@@ -236,9 +241,10 @@ def top_k(
                     above = np.flatnonzero(mine > least)
                     pick = np.concatenate([above, np.flatnonzero(mine == least)[: k - len(above)]])
                     mine, names = mine[pick], names[pick]
-                out.append(pd.DataFrame({"query_id": q, "vec_id": names, "score": mine}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+                out.append(pd.DataFrame({"query_id": q, "query": query, "vec_id": names, "score": mine}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "query": [], "vec_id": [], "score": []}).astype("int64")
 
-    tiles = data.unionByName(ask).groupBy("dim", "group", "d", "t").applyInPandas(solve, "query_id long, vec_id long, score long")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    sides = data.withColumn("query", F.lit(0).cast("long")).unionByName(ask)
+    tiles = sides.groupBy("dim", "group", "d", "t").applyInPandas(solve, "query_id long, query long, vec_id long, score long")
+    best = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id"))
     return tiles.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -218,6 +218,23 @@ def test_exact_top_k(spark, monkeypatch):
     assert vectors.top_k(table.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_exact_top_k_of_repeated_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(vectors, "TILE", 8)
+    rows, _ = vector_table(spark)
+    rows += [rows[0]] * 2 + [(20, rows[7][1], 0), (40, [3.0, 1.0], 0)] + [(60, [1000.0] * 8, 0)] * 9 + [rows[3]] * 3
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    ok = [(i, np.floor(64 * np.array(v, float)).astype(int)) for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for i, v in {(i, tuple(v)) for i, v in ok if i % 20 == 0}:
+        best = sorted((-int(np.array(v) @ w), j) for j, w in ok if j != i and len(w) == len(v))[:5]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    for cells in (9, 60):
+        got = [tuple(r) for r in vectors.top_k(table, F.col("vec_id") % 20 == 0, k=5, cells=cells).collect()]
+        assert sorted(got) == sorted(want)
+
+
 # Archives
 
 
