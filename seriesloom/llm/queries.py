@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import debruijn, jaccard, language, mixing, negatives, suffix, tokens, toolcalls, vectors, warc
+from seriesloom.llm import debruijn, jaccard, language, licenses, mixing, negatives, suffix, tokens, toolcalls, vectors, warc
 from seriesloom.llm.registry import ORACLES, QUERIES, query, table
 from seriesloom.session import shared_folder
 
@@ -108,3 +108,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@query("op12_license_scan")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("expressions")
