@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import debruijn, jaccard, language, licenses, mixing, negatives, suffix, tokens, toolcalls, vectors, warc
+from seriesloom.llm import collocations, debruijn, jaccard, language, licenses, mixing, negatives, suffix, tokens, toolcalls, vectors, warc
 from seriesloom.llm.registry import ORACLES, QUERIES, query, table
 from seriesloom.session import shared_folder
 
@@ -113,3 +113,31 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_license_scan")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("expressions")
+
+
+OP13 = r"""
+WITH p AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece
+      FROM documents)),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+g AS (SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, k, count(*) AS f
+      FROM s, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, k, f, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= 30),
+cuts AS (SELECT c.lang, c.phrase, c.f, x.f AS l, y.f AS r, j,
+      CAST(c.f::HUGEINT * 2000000 // (x.f::HUGEINT + y.f) AS BIGINT) AS score
+      FROM (SELECT *, unnest(range(1, k)) AS j FROM c) AS c
+      JOIN g AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : j], ' ')
+      JOIN g AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[j + 1 :], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+kept AS (SELECT * FROM best WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = best.lang AND len(c.phrase) > len(best.phrase)
+      AND contains(' ' || c.phrase || ' ', ' ' || best.phrase || ' ') AND 100::HUGEINT * c.f >= 80::HUGEINT * best.f))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, phrase) AS rank, phrase, f AS a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@query("op13_phrase_collocations", OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))

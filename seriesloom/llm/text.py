@@ -40,9 +40,10 @@ def spaces(data: np.ndarray) -> np.ndarray:
     return _SPACE[data]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and the index of each document's first word (one entry more at the end)."""
-    inside = ~spaces(data)
+def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and the index of each document's first word (one entry more at the end).
+    ``inside`` says which bytes belong to words, if not all but white space do."""
+    inside = ~spaces(data) if inside is None else inside
     opens, closes = inside.copy(), inside.copy()
     opens[1:] &= ~inside[:-1]
     closes[:-1] &= ~inside[1:]
