@@ -2,92 +2,53 @@
 
 from __future__ import annotations
 
-import io
-import wave
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.plans.selection import pick_rank
 from seriesloom.plans.series import index_series
-from seriesloom.schema import RECORDINGS, SAMPLES
+from seriesloom.sources.pcm import CHUNK, RANGE_BYTES, PcmSource, absolute
 
-CHUNK = 65_536
 AUDIO_EXTENSIONS = ["wav"]
 PEAK_SHARE = 0.95 * 32767.0
 
 
-def series_name(path: Column, folder: str) -> Column:
-    """The path below the folder without its extension: files of one name in two folders are two series."""
-    root = folder.split("://")[-1].removeprefix("file:").strip("/")
-    below = F.substring_index(path, f"/{root}/", -1)
-    return F.regexp_replace(below, r"\.[^./]*$", "")
-
-
-def _files(spark: SparkSession, folder: str, pattern: str = "*.wav") -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
-    return files.load(folder).select(series_name(F.col("path"), folder).alias("series_id"), "content")
-
-
-def _decode(content: bytes) -> tuple[np.ndarray, int, int]:
-    """Integer samples (frames, channels), sample rate and bits of a PCM file."""
-    with wave.open(io.BytesIO(content)) as f:
-        width, channels, sr, raw = f.getsampwidth(), f.getnchannels(), f.getframerate(), f.readframes(f.getnframes())
-    if width == 3:
-        parts = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 3).astype(np.int32)
-        data = parts[:, 0] | (parts[:, 1] << 8) | (parts[:, 2] << 16)
-        data = np.where(data >= 1 << 23, data - (1 << 24), data)
-    elif width == 1:
-        data = np.frombuffer(raw, dtype=np.uint8).astype(np.int32) - 128
-    else:
-        data = np.frombuffer(raw, dtype={2: "<i2", 4: "<i4"}[width]).astype(np.int64)
-    return data.reshape(-1, channels), sr, 8 * width
+def read_recordings(
+    spark: SparkSession, folder: str, mono: bool = True, native: bool = False, first: int = 0, after: int | None = None,
+    range_bytes: int = RANGE_BYTES,
+) -> DataFrame:
+    """Chunks of 65 536 samples of every PCM file below a folder, whose path below it names the series.
 
+    ``mono`` averages the channels; ``native`` keeps whole sample values (32-bit integers, or their average) instead
+    of scaling to [-1, 1). Only frames from ``first`` to before ``after`` are read. Files are read by byte ranges.
+    """
+    spark.dataSource.register(PcmSource)
+    out = spark.read.format("pcm").option("mono", mono).option("native", native).option("rangeBytes", range_bytes).option("first", first)
+    return (out if after is None else out.option("after", after)).load(absolute(folder))
 
-def read_recordings(spark: SparkSession, folder: str, mono: bool = True, native: bool = False) -> DataFrame:
-    """Chunked samples of every PCM file below a folder.
 
-    ``mono`` averages the channels; ``native`` keeps integer sample values instead of scaling to
-    [-1, 1). Files are decoded in parallel and leave the task as chunks of 65 536 samples.
-    """
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, content in zip(pdf["series_id"], pdf["content"]):
-                data, _, bits = _decode(content)
-                values = data.astype(np.float64) if native else data / float(1 << (bits - 1))
-                if mono:
-                    values = values.mean(axis=1, keepdims=True)
-                for channel in range(values.shape[1]):
-                    starts = range(0, len(values), CHUNK)
-                    yield pd.DataFrame(
-                        {
-                            "series_id": name,
-                            "channel": np.int32(channel),
-                            "chunk": np.arange(len(starts), dtype=np.int32),
-                            "start": np.asarray(starts, dtype=np.int64),
-                            "x": [values[s : s + CHUNK, channel] for s in starts],
-                        }
-                    )
-
-    return _files(spark, folder).mapInPandas(decode, SAMPLES)
+def read_recording_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Sample rate, channels, bits and length of every PCM file, from the headers alone."""
+    spark.dataSource.register(PcmSource)
+    return spark.read.format("pcm").option("rows", "facts").load(absolute(folder))
 
 
-def read_recording_facts(spark: SparkSession, folder: str) -> DataFrame:
-    """Sample rate, channels, bits and length of every PCM file."""
+def write_recordings(chunks: DataFrame, folder: str, sr: int, bits: int = 16) -> None:
+    """Write chunks of whole sample values, as ``read_recordings(mono=False, native=True)`` gives them, as one file for
+    each series. Chunks of a series pass through one task in order, one at a time."""
+    chunks.sparkSession.dataSource.register(PcmSource)
+    shape = chunks.groupBy("series_id").agg(
+        (F.max("channel") + 1).alias("channels"), F.max(F.col("start") + F.size("x")).cast("long").alias("frames")
+    )
+    rows = chunks.join(shape, "series_id").repartition("series_id").sortWithinPartitions("series_id", "start", "channel")
+    rows.write.format("pcm").options(sr=str(sr), bits=str(bits)).mode("append").save(absolute(folder))
 
-    def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for name, content in zip(pdf["series_id"], pdf["content"]):
-                with wave.open(io.BytesIO(content)) as f:
-                    rows.append((name, f.getframerate(), f.getnchannels(), 8 * f.getsampwidth(), f.getnframes()))
-            yield pd.DataFrame(rows, columns=RECORDINGS.fieldNames())
 
-    return _files(spark, folder).mapInPandas(facts, RECORDINGS)
+def chunked(samples: DataFrame) -> DataFrame:
+    """``series_id, channel, n, x`` with dense ``n``, one row per sample, as chunks."""
+    rows = samples.groupBy("series_id", "channel", F.floor(F.col("n") / CHUNK).cast("int").alias("chunk"))
+    rows = rows.agg(F.min("n").alias("start"), F.transform(F.sort_array(F.collect_list(F.struct("n", "x"))), lambda s: s["x"]).alias("x"))
+    return rows.select("series_id", "channel", "chunk", "start", "x")
 
 
 def long_samples(chunks: DataFrame) -> DataFrame:
