@@ -53,8 +53,8 @@ def recordings_native(spark, sf_dir):
 
 
 SNAPSHOT = 1000  # lines of a file
-LINES = f"""lines AS (SELECT *, user_id % 8 AS machine, row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) - 1 AS at FROM events),
-files AS (SELECT *, at // {SNAPSHOT} AS snap, at % {SNAPSHOT} AS line_no FROM lines)"""
+LINES = f"""lines AS (SELECT *, user_id % 8 AS machine, row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) - 1 AS m FROM events),
+files AS (SELECT *, m // {SNAPSHOT} AS snap, m % {SNAPSHOT} AS line_no FROM lines)"""
 
 
 def _written_snapshots(spark, sf_dir, line):
