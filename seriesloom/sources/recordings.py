@@ -59,7 +59,7 @@ def long_samples(chunks: DataFrame) -> DataFrame:
 
 def _text_lines(spark: SparkSession, folder: str) -> DataFrame:
     """``path, line_no, line`` of every file; a snapshot file is one short burst."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(folder)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
     files = files.select(F.col("_metadata.file_path").alias("path"), F.split("value", "\n").alias("lines"))
     return files.select("path", F.posexplode("lines").alias("line_no", "line"))
 

@@ -46,9 +46,9 @@ def test_text_snapshots_skip_bad_lines(spark, tmp_path):
     (tmp_path / "a" / "s1.txt").write_text("0.1\t-0.2 0.3\n1.5 2.5\t3.5\nbad line here\n-1 -2 -3\n")
     (tmp_path / "b" / "acc1.csv").write_text("9,39,1,2,0.5,-0.25\n9;39;1;3;1.5;-1.25\nh,m,s,us,x,y\n9,39,1,4,2.5,-2.25\n")
     got = recordings.read_column_snapshots(spark, str(tmp_path / "a"), 1).orderBy("line_no").collect()
-    assert [r["x"] for r in got] == [-0.2, 2.5, -2.0]
+    assert [(r["line_no"], r["x"]) for r in got] == [(0, -0.2), (1, 2.5), (3, -2.0)]
     rows = recordings.read_delimited_snapshots(spark, str(tmp_path / "b")).orderBy("line_no").collect()
-    assert [(r["horizontal"], r["vertical"]) for r in rows] == [(0.5, -0.25), (1.5, -1.25), (2.5, -2.25)]
+    assert [(r["line_no"], r["horizontal"], r["vertical"]) for r in rows] == [(0, 0.5, -0.25), (1, 1.5, -1.25), (3, 2.5, -2.25)]
 
 
 def state_frame(rng, size=60):
