@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-FILES = T.StructType(
-    [
-        T.StructField("path", T.StringType()),
-        T.StructField("modificationTime", T.TimestampType()),
-        T.StructField("length", T.LongType()),
-        T.StructField("content", T.BinaryType()),
-    ]
-)
+
+from seriesloom.streaming.manifest import PREFIXES, append_batch
+from seriesloom.streaming.settled import settled_files
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -32,24 +27,16 @@ def once_per_content(events: DataFrame, lateness: str, content: str = "content_h
     return rows.withWatermark(ts, lateness).dropDuplicatesWithinWatermark([content])
 
 
-def append_new(batch: DataFrame, store: str, content: str = "content_hash") -> None:
-    """Append the contents the store does not hold; writing a batch twice changes nothing."""
-    spark = batch.sparkSession
-    first = batch.groupBy(content).agg(F.min(F.struct(*[c for c in batch.columns if c != content])).alias("first"))
-    first = first.select(content, "first.*")
-    try:
-        known = spark.read.schema(first.schema).parquet(store).select(content)
-        first = first.join(known, content, "left_anti")
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    first.write.mode("append").parquet(store)
+def _run_of(progress: str) -> str:
+    """Names the run of a stream: batch numbers count within one progress folder only."""
+    return hashlib.sha256(progress.encode()).hexdigest()[:16]
 
 
-def ingest_stream(events: DataFrame, store: str, progress: str, content: str = "content_hash") -> None:
+def ingest_stream(events: DataFrame, store: str, progress: str, content: str = "content_hash", prefixes: int = PREFIXES) -> None:
     """Drain the stream into the store, each content once over all runs."""
+    run = _run_of(progress)
     query = (
-        events.writeStream.foreachBatch(lambda batch, _: append_new(batch, store, content))
+        events.writeStream.foreachBatch(lambda batch, number: append_batch(batch, store, f"{run}-{number}", content, prefixes))
         .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()
@@ -57,29 +44,19 @@ def ingest_stream(events: DataFrame, store: str, progress: str, content: str = "
     query.awaitTermination()
 
 
-def new_files(spark: SparkSession, folder: str, pattern: str = "*", per_batch: int = 1000) -> DataFrame:
-    """Stream of files that appeared in a folder; the checkpoint remembers the ones already seen.
-
-    A file must be moved into the folder whole (a rename), which replaces waiting for its size to
-    settle.
-    """
-    source = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_batch)
-    return source.schema(FILES).load(folder)
-
-
 def watch_folder(
-    spark: SparkSession, folder: str, store: str, progress: str, convert: Callable[[DataFrame], DataFrame], pattern: str = "*"
+    spark: SparkSession, folder: str, store: str, progress: str, convert: Callable[[DataFrame], DataFrame], pattern: str = "*",
+    settle: float = 2.0, content: bool = True, prefixes: int = PREFIXES,
 ) -> None:
-    """Convert each new file once; a file whose result is already stored is skipped."""
+    """Convert each file once, when it has settled; a file whose result is already stored is skipped.
 
-    def each(batch: DataFrame, _: int) -> None:
-        append_new(convert(batch), store, "path")
+    ``convert`` gets path, modificationTime, length and content (null unless asked for) and keeps the path.
+    """
+    run = _run_of(progress)
 
-    query = (
-        new_files(spark, folder, pattern)
-        .writeStream.foreachBatch(each)
-        .option("checkpointLocation", progress)
-        .trigger(availableNow=True)
-        .start()
-    )
+    def each(batch: DataFrame, number: int) -> None:
+        append_batch(convert(batch), store, f"{run}-{number}", "path", prefixes)
+
+    files = settled_files(spark, folder, f"{progress}/files", pattern, settle, content=content)
+    query = files.writeStream.foreachBatch(each).option("checkpointLocation", f"{progress}/stream").trigger(availableNow=True).start()
     query.awaitTermination()

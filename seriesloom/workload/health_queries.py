@@ -236,8 +236,11 @@ def rows_at_keys(spark, sf_dir):
 
 
 # -- event-time frames --------------------------------------------------------------------------
-@query("st5_sliding_frames", """WITH s AS (SELECT user_id, event_type, value, unnest(generate_series(time_bucket(INTERVAL 6 HOURS, ts) - INTERVAL 18 HOURS, time_bucket(INTERVAL 6 HOURS, ts), INTERVAL 6 HOURS)) AS start FROM events)
-SELECT event_type, start, count(*) AS events, round(sum(value), 4) AS total FROM s GROUP BY 1, 2""")
+FRAMES = """WITH s AS (SELECT user_id, event_type, value, unnest(generate_series(time_bucket(INTERVAL 6 HOURS, ts) - INTERVAL 18 HOURS, time_bucket(INTERVAL 6 HOURS, ts), INTERVAL 6 HOURS)) AS start FROM events)
+SELECT event_type, start, count(*) AS events, round(sum(value), 4) AS total FROM s GROUP BY 1, 2"""
+
+
+@query("st5_sliding_frames", FRAMES)
 def sliding_frames(spark, sf_dir):
     from seriesloom.streaming.frames import sliding_frames as frames
 
@@ -255,9 +258,12 @@ def tumbling_frames(spark, sf_dir):
     )
 
 
-@query("st6_sessions", """WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS fresh FROM events),
+SESSIONS = """WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS fresh FROM events),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
-SELECT user_id, min(ts) AS start, count(*) AS events, round(sum(value), 4) AS total FROM s GROUP BY user_id, session""")
+SELECT user_id, min(ts) AS start, count(*) AS events, round(sum(value), 4) AS total FROM s GROUP BY user_id, session"""
+
+
+@query("st6_sessions", SESSIONS)
 def sessions(spark, sf_dir):
     from seriesloom.streaming.frames import sessions as split
 

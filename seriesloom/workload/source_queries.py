@@ -57,7 +57,7 @@ LINES = f"""lines AS (SELECT *, user_id % 8 AS machine, row_number() OVER (PARTI
 files AS (SELECT *, m // {SNAPSHOT} AS snap, m % {SNAPSHOT} AS line_no FROM lines)"""
 
 
-def _written_snapshots(spark, sf_dir, line):
+def written_snapshots(spark, sf_dir, line):
     """Each machine's events in text files of a thousand lines."""
     rows = table(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("machine"), "ts", "event_id", line.alias("line"))
     rows = index_series(rows, ["machine"], ["ts", "event_id"]).df
@@ -67,15 +67,15 @@ def _written_snapshots(spark, sf_dir, line):
     return folder
 
 
-def _of_path(name):
+def of_path(name):
     return F.regexp_extract("path", name + r"=(\d+)/", 1).cast("long").alias(name)
 
 
 @query("s3_column_snapshots", f"WITH {LINES} SELECT machine, snap, line_no, value AS x FROM files WHERE event_id % 10 <> 0")
 def column_snapshots(spark, sf_dir):
     line = F.concat(F.lit(" 0.5\t"), F.col("value").cast("string"), F.lit("  "), F.col("event_id").cast("string"))
-    folder = _written_snapshots(spark, sf_dir, F.when(F.col("event_id") % 10 == 0, "no reading here").otherwise(line))
-    return recordings.read_column_snapshots(spark, folder, 1).select(_of_path("machine"), _of_path("snap"), "line_no", "x")
+    folder = written_snapshots(spark, sf_dir, F.when(F.col("event_id") % 10 == 0, "no reading here").otherwise(line))
+    return recordings.read_column_snapshots(spark, folder, 1).select(of_path("machine"), of_path("snap"), "line_no", "x")
 
 
 @query("s4_delimited_snapshots", f"WITH {LINES} SELECT machine, snap, line_no, value AS horizontal, -value / 2 AS vertical FROM files WHERE event_id % 9 <> 0")
@@ -83,8 +83,8 @@ def delimited_snapshots(spark, sf_dir):
     fields = [F.hour("ts"), F.minute("ts"), F.second("ts"), F.lit(0), F.col("value"), -F.col("value") / 2]
     texts = [f.cast("string") for f in fields]
     line = F.when(F.col("event_id") % 2 == 0, F.concat_ws(",", *texts)).otherwise(F.concat_ws(";", *texts))
-    folder = _written_snapshots(spark, sf_dir, F.when(F.col("event_id") % 9 == 0, "h,m,s,us,x,y").otherwise(line))
-    return recordings.read_delimited_snapshots(spark, folder).select(_of_path("machine"), _of_path("snap"), "line_no", "horizontal", "vertical")
+    folder = written_snapshots(spark, sf_dir, F.when(F.col("event_id") % 9 == 0, "h,m,s,us,x,y").otherwise(line))
+    return recordings.read_delimited_snapshots(spark, folder).select(of_path("machine"), of_path("snap"), "line_no", "horizontal", "vertical")
 
 
 @query("s7_state_store", f"""WITH {STATE} SELECT CAST(user_id AS VARCHAR) AS series_id, n, round(a, 4) AS a, round(i, 4) AS i, 60.0 + user_id % 90 AS bpm FROM state""")

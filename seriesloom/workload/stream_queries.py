@@ -8,16 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesloom.operators import dynamics as dyn
 from seriesloom.operators import health
 from seriesloom.operators import keyframes as keys
 from seriesloom.plans.series import Series
 from seriesloom.session import block_rows, checkpointed, shared_folder
-from seriesloom.streaming import ingest, stateful
-from seriesloom.streaming.frames import sliding_frames
-from seriesloom.workload.health_queries import CUSUM, LIMIT, REF, monitor_snapshots
+from seriesloom.streaming import ingest, manifest, stateful
+from seriesloom.streaming.frames import sessions, sliding_frames, with_end
+from seriesloom.workload.health_queries import CUSUM, FRAMES, LIMIT, REF, SESSIONS, monitor_snapshots
 from seriesloom.workload.registry import query
+from seriesloom.workload.source_queries import LINES, of_path, written_snapshots
 from seriesloom.workload.state_queries import EPS_H, ONE_EPS, RAILS, SCALED, _policy
 from seriesloom.workload.tables import r4, table, user_state
 
@@ -77,12 +79,29 @@ def cusum_stream(spark, sf_dir):
     return out.select("user_id", "n", r4("s", "s"), r4("w", "w"))
 
 
-@query("st5_frame_stream")
+def _ended_events(spark, sf_dir, span):
+    """The events as a stream that ends: one closing time follows, ``span`` and the lateness of an hour after the last."""
+    folder = shared_folder(spark, "ends")
+    events = table(spark, sf_dir, "events")
+    events.select((F.max("ts") + F.expr(f"INTERVAL {span}") + F.expr("INTERVAL 2 HOURS")).alias("ts")).where("ts IS NOT NULL").write.parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return with_end(stream, spark.readStream.schema(events.select("ts").schema).parquet(folder))
+
+
+@query("st5_frame_stream", FRAMES)
 def frame_stream(spark, sf_dir):
-    """Sliding frames as a stream: frames the watermark has closed."""
-    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """Sliding frames as a stream that was drained to its end."""
+    events = _ended_events(spark, sf_dir, "24 HOURS")
     out = stateful.run_available(sliding_frames(events, "24 hours", "6 hours"), shared_folder(spark, "frames"))
-    return out.select("event_type", "start", "events", r4("total", "total"))
+    return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "events", r4("total", "total"))
+
+
+@query("st6_session_stream", SESSIONS)
+def session_stream(spark, sf_dir):
+    """Sessions as a stream that was drained to its end."""
+    events = _ended_events(spark, sf_dir, "12 HOURS")
+    out = stateful.run_available(sessions(events, "12 hours"), shared_folder(spark, "sessions"))
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "events", r4("total", "total"))
 
 
 @query("st7_content_stream", "SELECT DISTINCT event_type || ':' || CAST(CAST(round(value) AS BIGINT) AS VARCHAR) AS content_hash, 1 AS copies FROM events")
@@ -92,7 +111,24 @@ def content_stream(spark, sf_dir):
     content = F.concat_ws(":", "event_type", F.round("value").cast("long").cast("string"))
     rows = events.select("ts", content.alias("content_hash"))
     folder = shared_folder(spark, "contents")
-    ingest.ingest_stream(ingest.once_per_content(rows, "1 hour"), f"{folder}/store", f"{folder}/first")
-    ingest.ingest_stream(ingest.once_per_content(rows, "1 hour"), f"{folder}/store", f"{folder}/second")
-    stored = spark.read.schema("content_hash string, ts timestamp").parquet(f"{folder}/store")
+    ingest.ingest_stream(ingest.once_per_content(rows, "1 hour"), f"{folder}/store", f"{folder}/first", prefixes=8)
+    ingest.ingest_stream(ingest.once_per_content(rows, "1 hour"), f"{folder}/store", f"{folder}/second", prefixes=8)
+    stored = manifest.read_store(spark, f"{folder}/store", T.StructType([rows.schema["content_hash"]]))
     return stored.groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies"))
+
+
+@query("s13_settled_files", f"WITH {LINES} SELECT machine, snap, count(*) AS lines, CAST(sum(event_id) AS BIGINT) AS ids FROM files GROUP BY 1, 2")
+def settled_snapshots(spark, sf_dir):
+    """Files of a watched folder, converted once over two runs and a lost checkpoint."""
+    files = written_snapshots(spark, sf_dir, F.col("event_id").cast("string"))
+    folder = shared_folder(spark, "watched")
+    ids = F.transform(F.split(F.trim(F.col("content").cast("string"), F.lit("\n")), "\n"), lambda x: x.cast("long"))
+    total = F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x)
+
+    def convert(batch):
+        return batch.withColumn("ids", ids).select("path", F.size("ids").cast("long").alias("lines"), total.alias("ids"))
+
+    for progress in ("first", "first", "second"):
+        ingest.watch_folder(spark, files, f"{folder}/store", f"{folder}/{progress}", convert, "*.txt", settle=0.2, prefixes=8)
+    stored = manifest.read_store(spark, f"{folder}/store", T.StructType.fromDDL("path string, lines long, ids long"))
+    return stored.select(of_path("machine"), of_path("snap"), "lines", "ids")
