@@ -21,7 +21,7 @@ from seriesloom.llm.exchange import bloom, passes, ranges_for
 from seriesloom.llm.store import stored
 from seriesloom.llm.text import LOWER, mixed, prefix_hash, range_hash, slices, words
 
-SHARD = 1 << 22  # bytes of text whose n-grams make one automaton
+SHARD = 1 << 20  # bytes of text whose n-grams make one automaton
 LOTS = 16  # over so many ranges a prefix is dealt by its last word, so that a common one isn't a single range's
 NO_LANGUAGE = "und"
 _STEP = np.uint64(0xD1342543DE82EF95)
