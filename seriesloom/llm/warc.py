@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
+ARCHIVE = 1 << 30  # bytes that an archive has at most before compression, so that one is no oversized value to its reader
+_HEADER = 1 << 16  # bytes of a record besides its chunk
 _END = "\r\n\r\n"
 _READ = 1 << 18
 # Fixed value: the alphabet of base 32.
@@ -89,10 +91,11 @@ def write_archives(
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit(_END)),
     )
     records = rows.select(F.concat(header.cast("binary"), body).cast("string").alias("value"))
-    records.write.option("lineSep", _END).option("compression", "gzip").text(path)
+    per_file = max(1, ARCHIVE // (chunk + _HEADER))
+    records.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
-_SCHEMA = "row long, page_id long, record_type string, part int, data binary, payload_bytes long, digest string, refers_to long, source string"
+_SCHEMA = "row long, page_id long, record_type string, part long, data binary, payload_bytes long, digest string, refers_to long, source string"
 
 
 def _records(blob: memoryview) -> Iterator[tuple[dict[str, str], int, bytes]]:
@@ -147,7 +150,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["row", "page_id", "record_type", "part", "data", "payload_bytes", "digest", "refers_to", "source"]
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string()]
         out, held = [], 0
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -162,7 +165,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
                     whole = kind == "revisit" or len(piece) == size
                     if kind == "response" and whole and base64.b32encode(hashlib.sha1(piece).digest()).decode() != digest:
                         raise ValueError(f"page {header['WARC-Page']}: the payload doesn't have its digest")
-                    part = segment * 4096 + seen // _READ  # pieces of a segment in order
+                    part = (segment << 40) + seen  # pieces by segment and byte
                     refers = header.get("WARC-Refers-To-Page")
                     out.append((int(header["WARC-Row"]), int(header["WARC-Page"]) if header["WARC-Page"] else None, kind, part, None if whole else piece, size, digest, int(refers) if refers else None, name.as_py()))
                     held += len(piece)

@@ -260,6 +260,36 @@ def test_archives_round_trip(spark):
     assert raw.startswith(b"WARC/1.1\r\nWARC-Type: ") and b"WARC-Segment-Number: 2\r\n" in raw
 
 
+def test_large_payloads_in_one_segment_and_in_several(spark):
+    r = random.Random(4)
+    letters = [chr(97 + r.randrange(26)) for _ in range(5000)]
+    rows = [(i, "u", "".join(r.choices(letters, k=size))) for i, size in enumerate([300_000, 900_000, 1 << 20, 3_000_000, (1 << 20) + 1, 262_144])]
+    path = shared_folder(spark, "warc-test")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path)
+    pieces = {}
+    for c in warc.read_chunks(spark, path).collect():
+        pieces.setdefault(c["page_id"], []).append((c["part"], bytes(c["data"] or b"")))
+    for i, _, html in rows:
+        parts = [part for part, _ in pieces[i]]
+        assert len(set(parts)) == len(parts)  # whatever order they come in
+        if len(parts) > 1:
+            assert b"".join(d for _, d in sorted(pieces[i])) == html.encode()
+    got = {x["page_id"]: (x["payload_bytes"], x["payload_digest"]) for x in warc.read_records(spark, path).collect()}
+    assert got == {i: (len(h), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()) for i, _, h in rows}
+
+
+def test_archives_are_bounded_and_an_empty_table_is_read(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE", 10 * (warc.CHUNK + warc._HEADER))
+    path = shared_folder(spark, "warc-test")
+    warc.write_archives(spark.createDataFrame([(i, "u", f"{i}") for i in range(45)], "page_id long, url string, html string").coalesce(1), path)
+    files = spark.read.format("binaryFile").load(path).collect()
+    assert len(files) == 5 and warc.read_records(spark, path).count() == 45
+    empty = shared_folder(spark, "warc-test")
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), empty)
+    assert warc.read_records(spark, empty).collect() == []
+
+
+
 # Tool calls
 
 
