@@ -1,55 +1,69 @@
-"""Exact order statistics per group without gathering a long group in one task."""
+"""Exact order statistics per group without gathering a long group in one task, planned without looking at the data."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.plans.series import START, has_long_group
-from seriesloom.session import block_rows
+from seriesloom.plans.series import START
 
-CELLS = 1 << 16
+COARSE = 16  # a round cuts a group into COARSE * COARSE cells
+ROUNDS = 2
 
 
-def pick_rank(df: DataFrame, keys: Sequence[str], value: str, rank: Column, name: str) -> DataFrame:
-    """The value at 0-based ``rank`` (a function of the group size column ``rows``) in sorted order.
+def split_evenly(counts: DataFrame, part: Sequence[str], value: str, cell: str) -> DataFrame:
+    """Add ``cell``: 0, 1, ... along the values of a part, so that cells hold about equally many of its rows.
+
+    The splitters come from a mergeable sketch, so outliers don't stretch the cells; equal values share one.
+    """
+    shares = [k / COARSE**2 for k in range(1, COARSE**2)]
+    cuts = counts.groupBy(*part).agg(F.percentile_approx(value, shares, 10 * COARSE**2).alias("_cuts"))
+    coarse = F.array(*[F.get("_cuts", F.lit(k * COARSE - 1)) for k in range(1, COARSE)])
+    cuts = cuts.withColumn("_coarse", coarse)
+    # How many coarse splitters a value has reached, then how many of the fine ones behind the last of these.
+    reached = lambda array: F.size(F.filter(array, lambda s: s <= F.col(value)))
+    out = counts.join(cuts, list(part)).withColumn("_at", reached("_coarse"))
+    fine = F.slice("_cuts", F.col("_at") * COARSE + 1, COARSE - 1)
+    return out.withColumn(cell, F.col("_at") * COARSE + reached(fine)).drop("_cuts", "_coarse", "_at")
+
 
-    Equal values are counted before the shuffle, so ties of any size cost one row. Groups with too
-    many distinct values are narrowed to the value cell that holds the rank before sorting.
+def pick_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column]) -> DataFrame:
+    """One row per group: for each name the value at a 0-based rank (a function of the group size ``rows``).
+
+    Equal values are counted before the shuffle, so ties of any size cost one row. Two rounds narrow every group to the
+    cells that hold its ranks, about one in 65,536 of its values each, which are then sorted; all ranks share them.
+    Nulls don't count; a rank outside the group gives null, a group without values no row.
     """
     keys = list(keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
-    sizes = counts.groupBy(*keys).agg(
-        F.sum("copies").alias("rows"), F.min(value).alias("lo"), F.max(value).alias("hi")
-    )
-    sizes = sizes.select(*keys, rank.cast("long").alias("rank"), "lo", "hi")
-    if has_long_group(counts, keys, block_rows(df.sparkSession)):
-        width = (F.col("hi") - F.col("lo")) / F.lit(float(CELLS))
-        cell = F.when(F.col("hi") > F.col("lo"), F.floor((F.col(value) - F.col("lo")) / width)).otherwise(0)
-        counts = counts.join(sizes, keys).withColumn("cell", cell.cast("long"))
-        cells = counts.groupBy(*keys, "cell").agg(F.sum("copies").alias("held"), F.max("rank").alias("rank"))
-        upto = F.sum("held").over(Window.partitionBy(*keys).orderBy("cell").rowsBetween(START, 0))
-        cells = cells.withColumn("upto", upto).filter(
-            (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("held"))
-        )
-        cells = cells.select(*keys, "cell", (F.col("rank") - F.col("upto") + F.col("held")).alias("within"))
-        counts = counts.select(*keys, "cell", value, "copies").join(cells, [*keys, "cell"])
-        part = [*keys, "cell"]
-    else:
-        counts = counts.join(sizes.select(*keys, F.col("rank").alias("within")), keys)
-        part = keys
+    sizes = counts.groupBy(*keys).agg(F.sum("copies").alias("rows"))
+    targets = F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("within")) for name, rank in ranks.items()])
+    wanted = sizes.select(*keys, F.explode(targets).alias("target")).select(*keys, "target.*")
+    part = keys
+    for k in range(ROUNDS):
+        cell = f"_cell{k}"
+        counts = split_evenly(counts, part, value, cell)
+        held = counts.groupBy(*part, cell).agg(F.sum("copies").alias("held"))
+        upto = F.sum("held").over(Window.partitionBy(*part).orderBy(cell).rowsBetween(START, 0))
+        held = held.withColumn("before", upto - F.col("held"))
+        inside = (F.col("within") >= F.col("before")) & (F.col("within") < F.col("before") + F.col("held"))
+        wanted = wanted.join(held, part).where(inside).select(*part, cell, "name", (F.col("within") - F.col("before")).alias("within"))
+        part = [*part, cell]
+        counts = counts.join(wanted.select(*part).distinct(), part)
     upto = F.sum("copies").over(Window.partitionBy(*part).orderBy(value).rowsBetween(START, 0))
-    hit = counts.withColumn("upto", upto).filter(
-        (F.col("within") < F.col("upto")) & (F.col("within") >= F.col("upto") - F.col("copies"))
-    )
-    return hit.select(*keys, F.col(value).alias(name))
+    hits = counts.withColumn("upto", upto).join(wanted, part)
+    hits = hits.where((F.col("within") < F.col("upto")) & (F.col("within") >= F.col("upto") - F.col("copies")))
+    return hits.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.col(value))).alias(name) for name in ranks])
+
+
+def pick_rank(df: DataFrame, keys: Sequence[str], value: str, rank: Column, name: str) -> DataFrame:
+    """The value at one rank; see ``pick_ranks``."""
+    return pick_ranks(df, keys, value, {name: rank})
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Mean of the two middle values (of the one middle value for odd sizes)."""
-    low = pick_rank(df, keys, value, F.floor((F.col("rows") - 1) / 2), "low_mid")
-    high = pick_rank(df, keys, value, F.floor(F.col("rows") / 2), "high_mid")
-    both = low.join(high, list(keys))
+    both = pick_ranks(df, keys, value, {"low_mid": F.floor((F.col("rows") - 1) / 2), "high_mid": F.floor(F.col("rows") / 2)})
     return both.select(*keys, ((F.col("low_mid") + F.col("high_mid")) / 2).alias(name))
