@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.plans.series import Series, index_series
@@ -94,6 +94,36 @@ def tempo_match(
     )
 
 
+def tempo_pairs(
+    items: DataFrame, item: str, bpm: str, pos: str, beat: str, widest: float = 0.10, top: int = 3
+) -> DataFrame:
+    """For every item the ``top`` others whose tempo needs the least change of rate, of at most ``widest``, and how to lock
+    onto them (see ``tempo_match``). Order: change of rate, then item; items are unique.
+
+    The least changes are among the nearest tempos, so tempos are the rows of one ordered series: each stands for the
+    ``top + 1`` first of its items and looks at ``top`` neighbours on either side. An item then takes the best list of its
+    tempo without itself. So a common tempo is one row, no bucket of pairs is formed, and work is items times ``top``.
+    Items without a positive tempo have no partners.
+    """
+    rows = items.where(F.col(bpm) > 0).select(
+        F.col(item).alias("item"), F.col(bpm).cast("double").alias("bpm"), F.col(pos).alias("pos"), F.col(beat).alias("beat")
+    )
+    first = F.row_number().over(Window.partitionBy("bpm").orderBy("item"))
+    firsts = rows.withColumn("_place", first).where(F.col("_place") <= top + 1)
+    tempos = firsts.groupBy("bpm").agg(F.collect_list(F.struct("item", "pos", "beat")).alias("held")).withColumn("scale", F.lit(0))
+    tempos = index_series(tempos, ["scale"], ["bpm"])
+    near = tempos.around(top, top, near=lambda w: F.collect_list(F.struct("bpm", "held")).over(w.rowsBetween(-top, top))).df
+    near = near.select("bpm", F.explode("near").alias("t")).select("bpm", F.col("t.bpm").alias("b_bpm"), F.explode("t.held").alias("b"))
+    need = F.abs(F.col("b_bpm") / F.col("bpm") - 1.0)
+    offers = near.withColumn("need", need).where(F.col("need") <= widest)
+    best = F.collect_list(F.struct("need", F.col("b.item").alias("b_item"), "b_bpm", F.col("b.pos").alias("b_pos"), F.col("b.beat").alias("b_beat")))
+    offers = offers.groupBy("bpm").agg(F.slice(F.sort_array(best), 1, top + 1).alias("offers"))
+    mine = [F.col(c).alias(f"a_{c}") for c in ("item", "bpm", "pos", "beat")]
+    pairs = rows.join(offers, "bpm").select(*mine, F.slice(F.filter("offers", lambda o: o["b_item"] != F.col("item")), 1, top).alias("offers"))
+    pairs = pairs.select(*[c for c in pairs.columns if c != "offers"], F.posexplode("offers").alias("place", "o"))
+    return tempo_match(pairs.select("*", (F.col("place") + 1).alias("rank"), "o.*").drop("o", "place"))
+
+
 def held_rebuild(keys: DataFrame, frames: DataFrame, on: list[str]) -> DataFrame:
     """Zero-order hold of (a, i) from sparse keys onto the full frame grid."""
     marks = keys.select(*on, F.col("frame").alias("n"), F.col("a").alias("a_rec"), F.col("i").alias("i_rec"))

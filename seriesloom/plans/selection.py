@@ -9,17 +9,19 @@ from pyspark.sql import functions as F
 
 from seriesloom.plans.series import START
 
-COARSE = 16  # a round cuts a group into COARSE * COARSE cells
-ROUNDS = 2
+COARSE = 32  # a round cuts a group into COARSE * COARSE cells
 
 
-def split_evenly(counts: DataFrame, part: Sequence[str], value: str, cell: str) -> DataFrame:
-    """Add ``cell``: 0, 1, ... along the values of a part, so that cells hold about equally many of its rows.
+def split_evenly(counts: DataFrame, part: Sequence[str], value: str, cell: str, **facts: Column) -> DataFrame:
+    """Add ``cell``: 0, 1, ... along the values of a part, so that cells hold about equally many of its rows, and
+    ``facts``, aggregates of the part.
 
     The splitters come from a mergeable sketch, so outliers don't stretch the cells; equal values share one.
     """
     shares = [k / COARSE**2 for k in range(1, COARSE**2)]
-    cuts = counts.groupBy(*part).agg(F.percentile_approx(value, shares, 10 * COARSE**2).alias("_cuts"))
+    cuts = counts.groupBy(*part).agg(
+        F.percentile_approx(value, shares, 10 * COARSE**2).alias("_cuts"), *[fact.alias(name) for name, fact in facts.items()]
+    )
     coarse = F.array(*[F.get("_cuts", F.lit(k * COARSE - 1)) for k in range(1, COARSE)])
     cuts = cuts.withColumn("_coarse", coarse)
     # How many coarse splitters a value has reached, then how many of the fine ones behind the last of these.
@@ -29,33 +31,41 @@ def split_evenly(counts: DataFrame, part: Sequence[str], value: str, cell: str)
     return out.withColumn(cell, F.col("_at") * COARSE + reached(fine)).drop("_cuts", "_coarse", "_at")
 
 
-def pick_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column]) -> DataFrame:
+def pick_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column], rounds: int = 1) -> DataFrame:
     """One row per group: for each name the value at a 0-based rank (a function of the group size ``rows``).
 
-    Equal values are counted before the shuffle, so ties of any size cost one row. Two rounds narrow every group to the
-    cells that hold its ranks, about one in 65,536 of its values each, which are then sorted; all ranks share them.
+    Equal values are counted before the shuffle, so ties of any size cost one row. A round narrows every group to the
+    cells that hold its ranks, about one in 1,024 of its values each; the last ones are sorted, each by a task, and all
+    ranks share them. Another round is worth its plan for groups of more than some 10^10 distinct values.
     Nulls don't count; a rank outside the group gives null, a group without values no row.
     """
     keys = list(keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
-    sizes = counts.groupBy(*keys).agg(F.sum("copies").alias("rows"))
-    targets = F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("within")) for name, rank in ranks.items()])
-    wanted = sizes.select(*keys, F.explode(targets).alias("target")).select(*keys, "target.*")
+    asked = F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("within")) for name, rank in ranks.items()])
     part = keys
-    for k in range(ROUNDS):
+    for k in range(rounds):
         cell = f"_cell{k}"
-        counts = split_evenly(counts, part, value, cell)
-        held = counts.groupBy(*part, cell).agg(F.sum("copies").alias("held"))
+        if k == 0:
+            counts = split_evenly(counts, part, value, cell, rows=F.sum("copies")).withColumn("wanted", asked).drop("rows")
+        else:
+            counts = split_evenly(counts, part, value, cell)
+        # A cell's ranks among those of its part: its rows and the part's ranks travel with one row of the cell.
+        held = counts.groupBy(*part, cell).agg(F.sum("copies").alias("held"), F.first("wanted").alias("wanted"))
         upto = F.sum("held").over(Window.partitionBy(*part).orderBy(cell).rowsBetween(START, 0))
         held = held.withColumn("before", upto - F.col("held"))
-        inside = (F.col("within") >= F.col("before")) & (F.col("within") < F.col("before") + F.col("held"))
-        wanted = wanted.join(held, part).where(inside).select(*part, cell, "name", (F.col("within") - F.col("before")).alias("within"))
+        mine = F.filter("wanted", lambda t: (t["within"] >= F.col("before")) & (t["within"] < F.col("before") + F.col("held")))
+        # The first cell stays even if no rank lies in it, so that a group has its row.
+        held = held.withColumn("mine", mine).where("before = 0 OR size(mine) > 0")
+        moved = F.transform("mine", lambda t: F.struct(t["name"].alias("name"), (t["within"] - F.col("before")).alias("within")))
+        held = held.select(*part, cell, moved.alias("wanted"))
         part = [*part, cell]
-        counts = counts.join(wanted.select(*part).distinct(), part)
+        counts = counts.drop("wanted").join(held, part)
     upto = F.sum("copies").over(Window.partitionBy(*part).orderBy(value).rowsBetween(START, 0))
-    hits = counts.withColumn("upto", upto).join(wanted, part)
-    hits = hits.where((F.col("within") < F.col("upto")) & (F.col("within") >= F.col("upto") - F.col("copies")))
-    return hits.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.col(value))).alias(name) for name in ranks])
+    hits = counts.withColumn("upto", upto)
+    here = lambda t: (t["within"] < F.col("upto")) & (t["within"] >= F.col("upto") - F.col("copies"))
+    named = lambda name: lambda t: t["name"] == name
+    found = [F.max(F.when(F.exists(F.filter("wanted", here), named(name)), F.col(value))).alias(name) for name in ranks]
+    return hits.groupBy(*keys).agg(*found)
 
 
 def pick_rank(df: DataFrame, keys: Sequence[str], value: str, rank: Column, name: str) -> DataFrame:

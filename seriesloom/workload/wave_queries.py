@@ -453,3 +453,21 @@ def meta_join(spark, sf_dir):
     ).select(F.col("s_suppkey").alias("l_suppkey"), "n_name", (F.lit(0.01) + F.col("n_nationkey") * 0.001).alias("w"))
     s = waves(spark, sf_dir).attach(meta)
     return s.select("l_suppkey", "n", "n_name", r4(F.col("w") * F.col("n"), "alpha"))
+
+
+@query("j9_tempo_pairs", """WITH i AS (SELECT c_custkey AS item, 90.0::DOUBLE + (c_custkey * 37 % 600) / 10.0::DOUBLE AS bpm, c_acctbal + 1000 AS pos, 100.0::DOUBLE + c_custkey % 7 AS beat FROM customer),
+p AS (SELECT a.item, b.item AS partner, b.bpm / a.bpm AS rate, a.beat, row_number() OVER (PARTITION BY a.item ORDER BY abs(b.bpm / a.bpm - 1.0), b.item) AS rank,
+  ((b.pos - floor(b.pos / b.beat) * b.beat) / b.beat - (a.pos - floor(a.pos / a.beat) * a.beat) / a.beat) * a.beat AS delta
+  FROM i a JOIN i b ON a.item <> b.item AND abs(b.bpm / a.bpm - 1.0) <= 0.1)
+SELECT item, partner, rank, round(rate, 4) AS rate, round((rate - 1) / 0.1, 4) AS fader,
+  round(CASE WHEN delta > beat / 2 THEN delta - beat WHEN delta < -beat / 2 THEN delta + beat ELSE delta END, 4) AS delta FROM p WHERE rank <= 3""")
+def tempo_pairs(spark, sf_dir):
+    """Customers as recordings: the three that each can be locked to with the least change of rate."""
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        (F.lit(90.0) + (F.col("c_custkey") * 37 % 600) / F.lit(10.0)).alias("bpm"),
+        (F.col("c_acctbal") + 1000).alias("pos"),
+        (F.lit(100.0) + F.col("c_custkey") % 7).alias("beat"),
+    )
+    out = joins.tempo_pairs(rows, "c_custkey", "bpm", "pos", "beat")
+    return out.select(F.col("a_item").alias("item"), F.col("b_item").alias("partner"), "rank", r4("rate", "rate"), r4("fader", "fader"), r4("delta", "delta"))

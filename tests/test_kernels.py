@@ -321,3 +321,22 @@ def test_neighbours_are_exact_in_a_crowded_cell(spark, monkeypatch, chunk):
     pairs = sim.similar_pairs(items, 0.8).toPandas()
     want = {(i, j) for i in range(300) for j in range(i + 1, 300) if s[i, j] >= 0.8}
     assert set(zip(pairs["id"], pairs["other"])) == want and len(pairs) == len(want)
+
+
+def test_tempo_pairs_are_the_nearest_of_all(spark, blocks):
+    from seriesloom.operators import joins
+
+    rng = np.random.default_rng(11)
+    bpm = np.concatenate([np.full(60, 120.0), rng.uniform(60, 180, 90).round(1), [0.0, 300.0, 301.0]])
+    rows = [(i, float(b), float(rng.uniform(0, 1e4)), 500.0) for i, b in enumerate(bpm)]
+    for limit in (7, 1 << 20):
+        blocks(limit)
+        df = spark.createDataFrame(rows, "item long, bpm double, pos double, beat double")
+        got = joins.tempo_pairs(df, "item", "bpm", "pos", "beat", widest=0.05, top=4)
+        plan = got._jdf.queryExecution().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+        want = set()
+        for i, b, *_ in rows:
+            near = sorted((abs(c / b - 1.0), j) for j, c, *_ in rows if b > 0 and c > 0 and j != i and abs(c / b - 1.0) <= 0.05)
+            want |= {(i, j, rank) for rank, (_, j) in enumerate(near[:4], 1)}
+        assert {(r["a_item"], r["b_item"], r["rank"]) for r in got.collect()} == want
