@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,14 +84,14 @@ waves AS (
 
 
 def tones(spark: SparkSession, sf_dir: str) -> Series:
-    """Embeddings of a label in id order as spectra: 64 magnitudes, 12 of them as pitch classes."""
+    """Embeddings of a label in id order as spectra: 64 magnitudes, folded into 12 pitch classes."""
     e = F.col("embedding").cast("array<double>")
-    mag = F.transform(e, F.abs)
-    rows = table(spark, sf_dir, "embeddings").select(
+    folded = [reduce(add, [F.get("mag", F.lit(i)) for i in range(pc, BINS, 12)]) for pc in range(12)]
+    rows = table(spark, sf_dir, "embeddings").withColumn("mag", F.transform(e, F.abs)).select(
         "label",
         "vec_id",
-        mag.alias("mag"),
-        F.slice(mag, 1, 12).alias("chroma"),
+        "mag",
+        F.array(*folded).alias("chroma"),
         (20.0 * F.log10(F.abs(e[13]) + F.lit(1e-10))).alias("a"),
     )
     series = index_series(rows, ["label"], ["vec_id"])
@@ -99,7 +102,7 @@ TONES = """
 tones AS (
   SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n,
          list_transform(embedding, lambda v: abs(CAST(v AS DOUBLE))) AS mag,
-         list_transform(embedding[1:12], lambda v: abs(CAST(v AS DOUBLE))) AS chroma,
+         list_transform(range(12), lambda pc: list_sum(list_transform(range(pc, 64, 12), lambda i: abs(CAST(embedding[i + 1] AS DOUBLE))))) AS chroma,
          20.0 * log10(abs(CAST(embedding[14] AS DOUBLE)) + 1e-10) AS a
   FROM embeddings)"""
 TONES_LONG = TONES + """,
