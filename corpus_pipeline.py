@@ -10,14 +10,14 @@ from seriesloom.llm import jaccard, language, mixing, suffix, tokens
 from seriesloom.llm.store import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_SCORE = 0.5
 ORACLE_SQL = None  # language scores, random draws and token ids are not SQL; tests hold the stages against brute force
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose text has a language, by at least half of its letters."""
+    """Keep documents whose text has a language; null texts and those without a letter go. Text in several languages
+    stays, as do repeated rows and null ids; an empty table gives none."""
     labelled = language.predict(docs.select(COLUMNS))
-    return labelled.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(COLUMNS)
+    return labelled.where(F.col("lang_pred") != "und").select(COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +41,14 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mix the sources to their target weights."""
+    """Mix the sources to their target weights: a document the mix takes twice is two rows, one it doesn't take goes. Null
+    and empty texts have no words and go; a null source is a source of its own."""
     return mixing.mixed_documents(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its text."""
+    """Token ids of every document, and whether they decode to its text; a null or empty text has no ids. Rows stay as
+    they are, repeated ones and null ids too."""
     vocabulary = tokens.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     out = tokens.decode(tokens.encode(docs.select("doc_id", "source", "text"), vocabulary), vocabulary)
     exact = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
