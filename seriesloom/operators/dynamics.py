@@ -141,10 +141,12 @@ def volatility(series: Series, hop_s: float, normalised: bool = True) -> DataFra
     return series.totals(seed=seed)
 
 
-def calibration(series: Series) -> DataFrame:
-    """Spread of both derivatives, total and mean force: what the streaming form needs up front."""
+def calibration(series: Series, **gates: Column) -> DataFrame:
+    """Spread of both derivatives, total and mean force: what the streaming form needs up front. ``gates`` are values that
+    hold for a whole series, such as the energy below which a frame is held."""
     out = force(series)
     return out.totals(
+        **{name: F.max(gate) for name, gate in gates.items()},
         m=F.count(F.lit(1)),
         s_a=or_one(F.max("s_a")),
         s_i=or_one(F.max("s_i")),

@@ -14,7 +14,7 @@ from seriesloom.operators import joins
 from seriesloom.operators import similarity as sim
 from seriesloom.plans.series import Series
 from seriesloom.workload.registry import query
-from seriesloom.workload.tables import BIN_HZ, BINS, TONES, TONES_LONG, r4, table, tones, tones_long
+from seriesloom.workload.tables import BIN_HZ, BINS, TONES, TONES_LONG, gradient_sql, r4, table, tones, tones_long
 
 LOW_HZ = 50.0  # bin width of the band queries, so that every band but the top one has bins
 
@@ -31,6 +31,21 @@ def spectral_centre(spark, sf_dir):
     return s.select("label", "n", r4("i", "i"), "valid")
 
 
+@query("d11_gated_calibration", f"""WITH {TONES_LONG},
+tot AS (SELECT label, n, sum(mag) AS energy, sum(mag * bin * {BIN_HZ}) AS moment FROM bins GROUP BY 1, 2),
+med AS (SELECT label, 0.95 * coalesce(median(energy) FILTER (energy > 0), 0) AS energy_thresh FROM tot GROUP BY 1),
+p AS (SELECT label, n, energy_thresh, CASE WHEN energy > energy_thresh THEN 12 * log2(greatest(moment / energy, 1e-10) / 440) END AS pitch FROM tot JOIN med USING (label)),
+state AS (SELECT label, n, a, energy_thresh, coalesce(last_value(pitch IGNORE NULLS) OVER (PARTITION BY label ORDER BY n ROWS UNBOUNDED PRECEDING), 0) AS i FROM p JOIN tones USING (label, n)),
+grads AS (SELECT *, {gradient_sql('a', 'label')} AS da, {gradient_sql('i', 'label')} AS di FROM state),
+spread AS (SELECT label, CASE WHEN stddev_pop(da) = 0 THEN 1 ELSE stddev_pop(da) END AS s_a, CASE WHEN stddev_pop(di) = 0 THEN 1 ELSE stddev_pop(di) END AS s_i FROM grads GROUP BY 1)
+SELECT label, round(max(energy_thresh), 4) AS energy_thresh, count(*) AS m, round(max(s_a), 4) AS s_a, round(max(s_i), 4) AS s_i,
+  round(sum(sqrt(power(da / s_a, 2) + power(di / s_i, 2))), 4) AS h_total, round(avg(sqrt(power(da / s_a, 2) + power(di / s_i, 2))), 4) AS mean_f
+FROM grads JOIN spread USING (label) GROUP BY 1""")
+def gated_calibration(spark, sf_dir):
+    out = feat.frame_calibration(tones(spark, sf_dir), BIN_HZ, gate=0.95)
+    return out.select("label", "m", *[r4(c, c) for c in ("energy_thresh", "s_a", "s_i", "h_total", "mean_f")])
+
+
 WEIGHTS = f"""
 grid AS (SELECT b AS bin, pc, 12 * log2(b * {BIN_HZ} / 440) - pc AS d FROM (SELECT unnest(range(1, 64)) AS b), (SELECT unnest(range(12)) AS pc)),
 ring AS (SELECT bin, pc, d - floor(d / 12) * 12 AS r FROM grid),
