@@ -16,6 +16,7 @@ from seriesloom.llm.text import LOWER, slices, spaces, words
 TABLE = 1 << 16  # cells of the gram table of one language
 MAX_LANGUAGES = 1000
 SWITCH = 8.0  # what a change of language between two words costs, in nats
+TOGETHER = 1 << 21  # bytes of text whose documents advance together: a step costs the same for few and for many
 LEAST_SHARE = 0.01  # of a language's training words in a script, for the script to make it a candidate
 _FAR = np.float32(-1e4)
 # First code points of script ranges of the Unicode standard, and the script that begins there.
@@ -172,7 +173,7 @@ def label(docs: DataFrame, model: Model, text: str = "text", switch: float = SWI
             n = batch.num_rows
             langs, share, runs = ["und"] * n, np.zeros(n), [[] for _ in range(n)]
             lettered = batch.column("_letters").to_pylist()
-            for lo, hi, data, offsets in slices(batch.column(text)):
+            for lo, hi, data, offsets in slices(batch.column(text), TOGETHER):
                 if not len(names) or not len(data):
                     continue
                 cell, starts, ends, first, kind, letters = _grams(data, offsets)
