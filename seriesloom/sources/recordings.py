@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.plans.selection import pick_rank
-from seriesloom.plans.series import index_series
+from seriesloom.plans.series import Series, index_series
 from seriesloom.sources.pcm import CHUNK, RANGE_BYTES, PcmSource, absolute
 
 AUDIO_EXTENSIONS = ["wav"]
@@ -86,16 +88,23 @@ def timed_files(files: DataFrame, keys: list[str], name: str, cadence_h: float)
     return rows.withColumn("t_h", F.col("snap") * F.lit(float(cadence_h)))
 
 
-def count_scale(samples: DataFrame, snap: str, value: str) -> float:
-    """Counts per unit from the 99.9th percentile of |x| over every k-th snapshot.
+def count_scale(samples: DataFrame, snap: str, value: str) -> Column:
+    """Counts per unit from the 99.9th percentile of |x| over every k-th snapshot, as a scalar subquery.
 
     k keeps about 40 snapshots; the percentile is the value at sorted index floor(len * 0.999).
     """
-    last = samples.agg(F.max(snap)).first()[0]
-    step = max(1, (int(last) + 1) // 40)
-    probed = samples.filter(F.col(snap) % step == 0).select(F.lit(0).alias("all"), F.abs(value).alias("size"))
-    top = pick_rank(probed, ["all"], "size", F.floor(F.col("rows") * 0.999), "top").first()["top"]
-    return PEAK_SHARE / max(top, 1e-9)
+    last = samples.select(F.max(snap)).scalar()
+    step = F.greatest(F.lit(1), F.floor((last + 1) / 40))
+    probed = samples.filter(F.pmod(F.col(snap), step) == 0).select(F.lit(0).alias("corpus"), F.abs(value).alias("size"))
+    top = pick_rank(probed, ["corpus"], "size", F.floor(F.col("rows") * 0.999), "top")
+    return F.lit(PEAK_SHARE) / F.greatest(top.select("top").scalar(), F.lit(1e-9))
+
+
+def peak_scale(series: Series, value: str, name: str = "scale") -> Series:
+    """Counts per unit from the largest |x| of each series, as a column of every row."""
+    held = series.stats(_peak=F.max(F.abs(F.col(value))))
+    held = held.with_columns(**{name: F.lit(PEAK_SHARE) / F.greatest(F.col("_peak"), F.lit(1e-9))})
+    return replace(held, df=held.df.drop("_peak"))
 
 
 def to_counts(value: Column, scale: Column) -> Column:

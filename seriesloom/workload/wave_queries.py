@@ -441,7 +441,14 @@ SELECT l_suppkey, n, CAST(greatest(least(round(x * scale), 32767), -32768) AS IN
 def count_scale(spark, sf_dir):
     rows = waves(spark, sf_dir).df.select("l_suppkey", "n", "x")
     scale = recordings.count_scale(rows, "l_suppkey", "x")
-    return rows.select("l_suppkey", "n", recordings.to_counts(F.col("x"), F.lit(scale)).alias("counts"))
+    return rows.select("l_suppkey", "n", recordings.to_counts(F.col("x"), scale).alias("counts"))
+
+
+@query("s6_peak_scale", f"""WITH {WAVES}, s AS (SELECT *, 0.95 * 32767 / greatest(max(abs(x)) OVER (PARTITION BY l_suppkey), 1e-9) AS scale FROM waves)
+SELECT l_suppkey, n, CAST(greatest(least(round(x * scale), 32767), -32768) AS INTEGER) AS counts FROM s""")
+def peak_scale(spark, sf_dir):
+    rows = recordings.peak_scale(waves(spark, sf_dir), "x").df
+    return rows.select("l_suppkey", "n", recordings.to_counts(F.col("x"), F.col("scale")).alias("counts"))
 
 
 @query("j10_meta_join", f"""WITH {WAVES}
