@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.streaming.manifest import PREFIXES, append_batch
-from seriesloom.streaming.settled import settled_files
+from seriesloom.streaming.settled import releases, settled_files
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -46,17 +46,24 @@ def ingest_stream(events: DataFrame, store: str, progress: str, content: str = "
 
 def watch_folder(
     spark: SparkSession, folder: str, store: str, progress: str, convert: Callable[[DataFrame], DataFrame], pattern: str = "*",
-    settle: float = 2.0, content: bool = True, prefixes: int = PREFIXES,
+    settle: float = 2.0, content: bool = True, prefixes: int = PREFIXES, per_batch: int = 1000,
 ) -> None:
     """Convert each file once, when it has settled; a file whose result is already stored is skipped.
 
     ``convert`` gets path, modificationTime, length and content (null unless asked for) and keeps the path.
+    A look releases at most ``per_batch`` files and a run takes one look, so runs follow each other until one doesn't
+    fill its batch: then every file that had settled is in.
     """
     run = _run_of(progress)
 
     def each(batch: DataFrame, number: int) -> None:
         append_batch(convert(batch), store, f"{run}-{number}", "path", prefixes)
 
-    files = settled_files(spark, folder, f"{progress}/files", pattern, settle, content=content)
-    query = files.writeStream.foreachBatch(each).option("checkpointLocation", f"{progress}/stream").trigger(availableNow=True).start()
-    query.awaitTermination()
+    log = f"{progress}/files"
+    files = settled_files(spark, folder, log, pattern, settle, per_batch, content)
+    full = True
+    while full:
+        before = len(releases(log))
+        query = files.writeStream.foreachBatch(each).option("checkpointLocation", f"{progress}/stream").trigger(availableNow=True).start()
+        query.awaitTermination()
+        full = max(releases(log)[before:], default=0) >= per_batch

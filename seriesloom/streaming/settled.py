@@ -141,6 +141,14 @@ class SettledFiles(DataSource):
         return SettledReader({k.lower(): v for k, v in self.options.items()})
 
 
+def releases(log: str) -> list[int]:
+    """How many files each logged look released."""
+    reader, sizes = SettledReader({"path": log, "log": absolute(log)}), []
+    while (files := reader._read(f"{len(sizes)}.json")) is not None:
+        sizes.append(len(files))
+    return sizes
+
+
 def settled_files(
     spark: SparkSession, folder: str, log: str, pattern: str = "*", settle: float = 2.0, per_batch: int = 1000, content: bool = True
 ) -> DataFrame:

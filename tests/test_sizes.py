@@ -2,8 +2,10 @@
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesloom.operators import aggregates
+from seriesloom.streaming import ingest, manifest, settled
 
 
 def test_kurtosis_of_two_and_three_values_is_exact(spark):
@@ -12,3 +14,16 @@ def test_kurtosis_of_two_and_three_values_is_exact(spark):
     stats = aggregates.burst_statistics(F.col("v"))
     got = spark.createDataFrame(rows, "k long, v double").groupBy("k").agg(stats["kurtosis"].alias("kurtosis")).collect()
     assert all(r["kurtosis"] == (1.5 if r["k"] % 2 else 1.0) for r in got)
+
+
+def test_a_folder_of_more_files_than_a_batch_is_drained(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(7):
+        (tmp_path / "in" / f"f{k}.txt").write_text("x" * k)
+    store = str(tmp_path / "store")
+    keep = lambda batch: batch.select("path", "length")
+    for _ in range(2):
+        ingest.watch_folder(spark, str(tmp_path / "in"), store, str(tmp_path / "run"), keep, "*.txt", settle=0.1, prefixes=2, per_batch=3)
+        rows = manifest.read_store(spark, store, T.StructType.fromDDL("path string, length long")).collect()
+        assert sorted((r["path"], r["length"]) for r in rows) == [(f"f{k}.txt", k) for k in range(7)]
+    assert settled.releases(f"{tmp_path}/run/files") == [3, 3, 1]
