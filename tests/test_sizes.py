@@ -49,3 +49,11 @@ def test_many_policies_of_short_and_long_series(spark, monkeypatch):
         one = keyframes.keyframes(s, policy.filter(F.col("kappa") == kappa).drop("kappa"))
         want |= {(r["k"], kappa, r["n"], r["rail"]) for r in one.collect()}
     assert got == want
+
+
+def test_a_burst_without_spread_has_no_kurtosis(spark):
+    rows = spark.createDataFrame([(1, [7]), (2, [5, 5, 5]), (3, [1, 3, 3, 9]), (4, [0, 0])], "k int, x array<int>")
+    got = {r[0]: r[1:] for r in rows.select("k", *health.plain_indicators(F.col("x")).values()).collect()}
+    assert got[1] == (7 / 32768, None, 1.0) and got[2] == (5 / 32768, None, 1.0) and got[4] == (0.0, None, None)
+    d = np.array([1, 3, 3, 9]) - 4
+    np.testing.assert_allclose(got[3], (5 / 32768, (d**4).mean() / (d**2).mean() ** 2, 9 / 5))
