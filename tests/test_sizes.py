@@ -51,6 +51,19 @@ def test_many_policies_of_short_and_long_series(spark, monkeypatch):
     assert got == want
 
 
+def test_a_level_is_held_as_exactly_after_many_rows(spark):
+    release, size = math.exp(-0.05 / 0.3), 300_000
+    x = np.random.default_rng(5).uniform(0.1, 1, size)
+    x[::3] = 0.0
+    rows = spark.createDataFrame(pd.DataFrame({"k": 1, "n": np.arange(size), "x": x}))
+    out = dense_series(rows, ["k"]).peak_hold(release, held=F.col("x")).df.toPandas().sort_values("n")
+    held, want = 0.0, []
+    for v in x:
+        held = max(v, held * release)
+        want.append(held)
+    np.testing.assert_allclose(out["held"].to_numpy(), want, rtol=2e-14)
+
+
 def test_a_burst_without_spread_has_no_kurtosis(spark):
     rows = spark.createDataFrame([(1, [7]), (2, [5, 5, 5]), (3, [1, 3, 3, 9]), (4, [0, 0])], "k int, x array<int>")
     got = {r[0]: r[1:] for r in rows.select("k", *health.plain_indicators(F.col("x")).values()).collect()}
