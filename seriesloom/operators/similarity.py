@@ -16,7 +16,9 @@ from seriesloom.operators.aggregates import mean_vector
 from seriesloom.plans.series import Series
 
 MAX_PIVOTS = 512
-CHUNK = 1024
+CHUNK = 4096
+SLICE = 512  # rows that are compared with a chunk, or with the pivots, at a time
+VISITS = 8192  # rows with a vector that leave a task at a time
 SLACK = 1e-9  # distances are compared with a margin above their rounding error
 
 
@@ -72,12 +74,25 @@ def _distances(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
+def _visits(pdf: pd.DataFrame, pivots: np.ndarray, cells: list, reach) -> Iterator[pd.DataFrame]:
+    """A query once for each cell that it has to visit, at most ``VISITS`` rows at a time."""
+    order, radius = np.array([c["cell"] for c in cells], dtype="int32"), np.array([c["radius"] for c in cells])
+    for at in range(0, len(pdf), SLICE):
+        part = pdf[["id", "v"]].iloc[at : at + SLICE]
+        away = _distances(np.vstack(part["v"].to_numpy()), pivots)[:, order]
+        limit = reach.limit(away, cells)
+        row, col = np.nonzero(away - radius[None, :] <= limit[:, None] + SLACK)
+        for lo in range(0, len(row), VISITS):
+            r, c = row[lo : lo + VISITS], col[lo : lo + VISITS]
+            yield part.iloc[r].reset_index(drop=True).assign(cell=order[c], reach=limit[r])
+
+
 def _near_chunks(items: DataFrame, reach) -> tuple[DataFrame, DataFrame]:
     """Query and corpus rows laid out so that every pair that can matter meets in one bounded group.
 
     Vectors live in the cell of their nearest pivot. By the triangle inequality a query with reach
     r only has to visit cells whose ball is closer than r; ``reach(distances, cells)`` gives r per
-    query. Cells are cut into chunks of about 1024 on both sides, so a cell of any size spreads
+    query. Cells are cut into chunks of about 4096 on both sides, so a cell of any size spreads
     over many groups.
     """
     total = items.count()
@@ -95,21 +110,12 @@ def _near_chunks(items: DataFrame, reach) -> tuple[DataFrame, DataFrame]:
     placed = items.mapInPandas(place, placed_type)
     # One row per cell (at most 512): size, radius and the k-th smallest radius for the reach.
     cells = reach.cells(placed)
-    sizes = {c["cell"]: c for c in cells}
-    chunks = {c: max(1, math.ceil(s["held"] / CHUNK)) for c, s in sizes.items()}
+    chunks = {c["cell"]: max(1, math.ceil(c["held"] / CHUNK)) for c in cells}
     visit_type = T.StructType([*base, T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())])
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        order = sorted(sizes)
-        radius = np.array([sizes[c]["radius"] for c in order])
         for pdf in batches:
-            if not len(pdf):
-                continue
-            away = _distances(np.vstack(pdf["v"].to_numpy()), pivots)[:, order]
-            limit = reach.limit(away, [sizes[c] for c in order])
-            row, col = np.nonzero(away - radius[None, :] <= limit[:, None] + SLACK)
-            out = pdf[["id", "v"]].iloc[row].reset_index(drop=True)
-            yield out.assign(cell=np.array(order, dtype="int32")[col], reach=limit[row])
+            yield from _visits(pdf, pivots, cells, reach)
 
     queries = items.mapInPandas(visit, visit_type)
     split = F.create_map(*[F.lit(x) for pair in chunks.items() for x in pair])
@@ -163,11 +169,15 @@ def _score_groups(queries: DataFrame, corpus: DataFrame, pick) -> DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame(columns=["id", "other", "score"])
         b = b.sort_values("id")
-        s = np.vstack(a["v"].to_numpy()) @ np.vstack(b["v"].to_numpy()).T
-        ids, others = a["id"].to_numpy(), b["id"].to_numpy()
-        s[ids[:, None] == others[None, :]] = -np.inf
-        row, col = pick(s)
-        return pd.DataFrame({"id": ids[row], "other": others[col], "score": s[row, col]})
+        ids, others, vectors = a["id"].to_numpy(), b["id"].to_numpy(), np.vstack(b["v"].to_numpy()).T
+        found = []
+        for lo in range(0, len(a), SLICE):
+            mine = ids[lo : lo + SLICE]
+            s = np.vstack(a["v"].iloc[lo : lo + SLICE].to_numpy()) @ vectors
+            s[mine[:, None] == others[None, :]] = -np.inf
+            row, col = pick(s)
+            found.append(pd.DataFrame({"id": mine[row], "other": others[col], "score": s[row, col]}))
+        return pd.concat(found, ignore_index=True)
 
     at = ["cell", "s", "g"]
     left = queries.select(*at, "id", "v").groupBy(*at)

@@ -70,3 +70,21 @@ def test_a_burst_without_spread_has_no_kurtosis(spark):
     assert got[1] == (7 / 32768, None, 1.0) and got[2] == (5 / 32768, None, 1.0) and got[4] == (0.0, None, None)
     d = np.array([1, 3, 3, 9]) - 4
     np.testing.assert_allclose(got[3], (5 / 32768, (d**4).mean() / (d**2).mean() ** 2, 9 / 5))
+
+
+def test_vectors_leave_a_task_in_bounded_pieces(spark, monkeypatch):
+    for name, value in (("CHUNK", 40), ("SLICE", 16), ("VISITS", 32)):
+        monkeypatch.setattr(similarity, name, value)
+    v = np.random.default_rng(6).normal(size=(400, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    items = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(v)], "id long, v array<double>")
+    s = v @ v.T
+    got = {(r["id"], r["other"]) for r in similarity.similar_pairs(items, 0.6).collect()}
+    assert got == {(a, b) for a, b in zip(*np.nonzero(s >= 0.6)) if a < b}
+    np.fill_diagonal(s, -1)
+    top = {(r["id"], r["rank"]): r["other"] for r in similarity.top_matches(items, 2).collect()}
+    best = np.argsort(-s, axis=1)
+    assert top == {(a, k + 1): best[a, k] for a in range(400) for k in range(2)}
+    cells = [{"cell": c, "radius": 2.0} for c in range(8)]
+    pieces = list(similarity._visits(pd.DataFrame({"id": range(400), "v": list(v)}), v[:8], cells, similarity._FixedReach(2.0)))
+    assert max(map(len, pieces)) <= 32 and sum(map(len, pieces)) == 8 * 400
