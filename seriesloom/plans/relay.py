@@ -46,10 +46,13 @@ def run_rule(
     """Apply ``rule`` along every series; ``close(state)`` may emit rows at the end of a series.
 
     ``final`` is a state the rule never leaves: it passes to all later blocks in one round. With
-    ``serial`` a block waits for the one before it, for rules that never forget their entry state.
+    ``serial`` a series goes through one task, an Arrow batch at a time, for rules that never forget
+    their entry state and can be cut after any row.
     """
+    if serial:
+        return _in_turn(series, rule, emits, close)
     if series.block:
-        return _run_blocks(series, rule, emits, close, final, serial)
+        return _run_blocks(series, rule, emits, close, final)
     keys = list(series.keys)
     schema = T.StructType([series.df.schema[k] for k in keys] + list(emits.schema))
 
@@ -65,10 +68,9 @@ def run_rule(
     return series.df.groupBy(*keys).applyInPandas(whole, schema)
 
 
-def _run_blocks(series, rule, emits, close, final, serial):
-    # Equal blocks by row number bound what a task holds; serial rules take the largest allowed.
-    size = block_rows(series.df.sparkSession)
-    series = series.reblocked(size if serial else min(size, RULE_BLOCK))
+def _run_blocks(series, rule, emits, close, final):
+    # Equal blocks by row number bound what a task holds.
+    series = series.reblocked(min(block_rows(series.df.sparkSession), RULE_BLOCK))
     keys, cell = list(series.keys), series._cell
     rows = series._settle().df
     result = T.StructType(
@@ -91,9 +93,6 @@ def _run_blocks(series, rule, emits, close, final, serial):
         return pd.DataFrame(row)[result.fieldNames()]
 
     start = rows.withColumn("entry", F.lit(None).cast("string"))
-    if serial:
-        done = _in_turn(rows, start, keys, cell, one_block, result)
-        return _finish(done, series, keys, emits, close)
     done = checkpointed(start.groupBy(*cell).applyInPandas(one_block, result))
     along = Window.partitionBy(*keys).orderBy(series.block)
     due_state = F.lag("leave").over(along)
@@ -111,24 +110,29 @@ def _run_blocks(series, rule, emits, close, final, serial):
     return _finish(done, series, keys, emits, close)
 
 
-def _in_turn(rows, start, keys, cell, one_block, result):
-    """Blocks one after the other, all series side by side."""
-    block = cell[-1]
-    order = F.row_number().over(Window.partitionBy(*keys).orderBy(block))
-    turns = checkpointed(rows.select(*cell).distinct().withColumn("turn", order))
-    last = turns.agg(F.max("turn")).first()[0] or 0
-    first = start.join(turns.filter("turn = 1").select(*cell), cell, "left_semi")
-    step = checkpointed(first.groupBy(*cell).applyInPandas(one_block, result))
-    parts = [step]
-    for turn in range(2, last + 1):
-        entry = step.select(*keys, F.col("leave").alias("entry"))
-        now = turns.filter(F.col("turn") == turn).select(*cell).join(entry, keys)
-        step = checkpointed(rows.join(now, cell).groupBy(*cell).applyInPandas(one_block, result))
-        parts.append(step)
-    done = parts[0]
-    for part in parts[1:]:
-        done = done.unionByName(part)
-    return done
+def _in_turn(series, rule, emits, close):
+    """Sorted series as a stream of batches, the state handed on; a batch is all that Python holds."""
+    keys = list(series.keys)
+    schema = T.StructType([series.df.schema[k] for k in keys] + list(emits.schema))
+    rows = series.df.repartition(*keys).sortWithinPartitions(*keys, "n")
+
+    def keyed(out: pd.DataFrame, key: tuple) -> pd.DataFrame:
+        return out.assign(**dict(zip(keys, key)))[schema.fieldNames()]
+
+    def each(batches):
+        last = state = None
+        for pdf in batches:
+            for key, part in pdf.groupby(keys, sort=False, dropna=False):
+                if repr(key) != repr(last):
+                    if last is not None and close is not None:
+                        yield keyed(close(state), last)
+                    last, state = key, None
+                out, state = rule(part.reset_index(drop=True), state)
+                yield keyed(out, key)
+        if last is not None and close is not None:
+            yield keyed(close(state), last)
+
+    return rows.mapInPandas(each, schema)
 
 
 def _finish(done, series, keys, emits, close):

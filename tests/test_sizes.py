@@ -88,3 +88,21 @@ def test_vectors_leave_a_task_in_bounded_pieces(spark, monkeypatch):
     cells = [{"cell": c, "radius": 2.0} for c in range(8)]
     pieces = list(similarity._visits(pd.DataFrame({"id": range(400), "v": list(v)}), v[:8], cells, similarity._FixedReach(2.0)))
     assert max(map(len, pieces)) <= 32 and sum(map(len, pieces)) == 8 * 400
+
+
+def test_a_chain_goes_through_its_task_by_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        rows = spark.createDataFrame([(k, n) for k in range(3) for n in range(170 * k + 1)], "k long, n long")
+        emits = relay.Emits(T.StructType.fromDDL("total long, held long"))
+
+        def rule(pdf, state):
+            total = pdf["n"].cumsum() + (state[0] if state else 0)
+            return pd.DataFrame({"total": total, "held": len(pdf)}), [int(total.iloc[-1])]
+
+        close = lambda state: pd.DataFrame({"total": [-state[0]], "held": [0]})
+        got = relay.run_rule(dense_series(rows, ["k"]), rule, emits, close, serial=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(k, t) for k in range(3) for t in [*np.cumsum(range(170 * k + 1)), -sum(range(170 * k + 1))]]
+    assert sorted((r["k"], r["total"]) for r in got) == sorted(want) and max(r["held"] for r in got) <= 50
