@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from seriesloom.schema import RECORDINGS, SAMPLES
@@ -198,9 +198,10 @@ class PcmReader(DataSourceReader):
         return pa.RecordBatch.from_arrays(columns, SAMPLES.fieldNames())
 
 
-class PcmWriter(DataSourceWriter):
-    """One file for each series: rows of a task come by series, start and channel. A file gets its name when it is whole,
-    so a task that is lost, repeated or run twice leaves the same files."""
+class PcmWriter(DataSourceArrowWriter):
+    """One file for each series: rows of a task come by series, start and channel, as Arrow batches whose samples are never
+    turned into Python numbers. A file gets its name when it is whole, so a task that is lost, repeated or run twice leaves
+    the same files."""
 
     def __init__(self, options: dict[str, str], names: list[str]) -> None:
         self.folder, self.names = options["path"], names
@@ -208,7 +209,7 @@ class PcmWriter(DataSourceWriter):
         if self.bits not in (8, 16, 24, 32):
             raise ValueError("samples have 8, 16, 24 or 32 bits")
 
-    def write(self, iterator: Iterator) -> WriterCommitMessage:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         system, base = file_system(self.folder)
         series, f, part, path, held, at = None, None, "", "", [], 0
 
@@ -231,8 +232,7 @@ class PcmWriter(DataSourceWriter):
                 f.close()
                 system.move(part, path)
 
-        for row in iterator:
-            row = row.asDict()
+        for row, x in (pair for batch in iterator for pair in self.chunks(batch)):
             if row["series_id"] != series:
                 close()
                 series, channels, frames, at, held = row["series_id"], row["channels"], row["frames"], 0, []
@@ -247,12 +247,17 @@ class PcmWriter(DataSourceWriter):
                 flush()
             if row["start"] != at or row["channel"] != len(held):
                 raise ValueError(f"{series} has gaps or repeated rows at frame {row['start']}")
-            held.append(np.asarray(row["x"], np.int64))
+            held.append(x)
         close()
         return WriterCommitMessage()
 
-    def abort(self, messages: list) -> None:
-        """Parts of lost tasks stay under names that the reader doesn't take."""
+    def chunks(self, batch: pa.RecordBatch) -> Iterator[tuple[dict, np.ndarray]]:
+        """The rows of a batch without their samples, and the samples of each."""
+        for row, x in zip(batch.drop_columns(["x"]).to_pylist(), batch["x"]):
+            if x.values is None or x.values.null_count:
+                raise ValueError(f"{row['series_id']} has missing samples")
+            # A copy, so that what is held of a batch doesn't keep all of it.
+            yield row, np.array(x.values.cast(pa.int64()))
 
 
 class PcmSource(DataSource):

@@ -106,3 +106,25 @@ def test_a_chain_goes_through_its_task_by_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = [(k, t) for k in range(3) for t in [*np.cumsum(range(170 * k + 1)), -sum(range(170 * k + 1))]]
     assert sorted((r["k"], r["total"]) for r in got) == sorted(want) and max(r["held"] for r in got) <= 50
+
+
+def test_recordings_are_written_from_arrow_batches(tmp_path):
+    """A writer that takes rows makes a Python number of every sample of a batch, nine times its bytes."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from seriesloom.sources.pcm import PcmWriter
+
+    frames = 1 << 20
+    names, types = ["series_id", "channel", "chunk", "start", "x", "channels", "frames"], ["string", "int32", "int32", "int64", None, "int32", "int64"]
+    samples = np.arange(frames, dtype=np.int32) % 30_000
+    x = pa.ListArray.from_arrays(pa.array(np.arange(17, dtype=np.int32) * 65_536), pa.array(samples))
+    at = np.arange(16)
+    columns = [["one"] * 16, [0] * 16, at, at * 65_536, None, [1] * 16, [frames] * 16]
+    arrays = [x if t is None else pa.array(c, pa.type_for_alias(t)) for c, t in zip(columns, types)]
+    tracemalloc.start()
+    PcmWriter({"path": str(tmp_path), "sr": "8000", "bits": "16"}, names).write(iter([pa.RecordBatch.from_arrays(arrays, names)]))
+    assert tracemalloc.get_traced_memory()[1] < 4 * frames
+    tracemalloc.stop()
+    assert (tmp_path / "one.wav").read_bytes()[44:] == samples.astype("<i2").tobytes()
