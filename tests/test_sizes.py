@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesloom.operators import aggregates, health, keyframes, similarity
+from seriesloom.operators import aggregates, features, health, keyframes, similarity
 from seriesloom.plans import relay
 from seriesloom.plans.series import dense_series
 from seriesloom.streaming import ingest, manifest, settled
@@ -128,3 +128,10 @@ def test_recordings_are_written_from_arrow_batches(tmp_path):
     assert tracemalloc.get_traced_memory()[1] < 4 * frames
     tracemalloc.stop()
     assert (tmp_path / "one.wav").read_bytes()[44:] == samples.astype("<i2").tobytes()
+
+
+def test_bursts_are_stacked_in_bounded_pieces():
+    pdf = pd.DataFrame({"x": list(np.arange(2000 * 512).reshape(2000, 512)), "sr": 64.0})
+    found = list(features.stacks(pdf))
+    assert max(x.size for _, x, _ in found) <= features.STACK
+    assert (np.concatenate([x for _, x, _ in found]) == np.stack(pdf["x"])).all()
