@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seriesloom.operators.features import pieces
 from seriesloom.plans.selection import exact_median
 from seriesloom.plans.series import Series, index_series
 from seriesloom.session import block_rows, checkpointed
@@ -263,7 +264,7 @@ def aligned_residuals(pairs: DataFrame, keys: list[str], limit: int) -> DataFram
     """Adds ``lag, gain, rms_ratio`` to pairs of integer bars ``x`` (bar) and ``y`` (match).
 
     The lag is that of the highest correlation, the gain the least-squares one, clipped to +-2 and kept
-    to 12 bits, so the prediction stays an integer. Pairs of equal lengths are handled as one stack.
+    to 12 bits, so the prediction stays an integer. Pairs of equal lengths are handled as stacks of bounded size.
     """
     fields = [T.StructField("lag", T.LongType()), T.StructField("gain", T.LongType()), T.StructField("rms_ratio", T.DoubleType())]
     schema = T.StructType([pairs.schema[k] for k in keys] + fields)
@@ -288,9 +289,11 @@ def aligned_residuals(pairs: DataFrame, keys: list[str], limit: int) -> DataFram
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sizes = [pdf["x"].map(len), pdf["y"].map(len)]
-            for _, part in pdf.groupby(sizes, sort=False):
-                found = stack(*(np.stack(part[c].to_numpy()).astype(np.int64) for c in ("x", "y")))
-                yield part[keys].assign(**found)[schema.fieldNames()]
+            for (width, other), rows in pdf.groupby(sizes, sort=False):
+                # Every sample of a bar meets all lags.
+                for part in pieces(rows, max(width, other) * (2 * limit + 1)):
+                    found = stack(*(np.stack(part[c].to_numpy()).astype(np.int64) for c in ("x", "y")))
+                    yield part[keys].assign(**found)[schema.fieldNames()]
 
     return pairs.select(*keys, "x", "y").mapInPandas(each, schema)
 

@@ -135,3 +135,9 @@ def test_bursts_are_stacked_in_bounded_pieces():
     found = list(features.stacks(pdf))
     assert max(x.size for _, x, _ in found) <= features.STACK
     assert (np.concatenate([x for _, x, _ in found]) == np.stack(pdf["x"])).all()
+
+
+def test_bars_meet_their_lags_in_bounded_pieces():
+    """A bar of 64 samples against 33 lags: a batch of 10,000 bars was 169 MB for each copy of it."""
+    parts = list(features.pieces(pd.DataFrame({"x": range(10_000)}), 64 * 33))
+    assert max(map(len, parts)) * 64 * 33 <= features.STACK and sum(map(len, parts)) == 10_000
