@@ -141,3 +141,15 @@ def test_bars_meet_their_lags_in_bounded_pieces():
     """A bar of 64 samples against 33 lags: a batch of 10,000 bars was 169 MB for each copy of it."""
     parts = list(features.pieces(pd.DataFrame({"x": range(10_000)}), 64 * 33))
     assert max(map(len, parts)) * 64 * 33 <= features.STACK and sum(map(len, parts)) == 10_000
+
+
+def test_rice_bits_of_all_revolutions_come_at_once():
+    rng = np.random.default_rng(5)
+    values, cuts = rng.integers(-40_000, 40_000, 3000) // rng.integers(1, 3000, 3000), np.array([0, 1, 300, 812, 1068, 3000])
+
+    def block(part):
+        u = [2 * v if v >= 0 else -2 * v - 1 for v in part.tolist()]
+        return 5 + min(sum(50 if v >> k >= 32 else (v >> k) + 1 + k for v in u) for k in range(17))
+
+    plain = [sum(block(values[at : min(at + 256, hi)]) for at in range(lo, hi, 256)) for lo, hi in zip(cuts[:-1], cuts[1:])]
+    assert health._rice_bits(values, cuts).tolist() == plain
