@@ -223,8 +223,8 @@ def _linked(docs: DataFrame, width: int, percent: int, rare: int) -> DataFrame:
     demand. That count decides most pairs: it is a lower bound of the overlap, and the upper one adds the frequent
     tokens of the poorer side; pairs between the bounds are verified by their whole sets. Sets that are frequent in
     four fifths of their tokens, i.e. members of large groups of copies, first meet the first set of their lists; who
-    isn't connected by that meets the others by prefixes of the tokens that several components share, with at most
-    one side of a pair from the largest component of a list. Posting lists never give all their pairs unless they are short.
+    isn't connected by that meets the others in families of lists, made of prefixes of the tokens that several components
+    share; a task compares whole sets and gives links only. Posting lists never give all their pairs unless they are short.
 
     Repeated rows and rows that share an id are documents of their own, linked if their texts are; a null id is never
     the component's id unless there is no other. Other columns are not read. An empty table gives no rows.
@@ -253,8 +253,7 @@ def _linked(docs: DataFrame, width: int, percent: int, rare: int) -> DataFrame:
     links = stored(_verified(rest, tokens, percent).unionByName(roots.select(F.col("node").alias("x"), F.col("root").alias("y"))), "links")
     roots = stored(components(links, "x", "y"), "roots")
     dense = sized.where("spare <= 0").join(tokens, "set_id").select("set_id", "n", "tokens").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-    combined = _frequent_pairs(dense.withColumn("root", F.coalesce("root", "set_id")), percent, ranges)
-    more = stored(_verified(combined, tokens, percent), "combinations")
+    more = stored(_frequent_links(dense.withColumn("root", F.coalesce("root", "set_id")), percent, ranges), "family-links")
     if not more.isEmpty():
         roots = components(links.unionByName(more), "x", "y")
     member = sized.join(roots, sized["set_id"] == roots["node"], "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
@@ -265,7 +264,7 @@ def _linked(docs: DataFrame, width: int, percent: int, rare: int) -> DataFrame:
     return linked.unionByName(empty)
 
 
-BITS = 512  # of the parity map of a set
+BITS = 1024  # of the parity map of a set
 
 
 def _parity(tokens: np.ndarray) -> bytes:
@@ -274,50 +273,70 @@ def _parity(tokens: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _close_pairs(percent: int) -> Callable[[pa.Table], pa.Table]:
-    """Pairs of a list from different components, one of them not the list's largest, whose sizes and parity maps allow
-    a link: sets differ in at least as many tokens as their maps differ in bits."""
+TILE = 2048  # sets of a family that are compared with as many others in one task
+
+
+def _shared_counts(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all sets as small numbers, one set after the other, and where each set starts."""
+    starts = np.cumsum([0, *map(len, tokens)])
+    return np.unique(np.concatenate(tokens), return_inverse=True)[1], starts
+
+
+def _tile_links(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Links between sets of different components that meet in a tile, at most one for two components that they join.
+
+    A tile holds one chunk of a family, or two of which the first meets the second. Sets differ in at least as many
+    tokens as their parity maps differ in bits; who passes that is compared by whole sets.
+    """
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        key, ids, n, root = (table[c].to_numpy() for c in ("key", "set_id", "n", "root"))
-        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(key), -1)
-        order = np.lexsort((ids, root, key))
-        key, ids, n, root, bits = key[order], ids[order], n[order], root[order], bits[order]
-        edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        found = [np.zeros((0, 2), np.int64)]
+        place = [table[c].to_numpy() for c in ("chunk", "high", "low", "family")]
+        order = np.lexsort(place)
+        family, low, high, chunk = (c[order] for c in reversed(place))
+        ids, n, root = (table[c].to_numpy()[order] for c in ("set_id", "n", "root"))
+        edges = np.flatnonzero(np.concatenate([[True], (np.diff(family) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0), [True]]))
+        links = []
         for a, b in zip(edges[:-1], edges[1:]):
-            if root[a] == root[b - 1]:
+            group = root[a:b].copy()
+            if (group == group[0]).all():
                 continue
-            starts = np.flatnonzero(np.concatenate([[True], root[a + 1 : b] != root[a : b - 1]])) + a
-            sizes = np.diff(np.append(starts, b))
-            largest = root[starts[sizes.argmax()]]
-            for i in range(a, b):
-                if root[i] == largest:
+            tokens = [unpack48(table["tokens"][int(i)].as_py()) for i in order[a:b]]
+            number, starts = _shared_counts(tokens)
+            bits = np.stack([np.frombuffer(_parity(t), np.uint64) for t in tokens])
+            own, size = n[a:b], np.diff(starts)
+            second = np.searchsorted(chunk[a:b], high[a]) if low[a] < high[a] else 0
+            held = np.zeros(number.max() + 1, bool)
+            for i in range(second or b - a):
+                later = slice(second or i + 1, None)
+                near = np.bitwise_count(bits[later] ^ bits[i]).sum(1) <= (100 - percent) * (own[later] + own[i]) // (100 + percent)
+                near &= (group[later] != group[i]) & (100 * np.minimum(own[later], own[i]) >= percent * np.maximum(own[later], own[i]))
+                at = np.flatnonzero(near) + later.start
+                if not len(at):
                     continue
-                # Against the largest component, and against later sets of the other ones.
-                most = (100 - percent) * (n[a:b] + n[i]) // (100 + percent)
-                near = np.bitwise_count(bits[a:b] ^ bits[i]).sum(1) <= most
-                near &= (root[a:b] != root[i]) & ((root[a:b] == largest) | (ids[a:b] > ids[i]))
-                near &= 100 * np.minimum(n[a:b], n[i]) >= percent * np.maximum(n[a:b], n[i])
-                at = np.flatnonzero(near) + a
-                if len(at):
-                    found.append(np.stack([np.full(len(at), i), at], 1))
-        at = np.concatenate(found)
-        x, y = np.minimum(ids[at[:, 0]], ids[at[:, 1]]), np.maximum(ids[at[:, 0]], ids[at[:, 1]])
-        pairs = np.unique(np.stack([x, y], 1), axis=0)
+                held[number[starts[i] : starts[i + 1]]] = True
+                ends = np.cumsum(size[at])
+                where = np.repeat(starts[at] - ends + size[at], size[at]) + np.arange(ends[-1])
+                common = np.add.reduceat(held[number[where]], ends - size[at], dtype=np.int64)
+                held[number[starts[i] : starts[i + 1]]] = False
+                for j in at[100 * common >= percent * (own[at] + own[i] - common)]:
+                    if group[j] != group[i]:
+                        links.append((ids[a + i], ids[a + j]))
+                        group[group == group[j]] = group[i]
+        pairs = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"x": pairs[:, 0], "y": pairs[:, 1]}, schema=schema)
 
     return run
 
 
-def _frequent_pairs(dense: DataFrame, percent: int, ranges: int) -> DataFrame:
-    """(x, y): pairs of dense sets (set_id, n, tokens, root) in different components that may link.
+def _frequent_links(dense: DataFrame, percent: int, ranges: int) -> DataFrame:
+    """(x, y): links that join the components of dense sets (set_id, n, tokens, root).
 
     Sets of two components share only tokens that occur in several components; a set with too few of these is linked
     with nobody outside. The others are ordered rarest first and indexed by the prefix of which a partner must have a
-    token; a list within one component, the usual case, gives nothing, and of the other lists only pairs with an end
-    outside the largest component are looked at, most of which a bit map of 64 bytes per set rules out.
+    token. The lists with the same smallest set are one family, in which a set is once however many tokens it shares;
+    nearly all lists of a group of copies are in few families. Large families are compared in tiles. Sets of a family
+    that are no copies of each other are compared in pairs, but only links between components leave a task.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,19 +348,21 @@ def _frequent_pairs(dense: DataFrame, percent: int, ranges: int) -> DataFrame:
                 others = [part.column(c).take(refs) for c in ("set_id", "n", "root")]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *others], ["key", "set_id", "n", "root"])
 
-    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = [_parity(unpack48(t)) for t in batch.column("tokens").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array(bits, pa.binary())], ["set_id", "bits"])
-
     rows = dense.select("set_id", "n", "tokens", "root").mapInArrow(deal, "key long, set_id long, n long, root long")
-    several = lambda r: r.groupBy("key").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "df")
+    several = lambda r, *more: r.groupBy("key").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high"), *more).where("low <> high")
     need = F.ceil(F.col("n") * percent / 100)
-    rows = rows.join(several(rows), "key")
+    rows = rows.join(several(rows).select("key", "df"), "key")
     shared = rows.groupBy("set_id").agg(F.count("*").alias("m"), F.first("n").alias("n")).where(F.col("m") >= need).select("set_id", "m")
     rank = F.row_number().over(Window.partitionBy("set_id").orderBy("df", "key"))
     rows = rows.join(shared, "set_id").withColumn("at", rank).where(F.col("at") <= F.col("m") - need + 1).select("key", "set_id", "n", "root")
     rows = stored(rows, "dense-prefixes")
-    rows = rows.join(several(rows).select("key"), "key").join(dense.select("set_id", "tokens").mapInArrow(maps, "set_id long, bits binary"), "set_id")
-    parts = F.pmod(F.xxhash64("key"), F.lit(4 * ranges))
-    return rows.withColumn("part", parts).groupBy("part").applyInArrow(_close_pairs(percent), "x long, y long").distinct()
+    families = several(rows, F.min("set_id").alias("family")).select("key", "family")
+    members = stored(rows.join(families, "key").select("family", "set_id").distinct(), "families")
+    chunks = members.groupBy("family").agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
+    members = members.join(chunks, "family").withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    tiles = members.select("family", "set_id", "chunk", other)
+    tiles = tiles.select("family", "set_id", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
+    tiles = tiles.withColumn("part", F.pmod(F.xxhash64("family", "low", "high"), F.lit(4 * ranges)))
+    tiles = tiles.join(dense.select("set_id", "n", "root", "tokens"), "set_id")
+    return tiles.groupBy("part").applyInArrow(_tile_links(percent), "x long, y long")

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seriesloom.llm import debruijn, jaccard, repeats, suffix
@@ -244,3 +245,27 @@ def test_pipeline_keeps_one_of_each_component(spark):
         kept = [x for x in set(group) if x in got]
         assert len(kept) == 1 and kept[0][0] == least
     assert got <= set(rows)
+
+
+@pytest.mark.parametrize("chunks", [1, 3])
+def test_near_copies_give_links_but_not_all_their_pairs(chunks):
+    """Copies around the threshold, each a component of its own before: at most a forest leaves the task."""
+    rng, size = np.random.default_rng(2), 150
+    base, sets = np.unique(rng.integers(0, 2**48, 300)), []
+    for _ in range(size):
+        kept = base[rng.random(len(base)) < 0.9 + 0.03 * rng.random()]
+        sets.append(np.unique(np.concatenate([kept, rng.integers(0, 2**48, len(base) - len(kept))])).astype(np.uint64))
+    places = [(1, i, i % chunks, min(i % chunks, o), max(i % chunks, o), len(t), i, jaccard.pack48(t << np.uint64(16))) for i, t in enumerate(sets) for o in range(chunks)]
+    names = ["family", "set_id", "chunk", "low", "high", "n", "root", "tokens"]
+    found = jaccard._tile_links(80)(pa.table(dict(zip(names, map(list, zip(*places))))))
+    assert found.num_rows < size * chunks * (chunks + 1) // 2
+
+    def components(pairs):
+        root = np.arange(size)
+        for x, y in pairs:
+            root[root == max(root[x], root[y])] = min(root[x], root[y])
+        return root.tolist()
+
+    common = lambda x, y: len(np.intersect1d(sets[x], sets[y]))
+    linked = [(x, y) for y in range(size) for x in range(y) if 100 * (c := common(x, y)) >= 80 * (len(sets[x]) + len(sets[y]) - c)]
+    assert len(linked) > 20 and components(zip(*found.to_pydict().values())) == components(linked)
