@@ -15,7 +15,14 @@ from seriesloom.llm.text import gram_hash, prefix_hash, range_hash, slices, word
 
 _NO_ID = np.iinfo(np.int64).max  # stands for a null id in the filter of wanted documents
 RARE = 32  # a token of more sets is of the frequent class
-_FLUSH = 1 << 21  # tokens a task gathers before it deals them out
+_FLUSH = 1 << 20  # tokens a task gathers before it deals them out
+SMALL = 160  # sets of at least so many tokens are indexed by their sample only
+_SAMPLE = np.uint64(3)  # of 8 classes of tokens
+_CLASS = 32  # lowest of the three bits of a token that tell its class
+
+
+def _sampled(tokens: np.ndarray, shift: int = _CLASS) -> np.ndarray:
+    return (tokens >> np.uint64(shift) & np.uint64(7)) < _SAMPLE
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, int]]:
@@ -37,21 +44,23 @@ def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, int]]
 
 
 def _facts(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_key, n, set_id) of every document; ``text_key`` is a hash of the text."""
+    """(doc_id, text_key, n, k, set_id) of every document: ``text_key`` is a hash of the text, ``k`` the size of the
+    sample of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, ids = [0] * batch.num_rows, [None] * batch.num_rows
+            size, part, ids = [0] * batch.num_rows, [0] * batch.num_rows, [None] * batch.num_rows
             for i, tokens, whole in _sets(batch.column(2), width):
-                size[i], ids[i] = len(tokens), whole
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(ids, pa.int64())], ["doc_id", "text_key", "n", "set_id"])
+                size[i], part[i], ids[i] = len(tokens), int(_sampled(tokens).sum()), whole
+            made = [pa.array(x, pa.int64()) for x in (size, part, ids)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "text_key", "n", "k", "set_id"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return docs.mapInArrow(run, "doc_id long, text_key long, n long, set_id long")
+    return docs.mapInArrow(run, "doc_id long, text_key long, n long, k long, set_id long")
 
 
 def _index(docs: DataFrame, width: int, ranges: int) -> DataFrame:
-    """The tokens of all sets, packed by hash range."""
+    """The tokens of small sets and the samples of the others, packed by hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["part", "sets", "keys", "refs"]
@@ -74,8 +83,8 @@ def _index(docs: DataFrame, width: int, ranges: int) -> DataFrame:
             for _, tokens, whole in _sets(batch.column(0), width):
                 if whole not in seen:  # copies within a slice are one set
                     seen.add(whole)
-                    held.append((whole, tokens))
-                    total += len(tokens)
+                    held.append((whole, tokens if len(tokens) < SMALL else tokens[_sampled(tokens)]))
+                    total += len(held[-1][1])
                 if total >= _FLUSH or len(held) == 65_535:
                     yield from dealt(held)
                     held, total, seen = [], 0, set()
@@ -88,8 +97,9 @@ def _index(docs: DataFrame, width: int, ranges: int) -> DataFrame:
 _PAIR = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("c", pa.int32()), ("kind", pa.int32())])
 
 
-def _lists(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sets, start and length of each posting list of two sets or more, set numbers of the lists) of one hash range."""
+def _lists(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sets, start, length and token of each posting list of two sets or more, set numbers of the lists) of one hash
+    range."""
     keys, refs, ids = [], [], []
     for s, k, r in zip(table["sets"].to_pylist(), table["keys"].to_pylist(), table["refs"].to_pylist()):
         keys.append(unpack48(k))
@@ -109,7 +119,7 @@ def _lists(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     length = np.diff(np.append(start, len(keys)))
     sets, number = np.unique(ids, return_inverse=True)
-    return sets, start[length > 1], length[length > 1], number
+    return sets, start[length > 1], length[length > 1], keys[start[length > 1]], number
 
 
 def _counted(sets: np.ndarray, x: list[np.ndarray], y: list[np.ndarray], kind: int) -> pa.Table:
@@ -120,12 +130,14 @@ def _counted(sets: np.ndarray, x: list[np.ndarray], y: list[np.ndarray], kind: i
     return pa.table({"x": a, "y": b, "c": c.astype(np.int32), "kind": np.full(len(a), kind, np.int32)}, schema=_PAIR)
 
 
-def _pairs(rare: int) -> Callable[[pa.Table], pa.Table]:
+def _pairs(rare: int, ranges: int) -> Callable[[pa.Table], pa.Table]:
     """Single tokens of the rare class give all pairs of their short lists (kind 0). A frequent token gives each of its
-    sets a pair with the list's first set (kind 1), which is also how often a set has frequent tokens (kind 2)."""
+    sets a pair with the list's first set (kind 1), which is also how often a set has frequent tokens in its sample
+    (kind 2) and besides (kind 3)."""
+    shift = _CLASS - 16 + int(ranges).bit_length() - 1  # where the class is in a key without its range bits
 
     def run(table: pa.Table) -> pa.Table:
-        sets, start, length, number = _lists(table)
+        sets, start, length, token, number = _lists(table)
         x, y = [], []
         for size in range(2, rare + 1):
             at = start[length == size]
@@ -140,7 +152,9 @@ def _pairs(rare: int) -> Callable[[pa.Table], pa.Table]:
         if len(at):
             where = np.repeat(at - np.cumsum(size) + size, size) + np.arange(size.sum())
             member, leader = number[where], np.repeat(number[at], size)
-            out += [_counted(sets, [member], [member], 2), _counted(sets, [leader[leader != member]], [member[leader != member]], 1)]
+            inside = np.repeat(_sampled(token[long_], shift), size)
+            out += [_counted(sets, [m], [m], kind) for m, kind in ((member[inside], 2), (member[~inside], 3))]
+            out.append(_counted(sets, [leader[leader != member]], [member[leader != member]], 1))
         return pa.concat_tables(out)
 
     return run
@@ -216,41 +230,56 @@ def _linked(docs: DataFrame, width: int, percent: int, rare: int) -> DataFrame:
     A document's set is its distinct ``width``-word shingles in lower case (A-Z only); a shorter text is one shingle, a
     text without words or null is empty and linked with nothing. Sets link when 100 * intersection >= percent * union.
 
-    Equal sets are one node. A set must share all but (100 - percent) % of its tokens with a partner. In the order
-    rare tokens first, then frequent ones (in more than ``rare`` sets), any linked pair shares a token within that
-    prefix, and each token by which a prefix is extended must be shared as well. So sets with enough rare tokens
-    (nearly all) meet in the short posting lists of single rare tokens, with the count that their extended prefixes
-    demand. That count decides most pairs: it is a lower bound of the overlap, and the upper one adds the frequent
-    tokens of the poorer side; pairs between the bounds are verified by their whole sets. Sets that are frequent in
-    four fifths of their tokens, i.e. members of large groups of copies, first meet the first set of their lists; who
-    isn't connected by that meets the others in families of lists, made of prefixes of the tokens that several components
-    share; a task compares whole sets and gives links only. Posting lists never give all their pairs unless they are short.
+    Equal sets are one node. A set must share all but (100 - percent) % of its tokens with a partner. Sets of ``SMALL``
+    tokens or more are indexed by a sample, the tokens of three of eight classes of hashes, the others by all of theirs, so
+    a pair with a large set meets in both samples. Of a sample too, at most as many tokens as the whole set may have for
+    itself are missing from a partner, and what isn't missing and not frequent (in more than ``rare`` sets) is shared and rare.
+    So sets with enough rare tokens (nearly all) meet in the short posting lists of single rare tokens, as often as that
+    demands. The count is a lower bound of the overlap, and the upper one adds the frequent and the unindexed tokens of the
+    poorer side; pairs between the bounds are verified by their whole sets, first the best one of every set, then those that
+    still join two components. Sets without enough rare tokens, i.e. small samples by chance and members of large groups
+    of copies, first meet the first set of their lists; who isn't connected by that meets the others in families of lists,
+    made of prefixes of the tokens that several components share; a task compares whole sets and gives links only. Posting
+    lists never give all their pairs unless they are short.
 
     Repeated rows and rows that share an id are documents of their own, linked if their texts are; a null id is never
     the component's id unless there is no other. Other columns are not read. An empty table gives no rows.
     """
     ranges = ranges_for(docs, "text", 24)
     facts = stored(_facts(docs, width), "shingles")
-    sets = facts.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
-    lists = _index(docs, width, ranges).groupBy("part").applyInArrow(_pairs(rare), "x long, y long, c int, kind int")
+    sets = facts.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("k").alias("k"), F.min("doc_id").alias("doc_id"))
+    lists = _index(docs, width, ranges).groupBy("part").applyInArrow(_pairs(rare, ranges), "x long, y long, c int, kind int")
     counted = stored(lists.groupBy("x", "y", "kind").agg(F.sum("c").alias("c")), "pairs")
-    frequent = counted.where("kind = 2").select(F.col("x").alias("set_id"), F.col("c").alias("f"))
-    slack = (F.col("n") * (100 - percent) / 100).cast("long")  # tokens a linked set may have for itself
-    sized = sets.join(frequent, "set_id", "left").withColumn("f", F.coalesce("f", F.lit(0)))
-    sized = stored(sized.withColumn("spare", F.col("n") - F.col("f") - slack), "prefixes")
-    side = lambda k: sized.select(*[F.col(a).alias(b) for a, b in (("set_id", k), ("n", f"n{k}"), ("f", f"f{k}"), ("spare", f"s{k}"))])
-    links_if = lambda overlap: overlap * (100 + percent) >= percent * (F.col("nx") + F.col("ny"))
-    pairs = counted.where("kind < 2").groupBy("x", "y").agg(F.sum("c").alias("c"), F.sum(F.when(F.col("kind") == 0, F.col("c"))).alias("single"))
+    times = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("c"))), F.lit(0))
+    frequent = counted.where("kind > 1").groupBy(F.col("x").alias("set_id")).agg(times(2).alias("g"), (times(2) + times(3)).alias("f"))
+    own = (F.col("n") * (100 - percent) / 100).cast("long")  # tokens a linked set may have for itself
+    sized = sets.join(frequent, "set_id", "left").fillna(0, ["g", "f"])
+    sized = sized.withColumn("all", F.col("n") - F.col("f") - own).withColumn("part", F.col("k") - F.col("g") - own)
+    # Who can meet a large set needs enough rare tokens in its sample too.
+    least = F.when(F.col("n") >= SMALL, F.col("part")).when(100 * F.col("n") >= percent * SMALL, F.least("all", "part")).otherwise(F.col("all"))
+    sized = stored(sized.withColumn("spare", least), "prefixes")
+    side = lambda k: sized.select(*[F.col(c).alias(c + k if c != "set_id" else k) for c in ("set_id", "n", "k", "f", "g", "all", "part")])
+    pairs = counted.where("kind < 2").groupBy("x", "y").agg(F.sum("c").cast("long").alias("c"), times(0).alias("single"))
     fits = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
-    prefix = F.col("single") >= F.greatest(F.lit(1), F.least("sx", "sy"))
-    sure, open_ = links_if(F.col("c")), prefix & links_if(F.col("single") + F.least("fx", "fy"))
-    pairs = pairs.join(side("x"), "x").join(side("y"), "y").where(fits & (sure | F.coalesce(open_, F.lit(False))))
-    pairs = stored(pairs.select("x", "y", sure.alias("sure")), "candidates")
+    whole = F.greatest("nx", "ny") < SMALL  # both are indexed by all their tokens
+    by = lambda a, b: (F.when(whole, F.col(f"{a}x")).otherwise(F.col(f"{b}x")), F.when(whole, F.col(f"{a}y")).otherwise(F.col(f"{b}y")))
+    (ix, iy), (fx, fy) = by("n", "k"), by("f", "g")
+    links_if = lambda overlap, x, y: overlap * (100 + percent) >= percent * (x + y)
+    enough = F.col("single") >= F.greatest(F.lit(1), *by("all", "part"))
+    most = F.col("single") + F.least(fx, fy) + F.least(F.col("nx") - ix, F.col("ny") - iy)
+    sure, open_ = links_if(F.col("c"), F.col("nx"), F.col("ny")), enough & links_if(most, F.col("nx"), F.col("ny"))
+    likely = links_if(F.col("c"), ix, iy)  # what the first sets of lists are good for
+    pairs = pairs.join(side("x"), "x").join(side("y"), "y").where(fits & (sure | open_ | likely))
+    pairs = stored(pairs.select("x", "y", "c", sure.alias("sure")), "candidates")
     roots = stored(components(pairs.where("sure"), "x", "y"), "roots")
-    rest = stored(_across(pairs.where("NOT sure").select("x", "y"), roots), "open-pairs")
+    rest = stored(_across(pairs.where("NOT sure").select("x", "y", "c"), roots), "open-pairs")
     ends = rest.select(F.col("x").alias("set_id")).union(rest.select("y")).union(sized.where("spare <= 0").select("set_id")).distinct()
     tokens = stored(_tokens_of(docs, width, sized.select("set_id", "doc_id").join(ends, "set_id")), "tokens")
-    links = stored(_verified(rest, tokens, percent).unionByName(roots.select(F.col("node").alias("x"), F.col("root").alias("y"))), "links")
+    known = roots.select(F.col("node").alias("x"), F.col("root").alias("y"))
+    best = rest.groupBy("y").agg(F.max(F.struct("c", "x")).alias("best")).select("best.x", "y")
+    known = stored(_verified(best, tokens, percent).unionByName(known), "links")
+    rest = _across(rest.select("x", "y"), stored(components(known, "x", "y"), "roots"))
+    links = stored(_verified(rest, tokens, percent).unionByName(known), "links")
     roots = stored(components(links, "x", "y"), "roots")
     dense = sized.where("spare <= 0").join(tokens, "set_id").select("set_id", "n", "tokens").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     more = stored(_frequent_links(dense.withColumn("root", F.coalesce("root", "set_id")), percent, ranges), "family-links")

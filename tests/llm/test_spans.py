@@ -269,3 +269,39 @@ def test_near_copies_give_links_but_not_all_their_pairs(chunks):
     common = lambda x, y: len(np.intersect1d(sets[x], sets[y]))
     linked = [(x, y) for y in range(size) for x in range(y) if 100 * (c := common(x, y)) >= 80 * (len(sets[x]) + len(sets[y]) - c)]
     assert len(linked) > 20 and components(zip(*found.to_pydict().values())) == components(linked)
+
+
+def sampled_sets():
+    """Copies and near copies of 100 to 700 shingles, at both sides of the size from which sets are indexed by a sample,
+    alone, around a hot text and with common passages."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefgh", k=5))
+    rows, common = [], [word() for _ in range(170)]
+    for n in [100, 120, 140, 150, 158, 160, 162, 165, 180, 200, 300, 700]:
+        base = [word() for _ in range(n + 4)]
+        for edits in (0, 1, 2, 3, 4, 5, 6, 8, 12):
+            w = list(base)
+            for _ in range(edits * n // 150 + (edits > 0)):
+                w[r.randrange(len(w))] = word()
+            rows.append(w[r.randint(0, n // 8) :])
+            rows.append(w + [word() for _ in range(r.randint(0, n // 4))])
+    for i in range(60):
+        w = list(common)
+        for _ in range(r.choice([0, 1, 2, 3])):
+            w[r.randrange(len(w))] = word()
+        rows.append([word() for _ in range(r.choice([0, 0, 5, 20, 35, 60]))] + w[: r.choice([130, 155, 165, 170])])
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+@pytest.mark.parametrize("rare", [32, 4])
+def test_sets_indexed_by_a_sample(spark, rare):
+    rows = sampled_sets()
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link_components(frame(spark, rows), rare=rare).collect())
+    assert got == components(rows) and len({c for *_, c in got}) > 20
+
+
+def test_large_sets_travel_by_their_sample(spark):
+    r = random.Random(6)
+    rows = [(i, " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(2004))) for i in range(20)]
+    sent = jaccard._index(frame(spark, rows), 5, 8).selectExpr("sum(length(keys)) / 6 AS n").first()["n"]
+    assert 0.34 < sent / 40_000 < 0.41
