@@ -101,40 +101,49 @@ class SeriesWalk(StatefulProcessor):
     def _named(self, key: tuple, parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [p for p in parts if len(p)]
         if parts:
-            pdf = pd.concat(parts, ignore_index=True)
-            for at, (name, value) in enumerate(zip(self.keys, key)):
-                pdf.insert(at, name, value)
-            yield pdf[[*self.keys, *self.emits.fieldNames()]]
+            pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+            yield pd.DataFrame({**dict(zip(self.keys, key)), **{name: pdf[name].array for name in self.emits.fieldNames()}})
 
-    def _ended(self, parts: list[pd.DataFrame]) -> list[pd.DataFrame]:
-        state = self._recall()
+    def _ended(self, parts: list[pd.DataFrame], state: list | None) -> list[pd.DataFrame]:
         if self.close_series:
             parts.append(self.close_series(state))
-        self._forget()
         return parts
 
     # -- rows and timers ----------------------------------------------------------------------
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        come = pd.concat(list(rows), ignore_index=True)
-        nxt, ended, newest, due = self.place.get() if self.place.exists() else (self.first, False, None, None)
+        # Every look at the state is a call to the JVM, so a series that begins and ends here makes two.
+        come = list(rows)
+        come = pd.concat(come, ignore_index=True) if len(come) > 1 else come[0]
+        known = self.place.exists()
+        nxt, ended, newest, due = self.place.get() if known else (self.first, False, None, None)
         if ended:
             return  # a replay
-        ends = bool(come["closing"].astype(bool).any())
+        closing = come["closing"].astype(bool).to_numpy()
+        ends = bool(closing.any())
         last = int(self._ms(come[self.event_time]).max()) if self.event_time else None
-        come = come[~come["closing"].astype(bool) & (come["n"] >= nxt)]
-        old = self._waiting_rows()
-        come = come[["n", *self.held.fieldNames()]]
-        come = pd.concat([f for f in (old, come) if len(f)], ignore_index=True) if len(old) or len(come) else come
-        come = come.drop_duplicates("n").sort_values("n", ignore_index=True)
-        ready = len(come) if ends else int((come["n"] == nxt + np.arange(len(come))).cumprod().sum())
-        parts, nxt = self._settle(come, ready, nxt, set(old["n"]))
+        new = ~closing & (come["n"] >= nxt).to_numpy(dtype=bool)
+        count = int(new.sum())
+        come = come.iloc[:count] if new[:count].all() else come[new]
+        held: set = set()
+        if known and len(old := self._waiting_rows()):
+            held = set(old["n"])
+            come = pd.concat([old, come[list(old)]] if len(come) else [old], ignore_index=True)
+        if (np.diff(come["n"].to_numpy()) <= 0).any():
+            come = come.drop_duplicates("n").sort_values("n", ignore_index=True)
+        ready = len(come) if ends else int(np.logical_and.accumulate(come["n"].to_numpy() == nxt + np.arange(len(come))).sum())
+        state = self._recall() if known and (ready or ends) else None
+        parts, nxt, state = self._settle(come, ready, nxt, state)
         if ends:
-            parts = self._ended(parts)
+            parts = self._ended(parts, state)
+            if known:
+                self._forget()
             self.place.update((nxt, True, last, last))
             if self.event_time:
                 self.handle.registerTimer(last + 1)
         else:
-            self._wait(come.iloc[ready:], set(old["n"]))
+            self._settled(come, ready, held, state)
+            if ready < len(come):
+                self._wait(come[["n", *self.held.fieldNames()]].iloc[ready:], held)
             newest = last if newest is None else max(newest, last or newest)
             if self.patience is not None and due != newest + self.patience:
                 if due is not None:
@@ -144,15 +153,18 @@ class SeriesWalk(StatefulProcessor):
             self.place.update((nxt, False, newest, due))
         yield from self._named(key, parts)
 
-    def _settle(self, come: pd.DataFrame, ready: int, nxt: int, held: set) -> tuple[list[pd.DataFrame], int]:
+    def _settle(self, come: pd.DataFrame, ready: int, nxt: int, state: list | None) -> tuple[list[pd.DataFrame], int, list | None]:
         if not ready:
-            return [], nxt
-        state, out = self.walk(self._recall(), come.iloc[:ready])
-        if state is not None:
+            return [], nxt, state
+        after, out = self.walk(state, come.iloc[:ready] if ready < len(come) else come)
+        return [out], int(come["n"].iloc[ready - 1]) + 1, state if after is None else after
+
+    def _settled(self, come: pd.DataFrame, ready: int, held: set, state: list | None) -> None:
+        """Keep what a series that goes on needs of its settled rows."""
+        if ready and state is not None:
             self._remember(state)
         for n in held.intersection(come["n"].iloc[:ready]):
             self.waiting.removeKey((int(n),))
-        return [out], int(come["n"].iloc[ready - 1]) + 1
 
     def _wait(self, rest: pd.DataFrame, held: set) -> None:
         new = rest[~rest["n"].isin(held)]
@@ -174,15 +186,19 @@ class SeriesWalk(StatefulProcessor):
         over = self.patience is not None and newest + self.patience <= now
         rows = self._waiting_rows().sort_values("n", ignore_index=True)
         parts: list[pd.DataFrame] = []
+        state = self._recall() if len(rows) or over else None
         if len(rows):
             # What should have come before a row whose time is over can't come any more.
             past = np.flatnonzero(self._ms(rows[self.event_time]) < now)
             ready = len(rows) if over else int(past[-1]) + 1 if len(past) else 0
             while ready < len(rows) and ready and rows["n"].iloc[ready] == rows["n"].iloc[ready - 1] + 1:
                 ready += 1
-            parts, nxt = self._settle(rows, ready, nxt, set(rows["n"]))
+            parts, nxt, state = self._settle(rows, ready, nxt, state)
+            if not over:
+                self._settled(rows, ready, set(rows["n"]), state)
         if over:
-            parts = self._ended(parts)
+            parts = self._ended(parts, state)
+            self._forget()
         else:
             self.place.update((nxt, False, newest, due))
         yield from self._named(key, parts)

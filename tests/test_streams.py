@@ -145,3 +145,31 @@ def test_streams_that_end_give_all_frames_and_sessions(spark, tmp_path):
     for name, build in (("frames", lambda e: frames.sliding_frames(e, "6 hours", "3 hours", "3 days")), ("sessions", lambda e: frames.sessions(e, "4 hours", "3 days"))):
         got = stateful.run_available(build(events()), f"{tmp_path}/{name}")
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, build(batch).collect()))
+
+
+class _Counted:
+    """A state that is empty and counts how often it is asked or changed."""
+
+    def __init__(self, calls):
+        self.calls = calls
+
+    def __getattr__(self, name):
+        return lambda *args: self.calls.append(name)
+
+
+@pytest.mark.parametrize("order", [[0, 1, 2, 3], [3, 1, 0, 2]])
+def test_a_series_within_one_batch_asks_the_state_once(order):
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from seriesloom.streaming import stateful
+
+    rows = T.StructType([T.StructField("k", T.LongType()), T.StructField("n", T.LongType()), T.StructField("z", T.DoubleType()), T.StructField("closing", T.BooleanType())])
+    walk = stateful.SeriesWalk(["k"], rows, stateful.WALK, stateful.WALK_CARRY, stateful.cusum_walk(1.0, 0.0), None, 0, None, None, None)
+    calls = []
+    walk.place = walk.state = walk.waiting = _Counted(calls)
+    pdf = pd.DataFrame({"k": 7, "n": [0, 1, 2, 3], "z": [0.5, 0.5, -2.0, np.nan], "closing": [False, False, False, True]}).iloc[order].reset_index(drop=True)
+    (out,) = walk.handleInputRows((7,), iter([pdf]), None)
+    assert out.to_dict("list") == {"k": [7] * 3, "n": [0, 1, 2], "s": [0.5, 1.0, 0.0], "w": [0.5, 1.0, 0.0], "alarm": [False, True, False]}
+    assert calls == ["exists", "update"]
