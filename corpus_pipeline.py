@@ -49,7 +49,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text; a null or empty text has no ids. Rows stay as
     they are, repeated ones and null ids too."""
-    vocabulary = tokens.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    vocabulary = tokens.share(spark, tokens.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
     out = tokens.decode(tokens.encode(docs.select("doc_id", "source", "text"), vocabulary), vocabulary)
     exact = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return out.select("doc_id", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", exact.alias("exact"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from seriesloom.llm.text import LOWER, slices, spaces, words
+from seriesloom.llm.text import LOWER, SLICE, slices, spaces, words
 
 TABLE = 1 << 16  # cells of the gram table of one language
 MAX_LANGUAGES = 1000
@@ -115,6 +115,29 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     return Model(names, logs.astype("float32"), scripts >= LEAST_SHARE * np.maximum(1, scripts[1:].sum(0)))
 
 
+def _scores(data: np.ndarray, offsets: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score of each word in each language, first word of each document, and the letters of each word.
+
+    Bytes are scored in runs of documents of about ``SLICE`` bytes: what is held for each byte is some fifty times its
+    size, what is kept of a word little.
+    """
+    parts, n_words, lo = [], 0, 0
+    while lo < len(offsets) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE, "right")) - 1)
+        cell, starts, ends, first, kind, letters = _grams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        scores = np.empty((len(starts), len(m.langs)), np.float32)
+        for j in range(len(m.langs)):
+            total = np.zeros(len(cell) + 1)
+            np.cumsum(m.table[cell, j], out=total[1:])
+            scores[:, j] = total[ends] - total[starts]
+        scores += np.where(m.candidate[kind] | ~m.candidate[kind].any(1, keepdims=True), np.float32(0), _FAR)
+        scores[letters == 0] = 0
+        parts.append((scores, first[:-1] + n_words, letters))
+        n_words, lo = n_words + len(starts), hi
+    scores, first, letters = (np.concatenate(x) for x in zip(*parts))
+    return scores, np.append(first, n_words), letters
+
+
 def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best language of each word: the path of highest score less ``switch`` per change, for all documents at once.
 
@@ -176,16 +199,9 @@ def label(docs: DataFrame, model: Model, text: str = "text", switch: float = SWI
             for lo, hi, data, offsets in slices(batch.column(text), TOGETHER):
                 if not len(names) or not len(data):
                     continue
-                cell, starts, ends, first, kind, letters = _grams(data, offsets)
-                if not len(starts):
+                scores, first, letters = _scores(data, offsets, m)
+                if not len(scores):
                     continue
-                scores = np.empty((len(starts), len(names)), np.float32)
-                for j in range(len(names)):
-                    total = np.zeros(len(data) + 1)
-                    np.cumsum(m.table[cell, j], out=total[1:])
-                    scores[:, j] = total[ends] - total[starts]
-                scores += np.where(m.candidate[kind] | ~m.candidate[kind].any(1, keepdims=True), 0, _FAR)
-                scores[letters == 0] = 0
                 path = viterbi(scores, first, switch)
                 doc = np.repeat(np.arange(hi - lo), np.diff(first))
                 weight = np.bincount(doc * len(names) + path, np.maximum(letters, 0), (hi - lo) * len(names)).reshape(hi - lo, -1)

@@ -8,13 +8,14 @@ from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import count
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 # Letters and numbers that the regex module knows but the tokenizer's own Unicode tables (version 16) do
@@ -162,10 +163,21 @@ def load(path: str, pattern: str) -> Vocabulary:
         return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines) if a}, pattern)
 
 
-@cache
+_ENCODERS: WeakKeyDictionary[Broadcast, Encoder] = WeakKeyDictionary()
+
+
 def _encoder(shared: Broadcast) -> Encoder:
-    """One per Python worker, so that its memo outlives a task."""
-    return Encoder(shared.value)
+    """One per Python worker, so that its memo outlives a task. It goes with its vocabulary, which Spark takes from a worker
+    with the first task that doesn't use it; a worker that later stages reuse keeps none of it."""
+    if shared not in _ENCODERS:
+        _ENCODERS[shared] = Encoder(shared.value)
+    return _ENCODERS[shared]
+
+
+def share(spark: SparkSession, vocabulary: Vocabulary | Broadcast) -> Broadcast:
+    """The vocabulary for all tasks: a fixed file of some 50,000 pieces. Who encodes and decodes shares it once, as a worker
+    that turns from one to the other would else read it anew."""
+    return vocabulary if isinstance(vocabulary, Broadcast) else spark.sparkContext.broadcast(vocabulary)
 
 
 def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,12 +186,12 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, _ROWS)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary | Broadcast, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with a binary column ``ids``: the token ids of the whole text as little-endian unsigned 32-bit integers.
 
     Null and empty texts have no ids (an empty value). A column already named ``ids`` is replaced, all others stay.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a fixed file of some 50,000 pieces
+    shared = share(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
@@ -191,9 +203,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
     return kept.mapInArrow(run, StructType([*kept.schema, StructField(ids, BinaryType())]))
 
 
-def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+def decode(docs: DataFrame, vocabulary: Vocabulary | Broadcast, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``docs`` with a binary column ``decoded``: the bytes that the ids stand for; null ids give an empty value."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = share(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = shared.value.pieces.__getitem__
