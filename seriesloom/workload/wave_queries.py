@@ -128,8 +128,9 @@ predicted AS (SELECT t.l_suppkey, t.n, t.rev, t.x, a.prior * (1 - u) + b.prior *
 
 
 def _predicted(spark, sf_dir):
-    rows = _turns(spark, sf_dir).df.select("l_suppkey", "n", "x", "rev", "frac")
-    return health.phase_average(rows, ["l_suppkey"], F.lit(GRID))
+    s = _turns(spark, sf_dir)
+    rows = s.df.select("l_suppkey", "n", "x", "rev", "frac")
+    return health.phase_average(rows, ["l_suppkey"], F.lit(GRID), fits=not s.block)
 
 
 @query("w16_phase_average", f"WITH RECURSIVE {WAVES}, {TURNS}, {AVERAGE} SELECT l_suppkey, n, rev, round(pred, 4) AS pred FROM predicted")
