@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.columns import decibels
@@ -147,17 +148,25 @@ least_ AS (SELECT l_suppkey, rev, part, min(bits) AS bits FROM costs GROUP BY 1,
 coded AS (SELECT l_suppkey, rev, CAST(sum(bits) AS BIGINT) AS bits FROM least_ GROUP BY 1, 2)"""
 
 
+def _turn():
+    return Window.partitionBy("l_suppkey", "rev").orderBy("n")
+
+
 def _coded(spark, sf_dir):
+    """Samples with their residual and their place in their revolution, and whether every series fits one task."""
     s = _turns(spark, sf_dir)
     s = s.around(1, 0, d=lambda w: F.col("pcm") - F.coalesce(F.lag("pcm").over(w), F.lit(0)))
-    first = s.df.groupBy("l_suppkey", "rev").agg(F.min("n").alias("first"))
-    rows = s.df.join(first, ["l_suppkey", "rev"]).withColumn("pos", F.col("n") - F.col("first"))
-    return rows, health.rice_cost(rows, ["l_suppkey", "rev"], "pos", "d")
+    if not s.block:  # a revolution lies where its series does, so its rows need no exchange of their own
+        rows = s.df.withColumn("pos", F.row_number().over(_turn()) - 1)
+    else:
+        first = s.df.groupBy("l_suppkey", "rev").agg(F.min("n").alias("first"))
+        rows = s.df.join(first, ["l_suppkey", "rev"]).withColumn("pos", F.col("n") - F.col("first"))
+    return rows, not s.block
 
 
 @query("b5_coding_cost", f"WITH {WAVES}, {RICE} SELECT l_suppkey, rev, bits FROM coded")
 def coding_cost(spark, sf_dir):
-    return _coded(spark, sf_dir)[1]
+    return health.rice_cost(_coded(spark, sf_dir)[0], ["l_suppkey", "rev"], "pos", "d")
 
 
 REVS = RICE + f""",
@@ -169,7 +178,25 @@ revs AS (SELECT c.l_suppkey, c.rev, count(*) AS n_samples, sqrt(avg(x * x)) / 32
 def _revs(spark, sf_dir) -> Series:
     from seriesloom.plans.series import dense_series
 
-    rows, bits = _coded(spark, sf_dir)
+    rows, fits = _coded(spark, sf_dir)
+    if fits:
+        sign = F.when(F.col("x") >= 0, 1).otherwise(-1)
+        facts = {"flips": (sign != F.lag(sign).over(_turn())).cast("int"), "energy": F.col("x") * F.col("x")}
+        rows = rows.select("l_suppkey", "n", "rev", "pos", "d", *[c.alias(k) for k, c in facts.items()])
+        known = F.col("energy").isNotNull().cast("int")
+        sums = {"n_samples": F.lit(1), "known": known, **{k: F.col(k) for k in facts}}
+        revs = health.rice_cost(rows, ["l_suppkey", "rev"], "pos", "d", **sums)
+        revs = revs.select(
+            "l_suppkey",
+            F.col("rev").alias("n"),
+            "n_samples",
+            F.coalesce(F.lit(0.5) * F.col("flips") * SR / F.col("n_samples"), F.lit(0.0)).alias("zcr_hz"),
+            (F.sqrt(F.try_divide("energy", "known")) / 32768).alias("rms_fs"),
+            "bits",
+            F.lit(0.0).alias("t_h"),
+        )
+        return dense_series(revs, ["l_suppkey"], layout="plain")  # no more revolutions than samples
+    bits = health.rice_cost(rows, ["l_suppkey", "rev"], "pos", "d")
     keep = rows.select("l_suppkey", "rev", F.col("pos").alias("n"), "x")
     by_rev = dense_series(keep, ["l_suppkey", "rev"])
     rate = agg.crossing_rate(by_rev, "x", SR)

@@ -34,6 +34,6 @@ def test_a_bin_without_known_samples_keeps_its_value(spark):
 
 
 def test_revolutions_take_one_exchange(spark):
-    for name in ("w16_phase_average",):
+    for name in ("a3_steady_rate", "b4_revolution_states", "b5_coding_cost", "w16_phase_average"):
         plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and plan.count("Exchange") == 1, name
