@@ -1,5 +1,7 @@
 """Order statistics against sorting, with outliers, ties and hot groups."""
 
+from random import SystemRandom
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -42,3 +44,15 @@ def test_planning_runs_no_job(spark):
     spark.sparkContext.setJobGroup("planning", "planning")
     exact_median(df, ["k"], "x", "m")
     assert len(tracker.getJobIdsForGroup("planning")) == 0
+
+
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_ranks_do_not_depend_on_the_sketch(spark, monkeypatch, rounds):
+    """A sketch gives other splitters each time it is computed, here on purpose."""
+    real = F.percentile_approx
+    shift = F.udf(lambda cuts: sorted(c + SystemRandom().gauss(0, 0.2) for c in cuts), "array<double>").asNondeterministic()
+    monkeypatch.setattr(F, "percentile_approx", lambda *args: shift(real(*args)))
+    groups = {k: np.random.default_rng(k).normal(size=3000) for k in range(4)}
+    ranks = {"p50": F.floor(F.col("rows") * 0.5), "p98": F.floor(F.col("rows") * 0.98)}
+    got = {int(r["k"]): r for r in pick_ranks(frame(spark, groups), ["k"], "x", ranks, rounds).collect()}
+    assert {k: (r["p50"], r["p98"]) for k, r in got.items()} == {k: tuple(np.sort(v)[[1500, 2940]]) for k, v in groups.items()}
