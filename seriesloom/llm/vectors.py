@@ -15,7 +15,10 @@ CELL = 1024  # vectors that a cell is meant to hold
 TILE = 2048  # vectors of either side that one task compares
 MAX_PIVOTS = 4096  # larger tables have larger cells, which are cut into more tiles
 QUERIES_PER_CELL = 512
-_FEW = 1 << 16  # rows of an Arrow batch of vectors, times about 64 numbers
+BUNDLE = 8  # tiles of queries, and of data, that meet in one task
+SLICE = 256  # queries that are compared with a task's data at a time
+PIECE = 8192  # rows with a vector that leave a task at a time
+_AT_ONCE = 1 << 22  # distances or bounds that a task computes at a time
 
 
 def usable(v: Column) -> Column:
@@ -144,6 +147,25 @@ def _pivots(items: DataFrame, space: list[str], item: str = "class", v: str = "v
     return out
 
 
+def _bundles(asked: dict[tuple, int], pivots: dict[int, np.ndarray]) -> tuple[dict[tuple, int], list[int]]:
+    """(bundle of every cell with queries, tiles of queries of every bundle): cells of a dimension along a walk from pivot to
+    nearest pivot, at most BUNDLE tiles of queries together unless a cell alone has more."""
+    out, sizes = {}, []
+    for dim in sorted({d for d, _ in asked}):
+        p, rest = pivots[dim], np.array([c for d, c in asked if d == dim])
+        at, room = rest[0], -1
+        while len(rest):
+            at = rest[((p[rest] - p[at]) ** 2).sum(1).argmin()]
+            rest = rest[rest != at]
+            if asked[dim, at] > room:
+                sizes.append(0)
+                room = BUNDLE * TILE
+            room -= asked[dim, at]
+            sizes[-1] += asked[dim, at]
+            out[dim, int(at)] = len(sizes) - 1
+    return out, [-(-n // (BUNDLE * TILE)) for n in sizes]
+
+
 def top_k(
     vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", scale: float = 64.0, cells: int | None = None
 ) -> DataFrame:
@@ -153,8 +175,9 @@ def top_k(
     from them, Cauchy and the triangle inequality give
     a.b - Q|b| - r(|a| + Q) <= q.x <= a.b + Q|b| + r(|a| + Q).
     From summaries (each query group's Q, each data group's k + 1 smallest r, one row for each id) comes the score that
-    every query of a group is sure to reach k times; a vector is sent to the groups only whose bound it can meet. Groups are then solved
-    locally in tiles of bounded size, and a query's tiles merge by rank.
+    every query of a group is sure to reach k times; a vector is sent only where a group's bound can be met. Groups are bundled up to
+    8 tiles of queries, and a vector travels once for each bundle, not for each group. Bundles are then solved locally in tiles of bounded
+    size, and a query's tiles merge by rank.
 
     Ties go to the smaller id. A row is no candidate of its own query; rows that share an id count as the row itself.
     Query rows that repeat id and whole vector are one query, those that share only the id have an answer each.
@@ -179,13 +202,16 @@ def top_k(
         for batch in batches:
             for dim, part in batch.groupby("dim", sort=False):
                 p, x = shared.value[dim], _matrix(part["v"])
-                square = np.maximum(0, (x * x).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * x @ p.T)
-                own = square.argmin(1)
+                step = max(1, _AT_ONCE // len(p))
+                square = lambda x: np.maximum(0, (x * x).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * x @ p.T)  # noqa: B023, E731
+                own = np.concatenate([square(x[at : at + step]).argmin(1) for at in range(0, len(x), step)])
                 # Computed anew, so that rounding leaves no negative or too small distance.
                 yield part.assign(cell=own, r=np.sqrt(((x - p[own]) ** 2).sum(1)) * (1 + 1e-12))
 
     placed = stored(rows.mapInPandas(assign, "vec_id long, v array<double>, q boolean, dim int, cell int, r double"), "voronoi")
-    radius = {(x["dim"], x["cell"]): x["r"] for x in placed.where("q").groupBy("dim", "cell").agg(F.max("r").alias("r")).collect()}
+    asking = placed.where("q").groupBy("dim", "cell").agg(F.max("r").alias("r"), F.count("*").alias("n")).collect()
+    radius = {(x["dim"], x["cell"]): x["r"] for x in asking}
+    bundles, waves = _bundles({(x["dim"], x["cell"]): x["n"] for x in asking}, pivots)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = pd.DataFrame({"dim": [], "cell": [], "r": []}).astype({"dim": "int32", "cell": "int32"})
@@ -204,45 +230,61 @@ def top_k(
         big = np.array([radius[dim, c] for c in groups])
         inner, norm = p[groups] @ p.T, np.sqrt((p * p).sum(1))
         mine = smallest[smallest["dim"] == dim]
-        low = inner[:, mine["cell"]] - big[:, None] * norm[mine["cell"]][None, :] - mine["r"].to_numpy()[None, :] * (norm[groups] + big)[:, None]
-        sure = np.sort(low, 1)[:, -(k + 1)] if low.shape[1] > k else np.full(len(groups), -np.inf)
+        at, near = mine["cell"].to_numpy(int), mine["r"].to_numpy()
+        sure = np.full(len(groups), -np.inf)
+        for g in range(len(groups) if len(at) > k else 0):
+            low = inner[g, at] - big[g] * norm[at] - near * (norm[groups[g]] + big[g])
+            sure[g] = np.partition(low, -(k + 1))[-(k + 1)]
         bounds[dim] = (groups, inner + big[:, None] * norm[None, :], norm[groups] + big, sure - 1e-6 * np.maximum(1, np.abs(sure)))
     limits = spark.sparkContext.broadcast(bounds)  # MAX_PIVOTS squared numbers at most
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for dim, part in batch.groupby("dim", sort=False):
+            for dim, whole in batch.groupby("dim", sort=False):
                 groups, high, slope, sure = limits.value[dim]
-                can = high[:, part["cell"]] + part["r"].to_numpy()[None, :] * slope[:, None] >= sure[:, None]
-                g, i = np.nonzero(can)
-                yield pd.DataFrame({"dim": dim, "group": groups[g], "vec_id": part["vec_id"].to_numpy()[i], "v": part["v"].to_numpy()[i]})
-
-    d_tiles, q_tiles = int(total // (4 * TILE)) + 1, int(asked // TILE) + 1
+                if not len(groups):
+                    continue
+                bundle = np.array([bundles[dim, c] for c in groups])
+                step = max(1, _AT_ONCE // len(groups))
+                for part in (whole.iloc[at : at + step] for at in range(0, len(whole), step)):
+                    can = high[:, part["cell"]] + part["r"].to_numpy()[None, :] * slope[:, None] >= sure[:, None]
+                    for name in np.unique(bundle):
+                        i = np.flatnonzero(can[bundle == name].any(0))
+                        for at in range(0, len(i), PIECE):
+                            some = part.iloc[i[at : at + PIECE]]
+                            yield pd.DataFrame({"dim": dim, "group": name, "vec_id": some["vec_id"].to_numpy(), "v": some["v"].to_numpy()})
+
+    d_tiles = int(total // (BUNDLE * TILE)) + 1
+    at = spark.createDataFrame([(int(d), int(c), b) for (d, c), b in bundles.items()], "dim int, cell int, group int")  # at most MAX_PIVOTS for a length
+    wide = F.get(F.array(*[F.lit(n) for n in waves or [1]]), F.col("group"))
     data = placed.mapInPandas(replicate, "dim int, group int, vec_id long, v array<double>")
-    data = data.withColumns({"side": F.lit(1), "d": F.pmod(F.xxhash64("vec_id"), F.lit(d_tiles)), "t": F.explode(F.sequence(F.lit(0), F.lit(q_tiles - 1)))})
-    queries = placed.where("q").dropDuplicates(["vec_id", "v"]).withColumn("query", F.xxhash64("v"))
-    ask = queries.select("dim", F.col("cell").alias("group"), "vec_id", "v", "query").withColumn("side", F.lit(0))
-    ask = ask.withColumns({"d": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(d_tiles - 1).cast("long"))), "t": F.pmod(F.hash("vec_id"), F.lit(q_tiles))})
+    data = data.withColumns({"side": F.lit(1), "d": F.pmod(F.xxhash64("vec_id"), F.lit(d_tiles)), "t": F.explode(F.sequence(F.lit(0), wide - 1))})
+    queries = placed.where("q").dropDuplicates(["vec_id", "v"]).withColumn("query", F.xxhash64("v")).join(at, ["dim", "cell"])
+    ask = queries.select("dim", "group", "vec_id", "v", "query").withColumn("side", F.lit(0))
+    ask = ask.withColumns({"d": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(d_tiles - 1).cast("long"))), "t": F.pmod(F.hash("vec_id"), wide)})
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         a, b = group[group["side"] == 0], group[group["side"] == 1].sort_values("vec_id")
-        out = []
+        found: list[list[np.ndarray]] = [[], [], [], []]
         if len(a) and len(b):
             x, y = _matrix(a["v"]), _matrix(b["v"])
             if np.abs(x).max() * np.abs(y).max() * x.shape[1] >= 2.0**52:
                 x, y = x.astype(np.int64), y.astype(np.int64)
-            scores = (x @ y.T).astype(np.int64)
-            asked, ids = zip(a["vec_id"].to_numpy(), a["query"].to_numpy("int64")), b["vec_id"].to_numpy()
-            for (q, query), row in zip(asked, scores):
-                other = ids != q
-                mine, names = row[other], ids[other]
-                if len(mine) > k:
-                    least = np.partition(mine, -k)[-k]
-                    above = np.flatnonzero(mine > least)
-                    pick = np.concatenate([above, np.flatnonzero(mine == least)[: k - len(above)]])
-                    mine, names = mine[pick], names[pick]
-                out.append(pd.DataFrame({"query_id": q, "query": query, "vec_id": names, "score": mine}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "query": [], "vec_id": [], "score": []}).astype("int64")
+            asked, query, ids = a["vec_id"].to_numpy(), a["query"].to_numpy("int64"), b["vec_id"].to_numpy()
+            for at in range(0, len(x), SLICE):
+                scores = (x[at : at + SLICE] @ y.T).astype(np.int64)
+                for q, which, row in zip(asked[at : at + SLICE], query[at : at + SLICE], scores):
+                    other = ids != q
+                    mine, names = row[other], ids[other]
+                    if len(mine) > k:
+                        least = np.partition(mine, -k)[-k]
+                        above = np.flatnonzero(mine > least)
+                        pick = np.concatenate([above, np.flatnonzero(mine == least)[: k - len(above)]])
+                        mine, names = mine[pick], names[pick]
+                    for column, values in zip(found, (np.full(len(mine), q), np.full(len(mine), which), names, mine)):
+                        column.append(values)
+        whole = [np.concatenate(c) if c else np.zeros(0) for c in found]
+        return pd.DataFrame(dict(zip(["query_id", "query", "vec_id", "score"], whole))).astype("int64")
 
     sides = data.withColumn("query", F.lit(0).cast("long")).unionByName(ask)
     tiles = sides.groupBy("dim", "group", "d", "t").applyInPandas(solve, "query_id long, query long, vec_id long, score long")

@@ -235,6 +235,31 @@ def test_exact_top_k_of_repeated_rows(spark, monkeypatch):
         assert sorted(got) == sorted(want)
 
 
+def test_groups_of_queries_are_bundled(monkeypatch):
+    monkeypatch.setattr(vectors, "TILE", 5)
+    pivots = {2: np.random.default_rng(1).normal(size=(30, 2)), 3: np.zeros((1, 3))}
+    asked = {**{(2, c): 1 + c % 9 for c in range(1, 30)}, (3, 0): 130}
+    bundles, waves = vectors._bundles(asked, pivots)
+    held = np.bincount([bundles[cell] for cell in asked], list(asked.values()))
+    assert set(bundles) == set(asked) and len({b for (d, _), b in bundles.items() if d == 2}) < 8
+    assert max(held[:-1]) <= 40 and waves == [1] * (len(held) - 1) + [4]
+
+
+def test_exact_top_k_by_small_pieces(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    for name, value in (("TILE", 3), ("SLICE", 4), ("PIECE", 7), ("_AT_ONCE", 64)):
+        monkeypatch.setattr(vectors, name, value)
+    v = np.random.default_rng(2).normal(size=(900, 6)).astype("f4")
+    table = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<float>").repartition(3)
+    whole = np.floor(64 * v.astype(float)).astype(int)
+    want = []
+    for q in range(0, 900, 5):
+        best = sorted((-int(s), j) for j, s in enumerate(whole @ whole[q]) if j != q)[:4]
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert sorted(tuple(r) for r in vectors.top_k(table, F.col("vec_id") % 5 == 0, k=4, cells=25).collect()) == want
+
+
 # Archives
 
 
