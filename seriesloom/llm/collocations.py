@@ -22,6 +22,8 @@ from seriesloom.llm.store import stored
 from seriesloom.llm.text import LOWER, mixed, prefix_hash, range_hash, slices, words
 
 SHARD = 1 << 20  # bytes of text whose n-grams make one automaton
+FEW_RANGES = 64  # with more ranges shards grow in step, as each shard gives each range a row
+LARGEST = 4  # times SHARD
 LOTS = 16  # over so many ranges a prefix is dealt by its last word, so that a common one isn't a single range's
 NO_LANGUAGE = "und"
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -106,14 +108,20 @@ def unite(automata: list[tuple[pa.Array, list[np.ndarray]]], depth: int) -> tupl
     return every.take(pa.array(first)), hashed, paths[::-1], weights
 
 
+def shard_bytes(ranges: int) -> int:
+    """Bytes of text of a shard: the rows of all shards and ranges stay in proportion to the input up to 4 times SHARD."""
+    return SHARD * min(LARGEST, max(1, ranges // FEW_RANGES))
+
+
 def _shards(n: int, ranges: int, often: np.ndarray | None):
     """One row for each shard and range: the automaton of its n-grams of ``n`` words."""
+    size = shard_bytes(ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang = batch.column(1).fill_null(NO_LANGUAGE).dictionary_encode()
             names = _hashes(lang.dictionary)
-            for lo, hi, data, offsets in slices(batch.column(0), SHARD):
+            for lo, hi, data, offsets in slices(batch.column(0), size):
                 low = LOWER[data]
                 starts, ends, first = words(low, offsets, _INSIDE[low])
                 if len(starts) < n:
@@ -130,7 +138,9 @@ def _shards(n: int, ranges: int, often: np.ndarray | None):
                 if often is not None:
                     known = passes(often, before.view(np.int64))
                     valid &= known[:last] & known[1:]
+                    del known
                 at = np.flatnonzero(valid)
+                del doc, piece, valid
                 whole = _follow(before[at], word[at + n - 1])
                 _, some, weights = np.unique(whole, return_index=True, return_counts=True)
                 at = at[some]
@@ -140,6 +150,7 @@ def _shards(n: int, ranges: int, often: np.ndarray | None):
                 path = [code[at], *(word[at + d] for d in range(n))]
                 order = np.lexsort([*path[::-1], part])
                 part, at, weights, path = part[order], at[order], weights[order], [p[order] for p in path]
+                del before, whole, some, tail, lead, order
                 edges = np.flatnonzero(np.diff(part, prepend=-1))
                 rows = []
                 low_bytes = pa.py_buffer(low)

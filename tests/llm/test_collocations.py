@@ -69,6 +69,21 @@ def test_small_shards_ranges_and_a_full_filter(spark, monkeypatch):
     same(spark, [(t, "en") for t in texts(r, 120)], least=5)
 
 
+def test_shards_grow_with_the_ranges(spark, monkeypatch):
+    sizes = [collocations.shard_bytes(2**k) for k in range(3, 14)]
+    assert sizes[:4] == [collocations.SHARD] * 4 and sizes[4:] == [2 * collocations.SHARD] + [4 * collocations.SHARD] * 6
+    monkeypatch.setattr(collocations, "SHARD", 300)
+    monkeypatch.setattr(collocations, "ranges_for", lambda *_: 256)
+    cut, seen = collocations.slices, []
+    batch = pa.RecordBatch.from_pydict({"t": ["a b c d. " * 20] * 60, "lang": ["en"] * 60})
+    monkeypatch.setattr(collocations, "slices", lambda column, limit: seen.append(limit) or cut(column, limit))
+    rows = [b.num_rows for b in collocations._shards(2, 256, None)(iter([batch]))]
+    assert seen == [1200] and len(rows) == 10 and sum(rows) <= 30
+    monkeypatch.undo()
+    monkeypatch.setattr(collocations, "FEW_RANGES", 2)
+    same(spark, [(t, "en") for t in texts(random.Random(9), 120)], least=5)
+
+
 def test_long_text_and_hot_phrase(spark):
     same(spark, [("x y z " * 60_000, "en"), ("x y", "fr"), ("x y q " * 40, "fr")])
 
